@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL that states them, where SQL can."""
 
 from quillon.llm.gif_media import op10_gif_media
+from quillon.llm.ngram_join import OP7_SQL, op7_ngram_join
 from quillon.llm.source_mix import OP2_SQL, op2_source_mix
 
-QUERIES = {"op2_source_mix": op2_source_mix, "op10_gif_media": op10_gif_media}
+QUERIES = {"op2_source_mix": op2_source_mix, "op7_ngram_join": op7_ngram_join, "op10_gif_media": op10_gif_media}
 
-ORACLES = {"op2_source_mix": OP2_SQL}
+ORACLES = {"op2_source_mix": OP2_SQL, "op7_ngram_join": OP7_SQL}
