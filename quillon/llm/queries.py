@@ -3,7 +3,8 @@
 from quillon.llm.gif_media import op10_gif_media
 from quillon.llm.ngram_join import OP7_SQL, op7_ngram_join
 from quillon.llm.source_mix import OP2_SQL, op2_source_mix
+from quillon.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 
-QUERIES = {"op2_source_mix": op2_source_mix, "op7_ngram_join": op7_ngram_join, "op10_gif_media": op10_gif_media}
+QUERIES = {"op2_source_mix": op2_source_mix, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_gif_media": op10_gif_media}
 
-ORACLES = {"op2_source_mix": OP2_SQL, "op7_ngram_join": OP7_SQL}
+ORACLES = {"op2_source_mix": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
