@@ -1,10 +1,21 @@
 """The registered queries of this subpackage and the SQL that states them, where SQL can."""
 
 from quillon.llm.gif_media import op10_gif_media
+from quillon.llm.language_id import op4_language_id
 from quillon.llm.ngram_join import OP7_SQL, op7_ngram_join
+from quillon.llm.quality_gam import op5_quality_gam
 from quillon.llm.source_mix import OP2_SQL, op2_source_mix
 from quillon.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
+from quillon.llm.toxicity_ftrl import op9_toxicity_ftrl
 
-QUERIES = {"op2_source_mix": op2_source_mix, "op7_ngram_join": op7_ngram_join, "op8_suffix_dedup": op8_suffix_dedup, "op10_gif_media": op10_gif_media}
+QUERIES = {
+    "op2_source_mix": op2_source_mix,
+    "op4_language_id": op4_language_id,
+    "op5_quality_gam": op5_quality_gam,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_toxicity_ftrl": op9_toxicity_ftrl,
+    "op10_gif_media": op10_gif_media,
+}
 
 ORACLES = {"op2_source_mix": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
