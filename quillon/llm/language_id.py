@@ -57,22 +57,19 @@ def fit_dictionaries(
     return out
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN, keep: bool = False) -> DataFrame:
-    """docs' id (keep: all its columns) with lang_pred, score, margin and rejected.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """All columns of docs with lang_pred, score, margin and rejected.
 
-    lang_pred is the language whose dictionary gives the fewest bytes over the whole text (ties: the first in the model, which is the commonest),
-    `und` with score 0 where the text is null or has no letter or nothing was learned. margin is what the second-best
-    costs more, as a share of it; rejected marks `und` and margins under min_margin. Repeated rows are decided
-    alike; columns of these names in docs are replaced.
+    lang_pred is the language whose dictionary gives the fewest bytes over the whole text (ties: the first in the
+    model, which is the commonest), `und` with score 0 where the text is null or has no letter or nothing was learned.
+    margin is what the second-best costs more, as a share of it; rejected marks `und` and margins under min_margin.
+    Repeated rows are decided alike; columns of these names in docs are replaced.
     """
     names = list(dictionaries)
     raw = [dictionaries[x] for x in names]
-    made = ["lang_pred", "score", "margin", "rejected"]
-    docs = docs.drop(*made)
-    out = docs if keep else docs.select(F.col(id_col), F.col(text_col))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if keep or f.name == id_col]
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
+    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coders = []
         for data in raw:
             book = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -80,7 +77,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False))
         for batch in batches:
             langs, scores, margins = [], [], []
-            for text in batch[text_col]:
+            for text in batch:
                 if text is None or not coders or not any(map(str.isalpha, text)):
                     langs.append("und")
                     scores.append(0.0)
@@ -95,12 +92,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 rest = np.delete(sizes, best)
                 margins.append(float(1 - sizes[best] / rest.min()) if len(rest) else 1.0)
                 langs.append(names[best])
-            done = batch if keep else batch[[id_col]]
-            margin = np.array(margins)
-            lang = np.array(langs, object)
-            yield done.assign(lang_pred=lang, score=scores, margin=margin, rejected=(lang == "und") | (margin < min_margin))
+            margin, lang = np.array(margins, float), np.array(langs, object)
+            yield pd.DataFrame({"lang_pred": lang, "score": scores, "margin": margin, "rejected": (lang == "und") | (margin < min_margin)})
 
-    return out.mapInPandas(decide, ", ".join([*fields, "lang_pred string, score double, margin double, rejected boolean"]))
+    rows = docs.drop("lang_pred", "score", "margin", "rejected")
+    found = rows.withColumn("_found", decide(F.col(text_col).cast("string")))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], "_found.*")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -110,5 +107,5 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     books = fit_dictionaries(training_rows(docs))
-    found = identify(docs, books)
+    found = identify(docs.select("doc_id", "text"), books)
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
