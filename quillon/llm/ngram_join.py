@@ -21,7 +21,9 @@ from quillon.llm.shingles import shingle_set
 
 #: Bytes of text for each bucket of the count; a bucket is what one task holds at once.
 BUCKET_BYTES = 8 << 20
-FRAGMENTS = 8
+#: Characters of text that a task works on at once.
+SLICE = 4 << 20
+FRAGMENTS = 4
 STARS = 2
 
 
@@ -34,56 +36,71 @@ def text_sets(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
 
     kind 0: key is a bucket of shingles, a the shingles, b the place of each one's text in c, c the nodes.
     kind 1: key is a bucket of nodes, a the nodes, b their numbers of shingles.
-    kind 2: id, node and size of a document.
+    kind 2: id, node and size of a document; key only spreads them.
     A node is the 64-bit digest of a shingle set, so copies are one node from the start.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = 0
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            nodes, sizes = [], []
-            for text in batch["_text"]:
-                found = shingle_set(text)
-                node = xxhash.xxh3_64_intdigest(found.tobytes()) if len(found) else 0
-                nodes.append(node)
-                sizes.append(len(found))
-                if len(found):
-                    sets.setdefault(node, found)
-            ids = np.array(nodes, np.uint64)
-            yield pd.DataFrame({"kind": 2, "key": -1, "a": None, "b": None, "c": None, "id": batch["_id"], "node": _signed(ids), "n": sizes})
-            if not sets:
-                continue
-            known = np.fromiter(sets, np.uint64, len(sets))
-            counts = np.fromiter(map(len, sets.values()), np.int64, len(sets))
-            owner = np.repeat(np.arange(len(known), dtype=np.int32), counts)
-            shingles = np.concatenate(list(sets.values()))
-            rows = []
-            bucket = shingles % np.uint64(buckets)
-            order = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.uint32), kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                part = order[edges[k] : edges[k + 1]]
-                if len(part):
-                    mine, place = np.unique(owner[part], return_inverse=True)
-                    rows.append((0, k, shingles[part].tobytes(), place.astype(np.int32 if len(mine) > 65535 else np.uint16).tobytes(), known[mine].tobytes()))
-            bucket = known % np.uint64(buckets)
-            for k in np.unique(bucket):
-                part = bucket == k
-                rows.append((1, int(k), known[part].tobytes(), counts[part].tobytes(), None))
-            out = pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c"])
-            yield out.assign(id=None, node=0, n=0)
-
-    schema = f"kind int, key int, a binary, b binary, c binary, id {kind}, node long, n int"
+            lo = 0
+            while lo < len(batch):  # about SLICE characters at a time
+                hi, size = lo, 0
+                while hi < len(batch) and (size < SLICE or hi == lo):
+                    size += len(batch["_text"].iat[hi] or "")
+                    hi += 1
+                some = batch.iloc[lo:hi]
+                lo = hi
+                turn += 1
+                sets: dict[int, np.ndarray] = {}
+                nodes, sizes = [], []
+                for text in some["_text"]:
+                    found = shingle_set(text)
+                    node = xxhash.xxh3_64_intdigest(found.tobytes()) if len(found) else 0
+                    nodes.append(node)
+                    sizes.append(len(found))
+                    if len(found):
+                        sets.setdefault(node, found)
+                ids = np.array(nodes, np.uint64)
+                key = (turn * 31 + np.arange(len(ids))) % buckets
+                yield pd.DataFrame({"kind": 2, "key": key, "a": None, "b": None, "c": None, "id": some["_id"].to_numpy(), "node": _signed(ids), "n": sizes})
+                if not sets:
+                    continue
+                known = np.fromiter(sets, np.uint64, len(sets))
+                counts = np.fromiter(map(len, sets.values()), np.int64, len(sets))
+                owner = np.repeat(np.arange(len(known), dtype=np.int32), counts)
+                shingles = np.concatenate(list(sets.values()))
+                del sets
+                rows = []
+                bucket = (shingles % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.uint32)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for k in range(buckets):
+                    part = order[edges[k] : edges[k + 1]]
+                    if len(part):
+                        mine, place = np.unique(owner[part], return_inverse=True)
+                        rows.append((0, k, shingles[part].tobytes(), place.astype(np.int32 if len(mine) > 65535 else np.uint16).tobytes(), known[mine].tobytes()))
+                bucket = known % np.uint64(buckets)
+                for k in np.unique(bucket):
+                    part = bucket == k
+                    rows.append((1, int(k), known[part].tobytes(), counts[part].tobytes(), None))
+                out = pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c"])
+                yield out.assign(id=None, node=0, n=0)
+
+    schema = packed_schema(docs, id_col)
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(pack, schema)
 
 
+def packed_schema(docs: DataFrame, id_col: str) -> str:
+    return f"kind int, key int, a binary, b binary, c binary, id {docs.schema[id_col].dataType.simpleString()}, node long, n int"
+
+
 def _shared_of_bucket(buckets: int):
     """Of the shingles of one bucket, those that several nodes have, dealt by node; sizes pass unchanged."""
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        if group["kind"].iloc[0] == 1:
-            return group[["kind", "key", "a", "b"]].assign(c=None)
+        if group["kind"].iloc[0]:
+            return group
         shingles, nodes = [], []
         for a, b, c in zip(group["a"], group["b"], group["c"], strict=True):
             some = np.frombuffer(a, np.uint64)
@@ -112,7 +129,7 @@ def _shared_of_bucket(buckets: int):
             part = order[edges[k] : edges[k + 1]]
             if len(part):
                 rows.append((0, k, two[part].tobytes(), one[part].tobytes(), freq[part].astype(np.uint32).tobytes()))
-        return pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c"])
+        return pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c"]).assign(id=None, node=0, n=0)
 
     return count
 
@@ -125,7 +142,7 @@ def _sets_of_nodes(percent: int):
         for a, b in group.loc[group["kind"] == 1, ["a", "b"]].itertuples(index=False):
             size.update(zip(np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.int64).tolist(), strict=True))
         some = group[group["kind"] == 0]
-        empty = pd.DataFrame({"node": [], "n": [], "lone": [], "shingles": [], "freqs": []})
+        empty = pd.DataFrame(columns=["node", "n", "lone", "shingles", "freqs"], dtype=object)
         if not len(some):
             return empty
         node = np.concatenate([np.frombuffer(x, np.uint64) for x in some["a"]])
@@ -165,11 +182,13 @@ def linked_nodes(sets: DataFrame, percent: int) -> DataFrame:
     heads = stored(
         sets.withColumn("m", prefix.cast("int"))
         .where("m > 0")
-        .select("node", "n", F.explode(F.slice("shingles", F.lit(1), F.least("m", F.size("shingles")))).alias("shingle")),
+        .select("node", "n", "lone", F.posexplode(F.slice("shingles", F.lit(1), F.least("m", F.size("shingles")))).alias("i", "shingle"))
+        .withColumn("left", F.col("n") - F.col("lone") - F.col("i")),
         "join-heads",
     )
-    sizes = sets.select("node", "n")
-    fits = (F.col("n") * 100 >= F.col("ln") * percent) & (F.col("ln") * 100 >= F.col("n") * percent)
+    # what two sets can share at most from the first shingle on that they share: what each has left in the global order
+    most = F.least("left", "l.left")
+    fits = most * (100 + percent) >= percent * (F.col("n") + F.col("l.n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs(a, na, b, nb): overlaps are counted in each fragment and summed."""
@@ -179,28 +198,37 @@ def linked_nodes(sets: DataFrame, percent: int) -> DataFrame:
         total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
         return total.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
+    def led(members: DataFrame) -> DataFrame:
+        """members with the leader l of their shingle's group: the one with the smallest share of lone shingles, which
+        is nearest to most others."""
+        who = F.struct((F.col("lone") / F.col("n")).alias("share"), "node", "n", "left", "component")
+        return members.join(members.groupBy("shingle").agg(F.min(who).alias("l")), "shingle")
+
     links = None
     found = None
     for turn in range(STARS + 1):
-        members = heads if found is None else heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if found is not None:
+        if found is None:
+            members = heads.withColumn("component", F.col("node"))
+        else:
+            members = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = members.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
             members = stored(members.join(mixed, "shingle"), "join-members")
+        apart = F.col("component") != F.col("l.component")
         if turn < STARS:
-            pick = F.min if turn % 2 == 0 else F.max
-            leaders = members.groupBy("shingle").agg(pick(F.struct("node", "n", *(["component"] if found is not None else []))).alias("l"))
-            pairs = members.join(leaders, "shingle").withColumn("ln", F.col("l.n")).where(F.col("node") != F.col("l.node")).where(fits)
-            if found is not None:
-                pairs = pairs.where(F.col("component") != F.col("l.component"))
-            pairs = pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
+            pairs = led(members).where(apart & fits)
+            if turn:  # those that the first leader has not joined follow one of their own, too
+                rest = led(members).where(apart).drop("l")
+                pairs = pairs.unionByName(led(rest).where(apart & fits))
         else:
-            other = members.select("shingle", F.col("node").alias("lnode"), F.col("n").alias("ln"), F.col("component").alias("lcomponent"))
-            pairs = members.join(other, "shingle").where(fits & (F.col("node") < F.col("lnode")) & (F.col("component") != F.col("lcomponent")))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("lnode").alias("b"))
-        pairs = pairs.distinct()
-        na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-        pairs = stored(pairs.join(na, "a").join(nb, "b"), "join-pairs")
-        fresh = stored(verified(pairs), "join-links")
+            other = members.select("shingle", F.struct("node", "n", "left", "component").alias("l"))
+            pairs = members.join(other, "shingle").where(fits & apart & (F.col("node") < F.col("l.node")))
+        pairs = pairs.select(
+            F.least("node", "l.node").alias("a"),
+            F.greatest("node", "l.node").alias("b"),
+            F.when(F.col("node") < F.col("l.node"), F.col("n")).otherwise(F.col("l.n")).alias("na"),
+            F.when(F.col("node") < F.col("l.node"), F.col("l.n")).otherwise(F.col("n")).alias("nb"),
+        )
+        fresh = stored(verified(stored(pairs.distinct(), "join-pairs")), "join-links")
         links = fresh if links is None else links.unionByName(fresh)
         found = stored(components(links), "join-components")
     return found
@@ -217,9 +245,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = int(min(max(16, -(-total // BUCKET_BYTES)), 1 << 20))
-    packed = stored(text_sets(docs, id_col, text_col, buckets), "join-packed")
-    counted = packed.where("kind < 2").select("kind", "key", "a", "b", "c").groupBy("kind", "key")
-    shared = counted.applyInPandas(_shared_of_bucket(buckets), "kind int, key int, a binary, b binary, c binary")
+    packed = text_sets(docs, id_col, text_col, buckets).groupBy("kind", "key")
+    packed = stored(packed.applyInPandas(_shared_of_bucket(buckets), packed_schema(docs, id_col)), "join-shared")
+    shared = packed.where("kind < 2").select("kind", "key", "a", "b", "c")
     sets = stored(shared.groupBy("key").applyInPandas(_sets_of_nodes(percent), "node long, n long, lone long, shingles array<long>, freqs array<long>"), "join-sets")
     found = linked_nodes(sets, percent)
     rows = packed.where("kind = 2").select(F.col("id").alias("_id"), "node", "n")
