@@ -47,14 +47,13 @@ def windows(df: DataFrame, columns: Sequence[str], lookback: int = 32) -> DataFr
 
 
 def chronological_split(df: DataFrame, share: float = 0.15, gap: int = 33) -> DataFrame:
-    """df with part: train, then gap purged rows, then the last share of each series as val. ValueError if a series
-    with rows would have no training rows."""
+    """df with part: train, then gap purged rows, then the last share of each series as val; a short series may have no
+    training rows."""
     place = F.row_number().over(by_time())
     total = F.count("*").over(Window.partitionBy(SERIES))
     n_val = F.floor(total * share)
     part = F.when(place > total - n_val, "val").when(place > total - n_val - gap, "purge").otherwise("train")
-    out = df.withColumn("part", part)
-    return out
+    return df.withColumn("part", part)
 
 
 def scaler_statistics(df: DataFrame, columns: Sequence[str], lookback: int = 32) -> DataFrame:

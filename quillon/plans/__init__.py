@@ -10,6 +10,7 @@ from quillon.operators import bars as B
 from quillon.operators import dataset as D
 from quillon.operators import evaluate as E
 from quillon.operators import features as X
+from quillon.operators import models as M
 from quillon.operators import regimes as R
 from quillon.operators.scans import exponential, linear_scans, wilder
 
@@ -312,6 +313,13 @@ def known_period_check(spark, d):
     return rounded(R.period_check(_labelled(spark, d), {"2024-01-05": "bull", "2024-01-10": "sideways", "2024-01-15": "high_vol", "2024-01-20": "bear"}))
 
 
+def model_comparison(spark, d):
+    """Logistic regression on windows of two returns, all types as one series."""
+    df = D.target(R.regime_inputs(B.bars(_t(spark, d, "events"))))
+    df = df.withColumn("is_warmup", F.row_number().over(by_time()) <= 20)
+    return rounded(M.compare(D.windows(df, FIXED_INPUTS), 64, ("logistic",)))
+
+
 def log_close(spark, d):
     return rounded(_bars(spark, d).select(SERIES, TIME, ln(F.col("close")).alias("log_close")))
 
@@ -321,5 +329,5 @@ short_sessions null_census log_close returns_log rolling_return true_range direc
 warmup_counts summary_stats flag_shares warm_start leakage_check target window_contiguity windows32 chronological_split scaler_stats baselines
 threshold_grid classification_metrics metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy
 persistence_agreement hmm_filter_fixed regime_columns hmm_fit regime_runs regime_changed daily_shares daily_dominant overall_shares state_stats
-transition_table known_period_check""".split()
+transition_table known_period_check model_comparison""".split()
 QUERIES = {n: globals()[n] for n in _NAMES} | {f"{b}_block": _block(b) for b in X.BLOCKS}
