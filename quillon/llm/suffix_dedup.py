@@ -21,7 +21,7 @@ from quillon.llm.common import stored, table
 
 PIECE = 32  # bytes of a minimizer
 #: Bytes of text for each bucket, and bytes handled at once inside a task.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 CHUNK = 1 << 20
 #: Segments of one minimizer beyond which its windows are dealt one by one, by their own hash.
 HOT = 2048
@@ -71,6 +71,8 @@ def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
 
 POWERS = np.concatenate([[np.uint64(1)], np.full(CHUNK * 2, ODD)])
 POWERS = np.multiply.accumulate(POWERS)
+INVERSE = np.concatenate([[np.uint64(1)], np.full(CHUNK * 2, np.uint64(pow(int(ODD), -1, 1 << 64)))])
+INVERSE = np.multiply.accumulate(INVERSE)
 
 
 def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -89,9 +91,9 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int
     stop = np.minimum(np.append(start[1:], len(first)), (ends - length + 1)[text])
     windows = stop - start
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(pieces ^ ODD) * POWERS[: len(pieces)], dtype=np.uint64)])
-    # the pieces of a segment tell all its bytes; multiplying moves every segment to the same power
+    # the pieces of a segment tell all its bytes; dividing by a power makes its place in data not matter
     upto = start + windows + length - PIECE
-    digest = mix((sums[upto] - sums[start]) * POWERS[len(pieces) - start] + windows.astype(np.uint64) * ODD)
+    digest = mix((sums[upto] - sums[start]) * INVERSE[start] + windows.astype(np.uint64) * ODD)
     return text, start, windows, mix(pieces[first[start]] + ODD), digest
 
 
@@ -136,15 +138,17 @@ def _by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 
 def pack_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """kind 0: key is a bucket of minimizers; a minimizers, b digests, c places in d, e offsets, f windows, d nodes and
-    ids. kind 2: id, node, n_bytes, sha256 of a text. A node is the digest of a text, so copies are one node."""
+    ids. kind 2: id, node, n_bytes, sha256 of a text; key only spreads them. A node is the digest of a text, so copies
+    are one node."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for turn, batch in enumerate(batches):
             raws = [b"" if t is None else t.encode() for t in batch["_text"]]
             nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, raws), np.uint64, len(raws))
             ids = batch["_id"].to_numpy(dtype="float64", na_value=np.nan) if batch["_id"].isna().any() else batch["_id"].to_numpy()
             ids = np.array([LAST if x != x else int(x) for x in ids], np.int64)
-            yield pd.DataFrame({"kind": 2, "key": -1, "id": ids, "node": nodes.view(np.int64), "n": [len(x) for x in raws], "sha": [hashlib.sha256(x).hexdigest() for x in raws]}).reindex(columns=COLUMNS)
+            key = (turn * 31 + np.arange(len(ids))) % buckets
+            yield pd.DataFrame({"kind": 2, "key": key, "id": ids, "node": nodes.view(np.int64), "n": [len(x) for x in raws], "sha": [hashlib.sha256(x).hexdigest() for x in raws]}).reindex(columns=COLUMNS)
             least: dict[int, int] = {}
             for k in np.lexsort((ids, nodes)):
                 least.setdefault(int(nodes[k]), int(k))
@@ -185,6 +189,11 @@ def _compare_segments(buckets: int):
     """Of one bucket of minimizers: later copies of a segment go; first ones that have rivals are to be compared."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        if group["kind"].iloc[0] == 2:
+            return group
+        return marks(group).assign(kind=0, id=0, node=0, n=0, sha=None).reindex(columns=COLUMNS)
+
+    def marks(group: pd.DataFrame) -> pd.DataFrame:
         key, digest = _cat(group["a"], np.uint64), _cat(group["b"], np.uint64)
         at, windows = _cat(group["e"], np.uint32).astype(np.int64), _cat(group["f"], np.uint8)
         nodes, ids = [], []
@@ -222,22 +231,53 @@ def _compare_segments(buckets: int):
     return compare
 
 
+#: Suffixes are sorted as numbers that hold their place in the lowest 20 bits, so at most this many at once.
+PLACE = 20
+
+
+def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys under 2**43 (ties by place), and the keys in that order."""
+    packed = (key << PLACE) | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << PLACE) - 1), packed >> PLACE
+
+
+def named(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys; equal keys have equal ranks."""
+    order, keys = ordered(key)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+    return out
+
+
+def merged(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key of one, how many of two are smaller; for each of two, how many of one are smaller or equal."""
+    order, _ = ordered(np.concatenate([one, two]))
+    first = order < len(one)
+    before = np.cumsum(first)
+    mine, other = np.empty(len(one), np.int64), np.empty(len(two), np.int64)
+    mine[order[first]] = np.flatnonzero(first) - before[first] + 1
+    other[order[~first] - len(one)] = before[~first]
+    return mine, other
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes in order of their first depth symbols, by the difference cover {1, 2} modulo 3.
 
     Triples at the sampled places are sorted and named, the string of names is ordered by recursion, and the places
     that are multiples of three are merged in. Names stand for three symbols, so the recursion needs a third of the
     depth and ends when names are distinct or the depth is reached; suffixes that agree that far come in any order.
+    At most 2**20 - 8 symbols, each under 2**20.
     """
     n = len(symbols)
     if n < 6:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
     text = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(3, np.int64)])
-    base = int(text.max()) + 1
     ones, twos, zeros = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([ones, twos])
-    triple = (text[sample] * base + text[sample + 1]) * base + text[sample + 2]
-    _, name = np.unique(triple, return_inverse=True)
+    a, b, c = text[sample], text[sample + 1], text[sample + 2]
+    small = int(text.max()) < 1 << 14
+    name = named((a << 28) | (b << 14) | c) if small else named((named((a << 21) | b) << 21) | c)
     if depth > 3 and int(name.max()) + 1 < len(sample):
         joined = np.concatenate([name[: len(ones)] + 1, [0], name[len(ones) :] + 1])
         order = suffix_order(joined, -(-depth // 3))
@@ -246,30 +286,37 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         name = np.concatenate([rank[: len(ones)], rank[len(ones) + 1 :]])
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = name + 1
-    high = int(rank.max()) + 1
-
-    def two(at: np.ndarray) -> np.ndarray:
-        return text[at] * high + rank[at + 1]
-
-    def three(at: np.ndarray) -> np.ndarray:
-        return (text[at] * base + text[at + 1]) * high + rank[at + 2]
 
     place = np.empty(n, np.int64)
-    order = sample[np.argsort(name, kind="stable")]
+    order = sample[ordered(name)[0]]
     place[order] = np.arange(len(order))
-    short, long = two(zeros), three(zeros)
-    short_sorted, long_sorted = np.sort(short), np.sort(long)
-    place[ones] += np.searchsorted(short_sorted, two(ones))
-    place[twos] += np.searchsorted(long_sorted, three(twos))
-    order = np.argsort(short, kind="stable")
+    # zeros against ones by a symbol and a rank, against twos by two symbols and a rank
+    short = (text[zeros] << 21) | rank[zeros + 1]
+    before_ones, zeros_before_ones = merged(short, (text[ones] << 21) | rank[ones + 1])
+    pairs = np.concatenate([(text[zeros] << 21) | text[zeros + 1], (text[twos] << 21) | text[twos + 1]])
+    pairs = (named(pairs) << 21) | np.concatenate([rank[zeros + 2], rank[twos + 2]])
+    before_twos, zeros_before_twos = merged(pairs[: len(zeros)], pairs[len(zeros) :])
+    place[ones] += zeros_before_ones
+    place[twos] += zeros_before_twos
+    order = ordered(short)[0]
     place[zeros[order]] = np.arange(len(zeros))
-    place[zeros] += np.searchsorted(np.sort(two(ones)), short, side="right") + np.searchsorted(np.sort(three(twos)), long, side="right")
-    return np.argsort(place, kind="stable")
+    place[zeros] += before_ones + before_twos
+    return ordered(place)[0]
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Of the windows of segments, those whose hash another one has; no equal ones are missed."""
+    inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    order, keys = ordered((rolling(data, length)[np.repeat(starts, windows) + inner] >> np.uint64(22)).astype(np.int64))
+    same = np.concatenate([[False], keys[1:] == keys[:-1]])
+    out = np.zeros(len(order), bool)
+    out[order] = same | np.append(same[1:], False)
+    return out
 
 
 def later_windows(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, priority: np.ndarray, length: int) -> np.ndarray:
-    """Of the windows of segments (flat, segment after segment), which equal one that comes earlier; priority is the
-    order of the segments' places. Equal windows are neighbours in the suffix order."""
+    """Of the windows of segments (flat, segment after segment), which equal one that comes earlier; priority orders
+    the first windows of segments, later windows follow by one each. Equal windows are neighbours in the suffix order."""
     total = int(windows.sum())
     owner = np.repeat(np.arange(len(starts)), windows)
     inner = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -285,14 +332,22 @@ def later_windows(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, pri
     flat = number[order]
     group = np.cumsum(run) - 1
     best = np.full(int(group[-1]) + 1, LAST)
-    # places of one text follow one another, so the first of a group is the least (segment, offset)
-    rank = priority[owner[flat]] * (1 << 20) + inner[flat]
+    rank = priority[owner[flat]] + inner[flat]
     np.minimum.at(best, group, rank)
     late = np.zeros(total, bool)
     late[flat] = rank > best[group]
     return late
 
 
+def runs(marked: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of marked windows that lie in one segment: first window in it, number of windows, segment."""
+    owner = np.repeat(np.arange(len(windows)), windows)
+    joined = np.concatenate([[False], marked[1:] & marked[:-1] & (owner[1:] == owner[:-1])])
+    first = np.flatnonzero(marked & ~joined)
+    last = np.flatnonzero(marked & ~np.append(joined[1:], False))
+    return first - (np.cumsum(windows) - windows)[owner[first]], last - first + 1, owner[first]
+
+
 def _sort_bucket(length: int, buckets: int):
     """Windows to go of one bucket of segments with rivals: rows of a bytes, b windows, c nodes, d ids, e offsets, f
     keys; kind 1 has hashes of single windows (f) of very common minimizers instead of bytes."""
@@ -307,7 +362,7 @@ def _sort_bucket(length: int, buckets: int):
             late = np.zeros(len(order), bool)
             late[order[1:]] = key[order[1:]] == key[order[:-1]]
             return _marks(node[late], doc[late], at[late], np.ones(int(late.sum()), np.uint8), np.zeros(int(late.sum()), np.uint64), np.zeros(int(late.sum()), np.uint8), buckets)
-        data, windows = _cat(group["a"], np.uint8), _cat(group["b"], np.uint8).astype(np.int64)
+        raw, windows = b"".join(group["a"]), _cat(group["b"], np.uint8).astype(np.int64)
         size = windows + length - 1
         start = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
@@ -316,19 +371,36 @@ def _sort_bucket(length: int, buckets: int):
         sums = np.concatenate([[0], np.cumsum(size[order])])
         lo = 0
         while lo < len(new) - 1:  # whole minimizers up to a bounded number of bytes at a time
-            hi = max(lo + 1, int(np.searchsorted(sums[new], sums[new[lo]] + CHUNK, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(sums[new], sums[new[lo]] + CHUNK - 8, side="right")) - 1)
             part = order[new[lo] : new[hi]]
             lo = hi
-            some = np.concatenate([data[start[k] : start[k] + size[k]] for k in part])
-            begin = np.cumsum(size[part]) - size[part]
-            late = later_windows(some, begin, windows[part], priority[part], length)
-            if late.any():
-                owner = np.repeat(part, windows[part])
-                inner = np.arange(len(late)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
-                edge = late & ~np.concatenate([[False], late[:-1] & (owner[1:] == owner[:-1])])
-                first = np.flatnonzero(edge)
-                ends = np.flatnonzero(late & ~np.append(late[1:] & (owner[1:] == owner[:-1]), False))
-                found.append((node[owner[first]], doc[owner[first]], at[owner[first]] + inner[first], ends - first + 1))
+            pieces = [raw[start[k] : start[k] + size[k]] for k in part.tolist()]
+            mine, first, many = part, np.zeros(len(part), np.int64), windows[part]
+            # Only stretches of windows whose hash occurs again matter. Of stretches with equal bytes the earliest stays
+            # and the others go whole; what stays may then repeat less, so this is done twice before sorting.
+            for _ in range(2):
+                begin = np.cumsum(many + length - 1) - (many + length - 1)
+                inner, n, run = runs(repeated(np.frombuffer(b"".join(pieces), np.uint8), begin, many, length), many)
+                pieces = [pieces[o][f : f + m + length - 1] for o, f, m in zip(run.tolist(), inner.tolist(), n.tolist(), strict=True)]
+                mine, first, many = mine[run], first[run] + inner, n
+                if not len(mine):
+                    break
+                rank = priority[mine] * 256 + first
+                seen: set[bytes] = set()
+                stays = np.zeros(len(mine), bool)
+                for k in np.argsort(rank).tolist():
+                    if pieces[k] not in seen:
+                        seen.add(pieces[k])
+                        stays[k] = True
+                found.append((node[mine[~stays]], doc[mine[~stays]], at[mine[~stays]] + first[~stays], many[~stays]))
+                pieces = [p for p, k in zip(pieces, stays.tolist(), strict=True) if k]
+                mine, first, many, rank = mine[stays], first[stays], many[stays], rank[stays]
+            if len(mine) < 2:
+                continue
+            begin = np.cumsum(many + length - 1) - (many + length - 1)
+            late = later_windows(np.frombuffer(b"".join(pieces), np.uint8), begin, many, rank, length)
+            inner, n, run = runs(late, many)
+            found.append((node[mine[run]], doc[mine[run]], at[mine[run]] + first[run] + inner, n))
         if not found:
             return pd.DataFrame(columns=["key", "a", "b", "c", "d", "e", "f"])
         node, doc, at, windows = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -417,17 +489,18 @@ def cut_texts(rows: DataFrame, length: int) -> DataFrame:
                     kept.append(raw[end:a])
                     end = b
                 kept = b"".join([*kept, raw[end:]])
-                out.append((r.id, r.node, len(raw) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
+                out.append((r.id, r.node, len(raw) - len(kept), len(spans), kept.decode(errors="ignore"), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["id", "node", "n_removed", "n_spans", "kept", "sha"])
 
-    return rows.mapInPandas(cut, "id long, node long, n_removed long, n_spans long, kept binary, sha string")
+    return rows.mapInPandas(cut, "id long, node long, n_removed long, n_spans long, kept string, sha string")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256): the UTF-8 bytes of every text without those covered by a
     string of length bytes that also starts earlier (smaller id, or earlier in the same text).
 
-    kept is null where nothing was removed (the text is whole), so that texts are carried only where they change.
+    kept is what remains as text, without characters that a cut left in part; it is null where nothing was removed, so
+    that texts are carried only where they change.
     Null texts are empty; texts under length bytes stay whole. Of equal texts, that of the smallest id stands for all:
     the others are removed whole. Rows with equal id and text are one document and get the same result; a null id
     comes after all others. length is 64 to 250.
@@ -436,8 +509,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(min(max(16, -(-total // BUCKET_BYTES)), 1 << 20))
-    packed = stored(pack_segments(rows, length, buckets), "suffix-packed")
-    marks = packed.where("kind = 0").groupBy("key").applyInPandas(_compare_segments(buckets), MARKS)
+    packed = pack_segments(rows, length, buckets).groupBy("kind", "key").applyInPandas(_compare_segments(buckets), SCHEMA)
+    packed = stored(packed, "suffix-compared")
+    marks = packed.where("kind = 0").select("key", "a", "b", "c", "d", "e", "f")
     marks = stored(marks.groupBy("key").applyInPandas(_of_node, NODE_MARKS), "suffix-marks")
 
     texts = rows.select(F.coalesce("_id", F.lit(LAST)).alias("id"), F.col("_text").alias("body")).where("body is not null")
@@ -459,7 +533,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("n").alias("n_bytes"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     )
 
