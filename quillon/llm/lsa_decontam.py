@@ -2,16 +2,18 @@
 
 Passages of all documents are TF-IDF rows over the benchmark's words. One pass makes a randomised sketch of their
 Gram matrix, from which the leading right singular vectors follow (Nystrom). Passages and benchmark items are compared
-by cosine in that space; candidates pass a longest-common-subsequence and an answer check.
+by cosine in that space; candidates pass a longest-common-subsequence and an answer check. Only pairs that share
+enough of the item's rarest words for such a subsequence are compared at all, which loses none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,12 @@ from quillon.llm.toxicity_ftrl import CLEAN
 #: A passage is PARTS neighbouring stretches of STEP words.
 STEP = 20
 PARTS = 3
-SKETCH, RANK = 80, 64
+SKETCH, RANK = 96, 80
 #: Benchmark items that are searched for in one go; more are taken in blocks.
 BLOCK_ITEMS = 4096
-#: Words in more than this share of stretches say nothing about an item.
-COMMON = 0.005
-COSINE, LCS, ANSWER, SURE = 0.45, 0.6, 0.5, 0.85
+#: So many of the commonest words are counted in a dense table, which is quicker than one by one.
+DENSE = 256
+COSINE, LCS, ANSWER, SURE = 0.35, 0.6, 0.5, 0.85
 SENTENCE = re.compile(r"[^.!?\n]+")
 LUT_BITS = 20
 
@@ -58,8 +60,8 @@ def common_length(one: np.ndarray, two: np.ndarray) -> int:
 
 
 def lookup(vocabulary: np.ndarray) -> np.ndarray:
-    """Table from the low bits of a word's number to its place in the vocabulary, -1 for others; the full number is
-    compared afterwards."""
+    """Table from the low bits of a word's number to its place in the sorted vocabulary, -1 for others; the full number
+    is compared afterwards."""
     out = np.full(1 << LUT_BITS, -1, np.int32)
     out[vocabulary & ((1 << LUT_BITS) - 1)] = np.arange(len(vocabulary))
     return out
@@ -67,11 +69,13 @@ def lookup(vocabulary: np.ndarray) -> np.ndarray:
 
 def term_places(ids: np.ndarray, vocabulary: np.ndarray, table_: np.ndarray) -> np.ndarray:
     at = table_[ids & ((1 << LUT_BITS) - 1)]
-    at[vocabulary[at] != ids] = -1
+    other = np.flatnonzero((at >= 0) & (vocabulary[at] != ids))  # low bits of another word
+    place = np.minimum(np.searchsorted(vocabulary, ids[other]), len(vocabulary) - 1)
+    at[other] = np.where(vocabulary[place] == ids[other], place, -1)
     return at
 
 
-def stretches(columns: pd.Series, limit: int = 300_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(columns: Iterable[bytes], limit: int = 300_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Documents in groups of bounded size: their rows, words, stretch of each word, first stretch of each document."""
     rows, parts, first, blocks, n = [], [], [], [], 0
     total = 0
@@ -103,34 +107,79 @@ def passage_sums(vectors: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_sums(term: np.ndarray, block: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, matrix.shape[1]), np.float32)
+def block_sums(term: np.ndarray, block: np.ndarray, n: int, matrix: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Sums of the matrix' rows over the words of each stretch; column as made by dense_columns."""
+    at = column[term]
+    many = at >= 0
+    width = int(column.max()) + 1
+    out = dense_counts(at[many], block[many], n, width) @ matrix[np.argsort(column)[len(column) - width :]]
+    term, block = term[~many], block[~many]
     if len(term):
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        out[block[starts]] = np.add.reduceat(matrix[term], starts)
+        out[block[starts]] += np.add.reduceat(matrix[term], starts)
     return out
 
 
+def dense_columns(df: np.ndarray) -> np.ndarray:
+    """Column of each of the DENSE commonest words in a dense table, -1 for others."""
+    out = np.full(len(df), -1)
+    common = np.argsort(df, kind="stable")[::-1][:DENSE]
+    out[common] = np.arange(len(common))
+    return out
+
+
+def dense_counts(at: np.ndarray, block: np.ndarray, n: int, width: int) -> np.ndarray:
+    return np.bincount(block * width + at, minlength=n * width).reshape(n, width).astype(np.float32)
+
+
+def stretch_counts(words: Iterable[bytes], vocabulary: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, int]:
+    """Number of stretches that have each word, and of all stretches."""
+    df, total = np.zeros(len(vocabulary), np.int64), 0
+    for _, ids, block, first in stretches(words):
+        term = term_places(ids, vocabulary, lut)
+        seen = np.unique(block[term >= 0] * len(vocabulary) + term[term >= 0])
+        df += np.bincount(seen % len(vocabulary), minlength=len(vocabulary))
+        total += int(first[-1])
+    return df, total
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray) -> DataFrame:
-    """(_id, _words, _df): words of a text as numbers; rows without words carry counts of stretches by word of the
-    vocabulary instead, one for each batch."""
+    """(_id, _words, _node, _df, _n, _key): words of a text as numbers and their digest; rows without words carry counts
+    of stretches by word of the vocabulary instead, one for each batch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lut = lookup(vocabulary)
         for batch in batches:
             words = [word_ids(t).tobytes() for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "_words": words, "_df": None, "_n": 0})
-            df, total = np.zeros(len(vocabulary), np.int64), 0
-            for _, ids, block, first in stretches(pd.Series(words)):
-                term = term_places(ids, vocabulary, lut)
-                seen = np.unique(block[term >= 0] * len(vocabulary) + term[term >= 0])
-                df += np.bincount(seen % len(vocabulary), minlength=len(vocabulary))
-                total += int(first[-1])
-            yield pd.DataFrame({"_id": [None], "_words": [None], "_df": [df.tobytes()], "_n": [total]})
+            node = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            yield pd.DataFrame({"_id": batch["_id"], "_words": words, "_node": node, "_df": None, "_n": 0})
+            df, total = stretch_counts(words, vocabulary, lut)
+            yield pd.DataFrame({"_id": [None], "_words": [None], "_node": [0], "_df": [df.tobytes()], "_n": [total]})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, _words binary, _df binary, _n long")
+    found = rows.mapInPandas(run, f"_id {kind}, _words binary, _node long, _df binary, _n long")
+    return found.withColumn("_key", F.monotonically_increasing_id())
+
+
+def distinct_counts(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray | None, int]:
+    """Stretches of distinct texts that have each word, and all of them: those of all rows less those of copies."""
+    df, total = summed(words.where("_df is not null"), "_df", np.int64)
+    if df is None or not total:
+        return None, 0
+    texts = words.where("_words is not null")
+    firsts = texts.groupBy("_node").agg(F.min("_key").alias("_key")).select("_key")
+    copies = texts.select("_key").join(firsts, "_key", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lut = lookup(vocabulary)
+        for batch in batches:
+            df, total = stretch_counts(batch["_words"], vocabulary, lut)
+            yield pd.DataFrame({"_df": [df.tobytes()], "_n": [total]})
+
+    again = texts.join(copies, "_key", "left_semi").select("_words").mapInPandas(run, "_df binary, _n long")
+    less, some = summed(again, "_df", np.int64)
+    return (df, total) if less is None else (df - less, total - some)
 
 
 def summed(rows: DataFrame, column: str, dtype: type, groups: int = 32) -> tuple[np.ndarray | None, int]:
@@ -150,19 +199,20 @@ def summed(rows: DataFrame, column: str, dtype: type, groups: int = 32) -> tuple
     return sum(np.frombuffer(r[0], dtype) for r in some), sum(r[1] for r in some)
 
 
-def singular_vectors(words: DataFrame, vocabulary: np.ndarray, weight: np.ndarray, sketch: int = SKETCH, rank: int = RANK, seed: int = 7) -> np.ndarray:
+def singular_vectors(words: DataFrame, vocabulary: np.ndarray, weight: np.ndarray, column: np.ndarray, sketch: int = SKETCH, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix, columns, from one pass over all passages."""
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), min(sketch, len(vocabulary)))))[0].astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lut, scaled = lookup(vocabulary), omega * weight[:, None]
+        common = np.argsort(column)[len(column) - int(column.max()) - 1 :]
         total = np.zeros(omega.shape, np.float64)
         for batch in batches:
             for _, ids, block, first in stretches(batch["_words"]):
                 term = term_places(ids, vocabulary, lut)
-                keep = (term >= 0) & (weight[term] > 0)
+                keep = term >= 0
                 term, block = term[keep], block[keep]
-                sums = passage_sums(block_sums(term, block, int(first[-1]), scaled), first)
+                sums = passage_sums(block_sums(term, block, int(first[-1]), scaled, column), first)
                 # a stretch is in the passages that begin at it and up to PARTS - 1 before it
                 starts = np.repeat(first[:-1], np.diff(first))
                 back = sums.copy()
@@ -170,6 +220,10 @@ def singular_vectors(words: DataFrame, vocabulary: np.ndarray, weight: np.ndarra
                     at = np.arange(len(sums)) - j
                     fine = at >= starts
                     back[fine] += sums[at[fine]]
+                at = column[term]
+                many = at >= 0
+                total[common] += (dense_counts(at[many], block[many], len(back), len(common)).T @ back) * weight[common, None]
+                term, block = term[~many], block[~many]
                 order = np.argsort(term, kind="stable")
                 term, block = term[order], block[order]
                 if len(term):
@@ -187,34 +241,82 @@ def singular_vectors(words: DataFrame, vocabulary: np.ndarray, weight: np.ndarra
     return left[:, : min(rank, left.shape[1])].astype(np.float32)
 
 
-def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, basis: np.ndarray, id_kind: str, cosine: float, lcs: float, answer: float) -> DataFrame:
+class Postings:
+    """Of each item the rarest words, and how many of them any text must have that shares `lcs` of the item's words.
+
+    An item of n words of which `need` are wanted misses n - need at most, so of any n - need + t of its words t are
+    there. The rarest ones are taken, which few passages have."""
+
+    def __init__(self, terms: list[np.ndarray], df: np.ndarray, lcs: float):
+        self.least = np.empty(len(terms), np.int64)
+        found = []
+        for q, term in enumerate(terms):
+            need = min(len(term), max(1, int(np.ceil(lcs * len(term) - 1e-9))))
+            self.least[q] = max(1, need // 3)
+            rare = term[np.lexsort((term, df[term]))][: len(term) - need + self.least[q]]
+            word, times = np.unique(rare, return_counts=True)
+            found.append(np.stack([word, np.full(len(word), q), times]))
+        word, self.item, self.times = (x := np.concatenate(found, axis=1))[:, np.argsort(x[0], kind="stable")]
+        self.begin = np.searchsorted(word, np.arange(len(df) + 1))
+
+    def pairs(self, term: np.ndarray, block: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages (by first stretch) and items that may match, within the stretches around the passage."""
+        some = np.unique(block * len(self.begin) + term)
+        block, term = some // len(self.begin), some % len(self.begin)
+        count = self.begin[term + 1] - self.begin[term]
+        at = np.repeat(self.begin[term] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        code, place = np.unique(np.repeat(block, count) * len(self.least) + self.item[at], return_inverse=True)
+        hits = np.bincount(place, weights=self.times[at], minlength=len(code))
+        block, item = code // len(self.least), code % len(self.least)
+        doc = np.searchsorted(first, block, side="right") - 1
+        codes, counts = [], []
+        for back in range(-1, PARTS + 1):
+            fine = (block - back >= first[doc]) & (block - back < first[doc + 1])
+            codes.append((block[fine] - back) * len(self.least) + item[fine])
+            counts.append(hits[fine])
+        code, place = np.unique(np.concatenate(codes), return_inverse=True)
+        code = code[np.bincount(place, weights=np.concatenate(counts), minlength=len(code)) >= self.least[code % len(self.least)]]
+        return code // len(self.least), code % len(self.least)
+
+
+def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, cosine: float, lcs: float, answer: float) -> DataFrame:
     scaled = basis * weight[:, None]
+    column = dense_columns(df)
     lut = lookup(vocabulary)
-    queries = np.stack([scaled[t[t >= 0]].sum(0) if (t := term_places(w, vocabulary, lut)).size else np.zeros(basis.shape[1], np.float32) for _, w, _ in items])
-    size = np.linalg.norm(queries, axis=1, keepdims=True)
-    queries = np.where(size > 0, queries / np.maximum(size, 1e-12), 0).astype(np.float32)
+    terms = [term_places(w, vocabulary, lut) for _, w, _ in items]
+    queries = np.stack([scaled[t].sum(0) for t in terms])
+    queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    postings = Postings(terms, df, lcs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lut = lookup(vocabulary)
         listed = [w.tolist() for _, w, _ in items]
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
-            for rows, ids, block, first in stretches(batch["_words"]):
+            for rows, ids, block, first in stretches(batch["_words"], max(20_000, min(300_000, 100_000_000 // len(items)))):
                 term = term_places(ids, vocabulary, lut)
-                keep = (term >= 0) & (weight[term] > 0)
-                sums = passage_sums(block_sums(term[keep], block[keep], int(first[-1]), scaled), first)
-                norm = np.linalg.norm(sums, axis=1)
-                some = np.flatnonzero(norm > 0)
-                near = (sums[some] / norm[some, None]) @ queries.T
+                rare = np.flatnonzero(term >= 0)
+                rare = rare[postings.begin[term[rare] + 1] > postings.begin[term[rare]]]
+                at_block, at_item = postings.pairs(term[rare], block[rare], first)
+                # only the stretches of passages that are compared are summed up
+                wanted = np.zeros(int(first[-1]) + PARTS, bool)
+                for k in range(PARTS):
+                    wanted[at_block + k] = True
+                keep = (term >= 0) & wanted[block]
+                sums = passage_sums(block_sums(term[keep], block[keep], int(first[-1]), scaled, column), first)
+                sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
                 begins = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(ids)]])
-                owner = np.searchsorted(first, np.arange(first[-1]), side="right") - 1
-                for p, q in zip(*np.nonzero(near >= cosine), strict=True):
-                    at, doc = int(some[p]), int(owner[some[p]])
+                near = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", sums[at_block[k : k + 100_000]], queries[at_item[k : k + 100_000]]) for k in range(0, len(at_block), 100_000)]])
+                last, there = None, set()
+                for k in np.flatnonzero(near >= cosine).tolist():
+                    at, q = int(at_block[k]), int(at_item[k])
+                    doc = int(np.searchsorted(first, at, side="right")) - 1
                     item, want, end = items[q]
                     lo = max(begins[first[doc]], begins[at] - STEP)
                     hi = min(begins[first[doc + 1]], begins[min(at + PARTS, first[doc + 1])] + STEP)
                     region = ids[lo:hi]
-                    there = set(region.tolist())
+                    if last != at:
+                        last, there = at, set(region.tolist())
                     if sum(map(there.__contains__, listed[q])) < lcs * len(want):
                         continue  # no common subsequence is longer than the words that both have
                     share = common_length(want, region) / len(want)
@@ -223,8 +325,8 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
                     said = float(np.isin(end, region).mean())
                     if said < answer and share < SURE:
                         continue
-                    found = (share, said, float(near[p, q]), int(begins[at] - begins[first[doc]]))
-                    key = (rows[doc], int(q))
+                    found = (share, said, float(near[k]), int(begins[at] - begins[first[doc]]))
+                    key = (rows[doc], q)
                     if found > best.get(key, (0.0,)):
                         best[key] = found
             yield pd.DataFrame(
@@ -256,18 +358,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not items:
             continue
         vocabulary = np.unique(np.concatenate([w for _, w, _ in items]))
-        low, place = np.unique(vocabulary & ((1 << LUT_BITS) - 1), return_index=True)
-        vocabulary = vocabulary[place]  # words that share low bits count as the first of them
         words = stored(tokenised(docs, id_col, text_col, vocabulary), "lsa-words")
-        df, total = summed(words.where("_df is not null"), "_df", np.int64)
-        if df is None or not total:
+        df, total = distinct_counts(words, vocabulary)
+        if df is None:
             continue
-        # words of all stretches are left out unless the corpus is too small to tell
-        weight = np.where(df <= max(COMMON * total, 3), np.sqrt(total / np.maximum(df, 1)), 0.0).astype(np.float32)
-        weight /= weight.max() or 1.0
+        # every word counts, the commonest, too: a passage that leaks often makes its own words common
+        weight = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+        weight /= weight.max()
         texts = words.where("_words is not null")
-        basis = singular_vectors(texts, vocabulary, weight)
-        found = search(texts, items, item_kind, vocabulary, weight, basis, kind, cosine, lcs, answer)
+        basis = singular_vectors(texts, vocabulary, weight, dense_columns(df))
+        found = search(texts, items, item_kind, vocabulary, weight, df, basis, kind, cosine, lcs, answer)
         out = found if out is None else out.unionByName(found)
     if out is None:
         schema = f"_id {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long"
