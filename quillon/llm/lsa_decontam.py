@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of all documents are TF-IDF rows over the benchmark's words. One pass makes a randomised sketch of their
-Gram matrix, from which the leading right singular vectors follow (Nystrom). Passages and benchmark items are compared
-by cosine in that space; candidates pass a longest-common-subsequence and an answer check. Only pairs that share
-enough of the item's rarest words for such a subsequence are compared at all, which loses none.
+Gram matrix, from which the leading right singular vectors follow (Nystrom). Candidates are the pairs that share enough
+of the item's rarest words for the wanted common subsequence, which loses none; they pass a longest-common-subsequence
+and an answer check. The cosine in the space of the singular vectors is given with each pair but drops none, as vectors
+of low rank miss copies.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SKETCH, RANK = 96, 80
 BLOCK_ITEMS = 4096
 #: So many of the commonest words are counted in a dense table, which is quicker than one by one.
 DENSE = 256
-COSINE, LCS, ANSWER, SURE = 0.35, 0.6, 0.5, 0.85
+LCS, ANSWER, SURE = 0.6, 0.5, 0.85
 SENTENCE = re.compile(r"[^.!?\n]+")
 LUT_BITS = 20
 
@@ -279,11 +280,13 @@ class Postings:
         return code // len(self.least), code % len(self.least)
 
 
-def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, cosine: float, lcs: float, answer: float) -> DataFrame:
+def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, lcs: float, answer: float) -> DataFrame:
     scaled = basis * weight[:, None]
     column = dense_columns(df)
     lut = lookup(vocabulary)
-    terms = [term_places(w, vocabulary, lut) for _, w, _ in items]
+    # a piece of an item: the item, its place there, its number of words
+    pieces = [(q, int(x[0]), len(x)) for q, (_, w, _) in enumerate(items) for x in np.array_split(np.arange(len(w)), -(-len(w) // (PARTS * STEP)))]
+    terms = [term_places(items[q][1][a : a + n], vocabulary, lut) for q, a, n in pieces]
     queries = np.stack([scaled[t].sum(0) for t in terms])
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     postings = Postings(terms, df, lcs)
@@ -293,7 +296,7 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
         listed = [w.tolist() for _, w, _ in items]
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
-            for rows, ids, block, first in stretches(batch["_words"], max(20_000, min(300_000, 100_000_000 // len(items)))):
+            for rows, ids, block, first in stretches(batch["_words"], max(20_000, min(300_000, 100_000_000 // len(pieces)))):
                 term = term_places(ids, vocabulary, lut)
                 rare = np.flatnonzero(term >= 0)
                 rare = rare[postings.begin[term[rare] + 1] > postings.begin[term[rare]]]
@@ -307,20 +310,29 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
                 sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
                 begins = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(ids)]])
                 near = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", sums[at_block[k : k + 100_000]], queries[at_item[k : k + 100_000]]) for k in range(0, len(at_block), 100_000)]])
-                last, there = None, set()
-                for k in np.flatnonzero(near >= cosine).tolist():
-                    at, q = int(at_block[k]), int(at_item[k])
+                last, there, tried = None, set(), {}
+                for k in range(len(near)):
+                    at, (q, before, size) = int(at_block[k]), pieces[at_item[k]]
                     doc = int(np.searchsorted(first, at, side="right")) - 1
                     item, want, end = items[q]
-                    lo = max(begins[first[doc]], begins[at] - STEP)
-                    hi = min(begins[first[doc + 1]], begins[min(at + PARTS, first[doc + 1])] + STEP)
+                    # around the piece, what the rest of the item may take up where words are put between its own
+                    ahead, behind = int(before / lcs), int((len(want) - before - size) / lcs)
+                    lo = max(begins[first[doc]], begins[at] - STEP - ahead)
+                    hi = min(begins[first[doc + 1]], begins[min(at + PARTS, first[doc + 1])] + STEP + behind)
+                    if size < len(want):
+                        if any(a <= lo and hi <= b for a, b in tried.get((doc, q), ())):
+                            continue  # nothing was found in more words than these
+                        if (rows[doc], q) in best and best[rows[doc], q][0] == 1.0:
+                            continue
                     region = ids[lo:hi]
-                    if last != at:
-                        last, there = at, set(region.tolist())
+                    if last != (lo, hi):
+                        last, there = (lo, hi), set(region.tolist())
                     if sum(map(there.__contains__, listed[q])) < lcs * len(want):
+                        tried.setdefault((doc, q), []).append((lo, hi))
                         continue  # no common subsequence is longer than the words that both have
                     share = common_length(want, region) / len(want)
                     if share < lcs:
+                        tried.setdefault((doc, q), []).append((lo, hi))
                         continue
                     said = float(np.isin(end, region).mean())
                     if said < answer and share < SURE:
@@ -337,13 +349,14 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
     return words.select("_id", "_words").mapInPandas(run, f"_id {id_kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
     """(id, item_id, cosine, lcs_share, answer_share, at_word): a row for each document and benchmark item that a
     passage of it repeats or paraphrases, with the passage's place.
 
     A candidate counts when the longest common subsequence holds `lcs` of the item's words and its surroundings
     `answer` of the words of the item's last sentence, or SURE of the item's words alone. Null and empty texts match
-    nothing, on either side; repeated rows are judged alike; an empty benchmark gives no rows; other columns are left
+    nothing, on either side; items longer than a passage are looked for in pieces of a passage's length and compared as
+    a whole with len(item) / lcs words and more around a piece that is found; repeated rows are judged alike; an empty benchmark gives no rows; other columns are left
     behind. Items are searched for in blocks of BLOCK_ITEMS, each in its own passes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -367,7 +380,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         weight /= weight.max()
         texts = words.where("_words is not null")
         basis = singular_vectors(texts, vocabulary, weight, dense_columns(df))
-        found = search(texts, items, item_kind, vocabulary, weight, df, basis, kind, cosine, lcs, answer)
+        found = search(texts, items, item_kind, vocabulary, weight, df, basis, kind, lcs, answer)
         out = found if out is None else out.unionByName(found)
     if out is None:
         schema = f"_id {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long"

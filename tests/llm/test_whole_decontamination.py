@@ -40,3 +40,17 @@ def test_item_that_leaks_into_a_third_of_the_rows(spark):
     assert len(want) == 83
     got = contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_items_longer_than_a_passage(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(6000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(1, text(300) + "."), (2, text(1000) + "."), (3, text(150) + ".")]
+    loose = " ".join(w if k % 4 else f"{w} more{k} here{k}" for k, w in enumerate(items[0][1].split()))
+    part = " ".join(items[1][1].split()[:400])
+    rows = [(1, text(90) + " " + items[0][1] + " " + text(70)), (2, items[1][1]), (3, text(33) + " " + items[2][1]), (4, loose), (5, part), *[(k, text(400)) for k in range(10, 50)]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 1)]
+    assert all(r["lcs_share"] == 1.0 for r in got)
