@@ -29,12 +29,13 @@ def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Sentences are the pieces that have a word. Every run of `width` of them is hashed; a run is a repeat when the same
     run stands earlier (smaller id, or earlier in the text), and every sentence in a repeat is removed. Null texts
     have no sentences and keep the empty text; texts of fewer sentences have no run; rows with equal ids and texts are
-    one document; a null id comes last. Columns of these names in docs are replaced.
+    one document, different texts of one id or of none are several, in the order of their digests; a null id comes
+    last. Columns of these names in docs are replaced.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), _pieces(F.col(text_col)).alias("_pieces"))
-    keyed = rows.select("_id", F.transform("_pieces", lambda p: _same(p)).alias("_same"))
-    spoken = keyed.select("_id", F.filter(F.transform("_same", lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x["s"] != "").alias("_x"))
-    hashed = spoken.select("_id", F.col("_x.at").alias("_at"), F.transform("_x.s", lambda s: F.xxhash64(s)).alias("_h"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text_col).alias("_node"), _pieces(F.col(text_col)).alias("_pieces"))
+    keyed = rows.select("_id", "_node", F.transform("_pieces", lambda p: _same(p)).alias("_same"))
+    spoken = keyed.select("_id", "_node", F.filter(F.transform("_same", lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x["s"] != "").alias("_x"))
+    hashed = spoken.select("_id", "_node", F.col("_x.at").alias("_at"), F.transform("_x.s", lambda s: F.xxhash64(s)).alias("_h"))
     n = F.size("_h") - (width - 1)
     runs = F.transform(
         F.sequence(F.lit(1), n),
@@ -43,16 +44,16 @@ def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             *[F.element_at("_at", k + j).alias(f"p{j}") for j in range(width)],
         ),
     )
-    spans = hashed.where(n > 0).select("_id", F.explode(runs).alias("_r")).select("_id", "_r.*")
+    spans = hashed.where(n > 0).select("_id", "_node", F.explode(runs).alias("_r")).select("_id", "_node", "_r.*")
     spans = stored(spans, "span-hashes")
-    firsts = spans.groupBy("h").agg(F.min(F.struct("_id", "p0")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("h", "_first")
-    later = spans.join(firsts, "h").where(F.struct("_id", "p0") != F.col("_first"))
-    gone = later.select("_id", F.explode(F.array(*[f"p{j}" for j in range(width)])).alias("_p")).distinct()
-    gone = gone.groupBy("_id").agg(F.sort_array(F.collect_list("_p")).alias("removed"))
+    firsts = spans.groupBy("h").agg(F.min(F.struct("_id", "_node", "p0")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("h", "_first")
+    later = spans.join(firsts, "h").where(F.struct("_id", "_node", "p0") != F.col("_first"))
+    gone = later.select("_id", "_node", F.explode(F.array(*[f"p{j}" for j in range(width)])).alias("_p")).distinct()
+    gone = gone.groupBy("_id", "_node").agg(F.sort_array(F.collect_list("_p")).alias("removed"))
     gone = stored(gone, "span-gone")
     made = ["n_sentences", "n_removed", "removed", "kept_text"]
-    texts = docs.drop(*made).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    joined = texts.join(gone.withColumnRenamed("removed", "_gone"), "_id", "left").drop("_id")
+    texts = docs.drop(*made).withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_node": F.xxhash64(text_col)})
+    joined = texts.join(gone.withColumnRenamed("removed", "_gone"), ["_id", "_node"], "left").drop("_id", "_node")
     removed = F.coalesce("_gone", F.array().cast("array<int>"))
     pieces = _pieces(F.col(text_col))
     return (

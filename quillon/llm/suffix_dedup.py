@@ -355,9 +355,13 @@ def _sort_bucket(length: int, buckets: int):
     def work(group: pd.DataFrame) -> pd.DataFrame:
         node, doc, at, key = _cat(group["c"], np.int64), _cat(group["d"], np.int64), _cat(group["e"], np.uint32).astype(np.int64), _cat(group["f"], np.uint64)
         order = np.lexsort((at, node, doc))
+        # a row that stands twice sends its windows twice, but is one document
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (node[order[1:]] == node[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
         priority = np.empty(len(order), np.int64)
         priority[order] = np.arange(len(order))
         if group["kind"].iloc[0] == 1:
+            node, doc, at, key, priority = (x[~again] for x in (node, doc, at, key, priority))
             order = np.lexsort((priority, key))
             late = np.zeros(len(order), bool)
             late[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -366,6 +370,7 @@ def _sort_bucket(length: int, buckets: int):
         size = windows + length - 1
         start = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
+        order = order[~again[order]]
         found = []
         new = np.concatenate([[0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]])
         sums = np.concatenate([[0], np.cumsum(size[order])])
