@@ -1,6 +1,7 @@
 """Operators with an exact answer against brute force, with nulls, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -94,10 +95,46 @@ def test_sentence_spans(docs, empty):
     assert all(r["kept_text"] == (r["text"] or "") for r in got if not r["n_removed"])
     text = "One two. Three four! Five six? Seven."
     df = docs.sparkSession.createDataFrame([(1, text), (2, "New here. " + text + " And more."), (3, None), (4, "One two.")], "doc_id long, text string")
-    by = {r["doc_id"]: r for r in sentence_spans(df).collect()}
+    by = {r["doc_id"]: r for r in sentence_spans(df, width=3, words=0).collect()}
     assert by[1]["n_removed"] == 0 and by[2]["n_removed"] == 4 and by[2]["kept_text"] == "New here. And more." and by[4]["n_removed"] == 0
 
 
+def brute_spans(rows, width, words):
+    """kept text by (id, text): runs compared as words, in the order of ids and of the digests of texts."""
+    parsed, first = {}, {}
+    for i, node, t in sorted(set(rows)):
+        pieces = re.findall(r"[^.!?,;:\n]+[.!?,;:\n]*|[.!?,;:\n]+", t)
+        spoken = [k for k, p in enumerate(pieces) if p.split()]
+        said = [tuple(re.findall(r"[^\x20\x09-\x0D]+", pieces[k].lower())) for k in spoken]
+        parsed[i, t] = pieces, spoken, []
+        for a in range(len(said)):
+            z = next((z for z in range(a + width, len(said) + 1) if sum(map(len, said[a:z])) >= words), None)
+            if z and first.setdefault(tuple(said[a:z]), (i, node, a)) != (i, node, a):
+                parsed[i, t][2].extend(range(a, z))
+    return {k: ("".join(p for n, p in enumerate(ps) if n not in {sp[g] for g in gone}), len(set(gone)), len(sp)) for k, (ps, sp, gone) in parsed.items()}
+
+
+def test_sentence_spans_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("stone river light cold Green walk under paper seven Ridge".split()) + str(rng.randrange(4))
+    said = lambda n: "".join(" ".join(word() for _ in range(rng.choice([1, 1, 2, 5, 9]))) + rng.choice([". ", ", ", "! ", ";\n"]) for _ in range(n))
+    passages = [said(9) for _ in range(6)]
+    rows = []
+    for k in range(90):
+        text = said(rng.randrange(1, 12)) + rng.choice(passages)[rng.randrange(0, 40) :] + said(rng.randrange(0, 9))
+        rows.append((None if k % 7 == 0 else k % 60, text))
+    rows += [(3, rows[3][1]), (None, rows[0][1]), (70, rows[5][1]), (71, "Yes. Yes. Yes. Yes. " * 9), (72, ""), (73, None), (74, " \n.. "), (75, said(4000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = {r["text"]: r["n"] for r in df.selectExpr("text", "xxhash64(text) n").collect()}
+    for width, words in ((2, 12), (3, 0)):
+        want = brute_spans([(BIG if i is None else i, nodes[t], t or "") for i, t in rows], width, words)
+        got = sentence_spans(df, width=width, words=words).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            key = (BIG if r["doc_id"] is None else r["doc_id"], r["text"] or "")
+            assert (r["kept_text"], r["n_removed"], r["n_sentences"]) == want[key]
+
+
 def test_gif_round_trip(docs, empty):
     media = gif_column(docs)
     got = media_digest(media).collect()

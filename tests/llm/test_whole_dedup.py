@@ -24,7 +24,7 @@ def test_different_texts_under_one_id(spark):
     said = "One two. Three four! Five six? "
     for key in (None, 5):
         rows = [(1, said + "Seven."), (key, "New here. " + said + "And more."), (key, "All of it. Is quite. New to us. Or so."), (key, said + "Eight."), (key, "Q r. S t. U v. First."), (key, "Q r. S t. U v. Other.")]
-        got = {r["text"]: r for r in sentence_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        got = {r["text"]: r for r in sentence_spans(spark.createDataFrame(rows, "doc_id long, text string"), width=3, words=0).collect()}
         assert got[rows[1][1]]["kept_text"] == "New here. And more."
         assert got[rows[2][1]]["kept_text"] == rows[2][1]
         assert got[rows[3][1]]["kept_text"] == " Eight."
