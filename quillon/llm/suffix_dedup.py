@@ -501,7 +501,7 @@ def cut_texts(rows: DataFrame, length: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256): the UTF-8 bytes of every text without those covered by a
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256, text_sha256): the UTF-8 bytes of every text without those covered by a
     string of length bytes that also starts earlier (smaller id, or earlier in the same text).
 
     kept is what remains as text, without characters that a cut left in part; it is null where nothing was removed, so
@@ -530,8 +530,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = stored(cut_texts(texts.join(gone, "id"), length), "suffix-cuts").dropDuplicates(["id", "node"])
 
     whole = packed.where("kind = 2").select("id", "node", "n", "sha")
-    least = whole.groupBy("node").agg(F.min("id").alias("first"))
-    joined = whole.join(least, "node").join(cuts.withColumnRenamed("sha", "cut_sha"), ["id", "node"], "left")
+    least = whole.groupBy("sha").agg(F.min("id").alias("first"))
+    joined = whole.join(least, "sha").join(cuts.withColumnRenamed("sha", "cut_sha"), ["id", "node"], "left")
     copy = (F.col("id") > F.col("first")) & (F.col("n") >= length)
     return joined.select(
         F.when(F.col("id") != LAST, F.col("id")).cast(kind).alias(id_col),
@@ -540,11 +540,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+        F.col("sha").alias("text_sha256"),
     )
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept", "text_sha256")
 
 
 OP8_SQL = r"""
