@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, near-duplicate removal, substring dedup, decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept and is written as Parquet and read
-again. Null ids get a stand-in of their own content while a stage runs, so that such rows are judged like others; rows
-that repeat id and text are one document, of which near-duplicate removal keeps one row. Empty tables pass through.
+again. Stages tell rows apart by id and text: different texts under one id or under none are different documents; rows
+that repeat id and text are one, of which near-duplicate removal keeps one row. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ KEY = "_pipeline_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that is the id, or for null ids a negative number of the row's content."""
-    stand_in = -1 - F.pmod(F.xxhash64("text", "source", "lang"), F.lit(1 << 62))
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    """docs with a key of id and text that sorts by the id, null ones last."""
+    number = F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("none"))
+    return docs.withColumn(KEY, F.concat_ws(":", number, F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated 100-byte strings out of texts; characters that a cut leaves in part go with it; n_chars follows."""
-    keyed = _keyed(docs)
-    cuts = suffix_dedup(keyed.select(KEY, "text"), KEY).where("n_removed > 0").dropDuplicates([KEY])
-    cuts = cuts.select(KEY, F.coalesce("kept", F.lit("")).alias("_kept"), F.lit(True).alias("_cut"))
+    cuts = suffix_dedup(docs.select("doc_id", "text")).where("n_removed > 0").dropDuplicates(["doc_id", "text_sha256"])
+    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.coalesce("kept", F.lit("")).alias("_kept"), F.lit(True).alias("_cut"))
     text = F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col("text"))
     chars = F.when(F.col("_cut"), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out = keyed.join(cuts, KEY, "left").withColumns({"text": text, "n_chars": chars})
-    return out.select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha"))
+    return docs.join(cuts, same, "left").withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
