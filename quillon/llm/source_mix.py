@@ -12,9 +12,10 @@ HASH_HEX = 13
 BINS = 1024
 
 
-def seeded_rank(doc_id: Column, seed: int) -> Column:
-    """A reproducible 52-bit number of a document; null ids share the number of the empty text."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def seeded_rank(doc_id: Column, body: Column, seed: int) -> Column:
+    """A reproducible 52-bit number of a document's id and text, so that texts without an id differ, too."""
+    digest = F.md5(F.coalesce(body.cast("string"), F.lit("")).cast("binary"))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_HEX), 16, 10).cast("long")
 
 
@@ -118,17 +119,17 @@ def mix_sources(
     Sources in code-point order, null last, get the weights in turn and share budget_ratio of all words; a target
     stops at max_epochs times its source's words and the excess goes to the others by weight. Whole repetitions go
     to every document, the fractional one to a seeded part. Null texts have size 0 and take nothing; a null source
-    is a source; repeated rows are decided alike; empty tables give no rows; columns of these names in docs are
+    is a source; rows with equal id and text, null ids included, are decided alike; empty tables give no rows; columns of these names in docs are
     replaced.
     """
-    rank = seeded_rank(F.col(id_col), seed)
+    rank = seeded_rank(F.col(id_col), F.col(text_col), seed)
     sized = docs.select(F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), rank.alias("_rank"))
     plan = plan_mix(stored(sized, "mix-sizes"), weights, budget_ratio, max_epochs)
     made = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
     rows = docs.drop(*made)
     same = F.col(f"d.{source_col}").eqNullSafe(F.col("p._source"))
     size = word_count(F.col(f"d.{text_col}"))
-    copies = F.col("_whole") + (seeded_rank(F.col(f"d.{id_col}"), seed) <= F.col("_cut")).cast("long")
+    copies = F.col("_whole") + (seeded_rank(F.col(f"d.{id_col}"), F.col(f"d.{text_col}"), seed) <= F.col("_cut")).cast("long")
     return (
         rows.alias("d")
         .join(plan.alias("p"), same)
@@ -158,7 +159,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('17:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS rank
+         ('0x' || substr(md5('17:' || COALESCE(doc_id::VARCHAR, '') || ':' || md5(COALESCE(text, ''))), 1, 13))::BIGINT AS rank
   FROM documents),
 s AS (SELECT source, SUM(size)::DOUBLE AS total,
              [5.0, 2.0, 1.0][((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
