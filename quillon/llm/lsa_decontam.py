@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of all documents are TF-IDF rows over the benchmark's words. One pass makes a randomised sketch of their
-Gram matrix, from which the leading right singular vectors follow (Nystrom). Candidates are the pairs that share enough
-of the item's rarest words for the wanted common subsequence, which loses none; they pass a longest-common-subsequence
-and an answer check. The cosine in the space of the singular vectors is given with each pair but drops none, as vectors
-of low rank miss copies.
+Gram matrix, from which the leading right singular vectors follow (Nystrom). Candidates are the pairs of a passage and
+a benchmark item whose cosine in the space of the singular vectors is high enough. Cosines are taken only where the
+passage has enough of the item's rarest words for the wanted common subsequence, which loses no pair that the next check
+would keep. Candidates then pass a longest-common-subsequence and an answer check.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ BLOCK_ITEMS = 4096
 #: So many of the commonest words are counted in a dense table, which is quicker than one by one.
 DENSE = 256
 LCS, ANSWER, SURE = 0.6, 0.5, 0.85
+#: Least cosine of a candidate.
+COSINE = 0.2
+#: Arrays that one task adds up.
+FAN = 8
 SENTENCE = re.compile(r"[^.!?\n]+")
 LUT_BITS = 20
 
@@ -183,21 +187,29 @@ def distinct_counts(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
     return (df, total) if less is None else (df - less, total - some)
 
 
-def summed(rows: DataFrame, column: str, dtype: type, groups: int = 32) -> tuple[np.ndarray | None, int]:
-    """Sum of equally long arrays (binary column) and of _n: first in groups on the executors, then of one array each."""
+def summed(rows: DataFrame, column: str, dtype: type, fan: int = FAN) -> tuple[np.ndarray | None, int]:
+    """Sum of equally long arrays (binary column) and of _n, in a tree: a task adds up what it has, then fan partitions
+    become one, until at most fan arrays are left."""
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for x in group[column]:
-            part = np.frombuffer(x, dtype)
-            total = part.copy() if total is None else total + part
-        return pd.DataFrame({column: [total.tobytes()], "_n": [group["_n"].sum()]})
-
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
-    some = rows.select(column, "_n").withColumn("_g", part).groupBy("_g").applyInPandas(add, f"{column} binary, _n long").collect()
-    if not some:
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = None, 0
+        for batch in batches:
+            n += int(batch["_n"].sum())
+            for x in batch[column]:
+                part = np.frombuffer(x, dtype)
+                total = part.copy() if total is None else np.add(total, part, out=total)
+        if total is not None:
+            yield pd.DataFrame({column: [total.tobytes()], "_n": [n]})
+
+    parts = rows.rdd.getNumPartitions()
+    some = rows.select(column, "_n").mapInPandas(add, f"{column} binary, _n long")
+    while parts > fan:
+        parts = -(-parts // fan)
+        some = some.repartition(parts).mapInPandas(add, f"{column} binary, _n long")
+    found = some.collect()
+    if not found:
         return None, 0
-    return sum(np.frombuffer(r[0], dtype) for r in some), sum(r[1] for r in some)
+    return sum(np.frombuffer(r[0], dtype) for r in found), sum(r[1] for r in found)
 
 
 def singular_vectors(words: DataFrame, vocabulary: np.ndarray, weight: np.ndarray, column: np.ndarray, sketch: int = SKETCH, rank: int = RANK, seed: int = 7) -> np.ndarray:
@@ -280,7 +292,7 @@ class Postings:
         return code // len(self.least), code % len(self.least)
 
 
-def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, lcs: float, answer: float) -> DataFrame:
+def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, lcs: float, answer: float, cosine: float) -> DataFrame:
     scaled = basis * weight[:, None]
     column = dense_columns(df)
     lut = lookup(vocabulary)
@@ -311,7 +323,7 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
                 begins = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(ids)]])
                 near = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", sums[at_block[k : k + 100_000]], queries[at_item[k : k + 100_000]]) for k in range(0, len(at_block), 100_000)]])
                 last, there, tried = None, set(), {}
-                for k in range(len(near)):
+                for k in np.flatnonzero(near >= cosine).tolist():
                     at, (q, before, size) = int(at_block[k]), pieces[at_item[k]]
                     doc = int(np.searchsorted(first, at, side="right")) - 1
                     item, want, end = items[q]
@@ -349,11 +361,11 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
     return words.select("_id", "_words").mapInPandas(run, f"_id {id_kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", lcs: float = LCS, answer: float = ANSWER, cosine: float = COSINE) -> DataFrame:
     """(id, item_id, cosine, lcs_share, answer_share, at_word): a row for each document and benchmark item that a
     passage of it repeats or paraphrases, with the passage's place.
 
-    A candidate counts when the longest common subsequence holds `lcs` of the item's words and its surroundings
+    A candidate (cosine at least `cosine`) counts when the longest common subsequence holds `lcs` of the item's words and its surroundings
     `answer` of the words of the item's last sentence, or SURE of the item's words alone. Null and empty texts match
     nothing, on either side; items longer than a passage are looked for in pieces of a passage's length and compared as
     a whole with len(item) / lcs words and more around a piece that is found; repeated rows are judged alike; an empty benchmark gives no rows; other columns are left
@@ -380,7 +392,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         weight /= weight.max()
         texts = words.where("_words is not null")
         basis = singular_vectors(texts, vocabulary, weight, dense_columns(df))
-        found = search(texts, items, item_kind, vocabulary, weight, df, basis, kind, lcs, answer)
+        found = search(texts, items, item_kind, vocabulary, weight, df, basis, kind, lcs, answer, cosine)
         out = found if out is None else out.unionByName(found)
     if out is None:
         schema = f"_id {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long"
