@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fold, table
+from quillon.llm.common import fold, stored, table
 from quillon.llm.suffix_dedup import ODD, mix
 
 #: Bounds of the fitted model: labelled rows of either class that it learns from, and weights.
 SAMPLE_EACH = 4000
 BITS = 20
+EPOCHS = 4
+#: Parts of the sample that reach the driver one after the other, and examples that are shuffled together.
+PARTS, SHUFFLED = 16, 512
 #: ASCII letters are lower-cased, other ASCII signs but digits separate words.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -30,27 +34,34 @@ def hashed_ngrams(text: str | None) -> np.ndarray:
     return (mix(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def ftrl(examples: list[np.ndarray], y: np.ndarray, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, base): per-coordinate learning rates, weights that L1 leaves at zero are left out."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    zb, nb = 0.0, 0.0
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for k in rng.permutation(len(y)):
-            at = examples[k]
-            zs, root = z[at], np.sqrt(n[at])
-            w = np.where(np.abs(zs) > l1, (np.sign(zs) * l1 - zs) / ((beta + root) / alpha + l2), 0.0)
-            b = -zb / ((beta + np.sqrt(nb)) / alpha)
-            p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35)))
-            g = p - y[k]
-            sigma = (np.sqrt(n[at] + g * g) - root) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
-            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b
-            nb += g * g
-    w = np.where(np.abs(z) > l1, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
-    places = np.flatnonzero(w)
-    return places.astype(np.int32), w[places].astype(np.float32), float(-zb / ((beta + np.sqrt(nb)) / alpha))
+class Ftrl:
+    """FTRL-proximal with a learning rate for each coordinate; weights that L1 leaves at zero are left out."""
+
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        self.zb, self.nb = 0.0, 0.0
+
+    def weights(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) > self.l1, (np.sign(z) * self.l1 - z) / ((self.beta + root) / self.alpha + self.l2), 0.0)
+
+    def base(self) -> float:
+        return -self.zb / ((self.beta + np.sqrt(self.nb)) / self.alpha)
+
+    def learn(self, at: np.ndarray, y: float) -> None:
+        """One step for an example with the features at."""
+        zs, root = self.z[at], np.sqrt(self.n[at])
+        w, b = self.weights(zs, root), self.base()
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y
+        self.z[at] += g - (np.sqrt(self.n[at] + g * g) - root) / self.alpha * w
+        self.n[at] += g * g
+        self.zb += g - (np.sqrt(self.nb + g * g) - np.sqrt(self.nb)) / self.alpha * b
+        self.nb += g * g
+
+    def model(self) -> tuple[np.ndarray, np.ndarray, float]:
+        w = self.weights(self.z, np.sqrt(self.n))
+        places = np.flatnonzero(w)
+        return places.astype(np.int32), w[places].astype(np.float32), float(self.base())
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", each: int = SAMPLE_EACH) -> dict:
@@ -73,13 +84,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
             yield pd.DataFrame({"_id": batch["_id"], "_label": batch["_label"], "_x": [np.unique(hashed_ngrams(t)).tobytes() for t in batch["_text"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    # the sample is bounded, so it can go to all tasks
+    # the sample is bounded, so it can go to all tasks; its texts' features come to the learner a part at a time
     found = rows.join(F.broadcast(some), rows["_id"] == some["_key"]).select("_id", "_text", "_label")
-    found = found.mapInPandas(measure, f"_id {kind}, _label int, _x binary").toPandas().sort_values(["_id", "_label"], kind="stable")
-    y = found["_label"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
+    found = found.mapInPandas(measure, f"_id {kind}, _label int, _x binary").withColumn("_p", F.xxhash64("_id", "_label", "_x"))
+    found = stored(found.repartitionByRange(PARTS, "_p").sortWithinPartitions("_p"), "toxicity-sample")
+    if found.select("_label").distinct().count() < 2:
         return empty
-    places, weights, base = ftrl([np.frombuffer(x, np.int32) for x in found["_x"]], y)
+    learner, rng = Ftrl(), np.random.default_rng(5)
+    for _ in range(EPOCHS):
+        part: list = []
+        for row in chain(found.toLocalIterator(), [None]):
+            if row is not None:
+                part.append(row)
+            if len(part) == SHUFFLED or row is None:
+                for k in rng.permutation(len(part)):
+                    learner.learn(np.frombuffer(part[k]["_x"], np.int32), float(part[k]["_label"]))
+                part = []
+    places, weights, base = learner.model()
     return {"places": places, "weights": weights, "base": base + float(np.log(rates[0] / rates[1]))}
 
 
