@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Folders made for applications that name none, as in tests.
+#: Folders made for local sessions that name none, as in tests.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local session that names none gets a temporary one;
+    on a cluster that is an error, as executors don't share the driver's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="quillon-checkpoint-")
