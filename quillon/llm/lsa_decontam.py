@@ -14,7 +14,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,42 +148,20 @@ def stretch_counts(words: Iterable[bytes], vocabulary: np.ndarray, lut: np.ndarr
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray) -> DataFrame:
-    """(_id, _words, _node, _df, _n, _key): words of a text as numbers and their digest; rows without words carry counts
-    of stretches by word of the vocabulary instead, one for each batch."""
+    """(_id, _words, _df, _n): words of a text as numbers; rows without words carry counts of stretches by word of the
+    vocabulary instead, one for each batch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lut = lookup(vocabulary)
         for batch in batches:
             words = [word_ids(t).tobytes() for t in batch["_text"]]
-            node = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-            yield pd.DataFrame({"_id": batch["_id"], "_words": words, "_node": node, "_df": None, "_n": 0})
+            yield pd.DataFrame({"_id": batch["_id"], "_words": words, "_df": None, "_n": 0})
             df, total = stretch_counts(words, vocabulary, lut)
-            yield pd.DataFrame({"_id": [None], "_words": [None], "_node": [0], "_df": [df.tobytes()], "_n": [total]})
+            yield pd.DataFrame({"_id": [None], "_words": [None], "_df": [df.tobytes()], "_n": [total]})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = rows.mapInPandas(run, f"_id {kind}, _words binary, _node long, _df binary, _n long")
-    return found.withColumn("_key", F.monotonically_increasing_id())
-
-
-def distinct_counts(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray | None, int]:
-    """Stretches of distinct texts that have each word, and all of them: those of all rows less those of copies."""
-    df, total = summed(words.where("_df is not null"), "_df", np.int64)
-    if df is None or not total:
-        return None, 0
-    texts = words.where("_words is not null")
-    firsts = texts.groupBy("_node").agg(F.min("_key").alias("_key")).select("_key")
-    copies = texts.select("_key").join(firsts, "_key", "left_anti")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut = lookup(vocabulary)
-        for batch in batches:
-            df, total = stretch_counts(batch["_words"], vocabulary, lut)
-            yield pd.DataFrame({"_df": [df.tobytes()], "_n": [total]})
-
-    again = texts.join(copies, "_key", "left_semi").select("_words").mapInPandas(run, "_df binary, _n long")
-    less, some = summed(again, "_df", np.int64)
-    return (df, total) if less is None else (df - less, total - some)
+    return rows.mapInPandas(run, f"_id {kind}, _words binary, _df binary, _n long")
 
 
 def summed(rows: DataFrame, column: str, dtype: type, fan: int = FAN) -> tuple[np.ndarray | None, int]:
@@ -384,10 +361,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             continue
         vocabulary = np.unique(np.concatenate([w for _, w, _ in items]))
         words = stored(tokenised(docs, id_col, text_col, vocabulary), "lsa-words")
-        df, total = distinct_counts(words, vocabulary)
-        if df is None:
+        df, total = summed(words.where("_df is not null"), "_df", np.int64)
+        if df is None or not total:
             continue
-        # every word counts, the commonest, too: a passage that leaks often makes its own words common
+        # every word keeps a weight, the commonest, too: a passage that leaks often makes its own words common
         weight = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
         weight /= weight.max()
         texts = words.where("_words is not null")
