@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES, TIME = "series_id", "ts"
+#: Columns that windows by time order by before the time, as long as blocks are built; they never change the order.
+ORDER: list[str] = []
 
 
 def by_time(*more: str) -> WindowSpec:
-    return Window.partitionBy(SERIES, *more).orderBy(TIME)
+    return Window.partitionBy(SERIES, *more).orderBy(*[c for c in ORDER if c not in more], TIME)
 
 
 def nz(x: Column) -> Column:
@@ -24,11 +26,6 @@ def no(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
-def clean(x: Column) -> Column:
-    """NaN as NULL, for values that come from pandas."""
-    return F.when(~F.isnan(x), x)
-
-
 def diff(x: Column, n: int = 1) -> Column:
     return x - F.lag(x, n).over(by_time())
 
@@ -51,8 +48,13 @@ def full_frame(x: Column, rows: int, fn) -> Column:
 def trailing_rank(x: Column, rows: int = 1000, least: int = 250) -> Column:
     """Average rank of x among the non-null values of the last rows rows, as a share; NULL with under least values."""
     seen = F.collect_list(x).over(by_time().rowsBetween(-(rows - 1), 0))
-    below, same = F.size(F.filter(seen, lambda v: v < x)), F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull() & (F.size(seen) >= least), (below + (same + 1) / 2.0) / F.size(seen))
+
+    def share(values: Column) -> Column:
+        under = F.aggregate(values, F.lit(0.0), lambda n, v: n + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
+        return F.when(x.isNotNull() & (F.size(values) >= least), (under + 0.5) / F.size(values))
+
+    # the list is named by a lambda, as the planner would collect it anew for each place that it stands in
+    return F.element_at(F.transform(F.array(seen), share), 1)
 
 
 def crossing(fast: Column, slow: Column) -> Column:

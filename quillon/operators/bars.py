@@ -79,6 +79,22 @@ def short_sessions(df: DataFrame, top: int = 10, bars_per_session: int = SESSION
     return sizes.where(F.col("n_bars") < bars_per_session).orderBy("n_bars", "session_date", SERIES).limit(top)
 
 
+def session_invariants(df: DataFrame) -> DataFrame:
+    """One row for each series with session columns: sessions, open and close flags, longest session, largest first
+    place; in clean bars the first three are equal and the last is 0."""
+    firsts = df.groupBy(SERIES, "session_date").agg(F.count("*").alias("n"), F.min_by("bar_of_day", TIME).alias("first"), F.count_if("is_session_open").alias("opens"), F.count_if("is_session_close").alias("closes"))
+    return firsts.groupBy(SERIES).agg(
+        F.count("*").alias("n_sessions"), F.sum("opens").alias("n_opens"), F.sum("closes").alias("n_closes"), F.max("n").alias("longest"), F.max("first").alias("largest_first")
+    )
+
+
+def outside_sessions(df: DataFrame, start: str = SESSION_START, end: str = SESSION_END) -> DataFrame:
+    """By series the rows outside the regular session and their dates, sorted, as one text."""
+    out = df.where(~F.date_format(TIME, "HH:mm").between(start, end))
+    dates = F.array_sort(F.collect_set(F.date_format(TIME, "yyyy-MM-dd")))
+    return out.groupBy(SERIES).agg(F.count("*").alias("n_rows"), F.size(dates).alias("n_dates"), F.array_join(dates, ",").alias("dates"))
+
+
 def null_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = columns or df.columns
     counts = df.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME, any_null, by_time, ln
+from quillon.operators.features import model_columns
 
 
 def forward_return(df: DataFrame, horizon: int = 1) -> DataFrame:
@@ -30,9 +31,20 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return list(columns)
 
 
+RETURN_COLUMNS = ["ret_1", "ret_20"]
+REGIME_COLUMNS = ["regime_p_bull", "regime_p_bear", "regime_p_sideways", "regime_p_high_vol", "regime_confidence", "regime_changepoint", "regime_entropy"]
+
+
+def final_features(df: DataFrame) -> list[str]:
+    """The inputs of models in order: technical columns, returns, regime columns. KeyError when one is missing."""
+    return require_columns(df, [*model_columns(df), *RETURN_COLUMNS, *REGIME_COLUMNS])
+
+
 def usable(df: DataFrame, columns: Sequence[str], lookback: int = 32) -> DataFrame:
-    """df with usable and window_ok: the last lookback rows are all usable."""
-    fine = ~any_null([*require_columns(df, columns), "y"]) & ~F.col("is_warmup")
+    """df with usable and window_ok: the last lookback rows are all usable (inputs, target and, where there is one, the
+    regime not NULL, no warm-up)."""
+    needed = [*require_columns(df, columns), "y", *(["regime"] if "regime" in df.columns else [])]
+    fine = ~any_null(needed) & ~F.col("is_warmup")
     df = df.withColumn("usable", F.coalesce(fine, F.lit(False)))
     frame = by_time().rowsBetween(-(lookback - 1), 0)
     return df.withColumn("window_ok", F.sum(F.col("usable").cast("int")).over(frame) == lookback)
@@ -46,6 +58,28 @@ def windows(df: DataFrame, columns: Sequence[str], lookback: int = 32) -> DataFr
     return df.withColumn("x", F.collect_list(row).over(frame)).where("window_ok").select(SERIES, TIME, "row_index", "y", "x")
 
 
+def require_windows(df: DataFrame, columns: Sequence[str], lookback: int = 32) -> DataFrame:
+    """windows(df), or ValueError where no series has more than lookback usable rows."""
+    counts = usable(df, columns, lookback).groupBy(SERIES).agg(F.count_if("usable").alias("n"))
+    if counts.where(F.col("n") > lookback).isEmpty():
+        raise ValueError("not enough usable rows to build a single window")
+    return windows(df, columns, lookback)
+
+
+def last_windows(df: DataFrame, rows: int = 9000) -> DataFrame:
+    """The latest windows of all series, for a quick run."""
+    return df.orderBy(F.col(TIME).desc(), SERIES).limit(rows)
+
+
+def require_training(df: DataFrame, share: float = 0.15, gap: int = 33) -> DataFrame:
+    """chronological_split(df), or ValueError where a series keeps no training row after the purge."""
+    n = F.count("*")
+    left = df.groupBy(SERIES).agg((n - F.floor(n * share) - gap).alias("left"))
+    if not left.where(F.col("left") <= 0).isEmpty():
+        raise ValueError("the validation share leaves no training data after purging")
+    return chronological_split(df, share, gap)
+
+
 def chronological_split(df: DataFrame, share: float = 0.15, gap: int = 33) -> DataFrame:
     """df with part: train, then gap purged rows, then the last share of each series as val; a short series may have no
     training rows."""
@@ -70,8 +104,17 @@ def scaler_statistics(df: DataFrame, columns: Sequence[str], lookback: int = 32)
 
 
 def scaled(df: DataFrame, statistics: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with columns standardised by the (few) rows of statistics."""
-    found = {r["column_name"]: (r["mean"], r["std"]) for r in statistics.collect()}
-    if not found:
+    """df with columns standardised by statistics(column_name, mean, std), which become one row that goes to all tasks;
+    columns that the statistics lack become NULL."""
+    of = {c: [F.max(F.when(F.col("column_name") == c, F.col(x))).alias(f"_{x}_{k}") for x in ("mean", "std")] for k, c in enumerate(columns)}
+    one = statistics.agg(*[x for pair in of.values() for x in pair])
+    out = df.crossJoin(F.broadcast(one))
+    out = out.withColumns({c: ((F.col(c).cast("double") - F.col(f"_mean_{k}")) / F.col(f"_std_{k}")).cast("float") for k, c in enumerate(columns)})
+    return out.drop(*[f"_{x}_{k}" for k in range(len(columns)) for x in ("mean", "std")])
+
+
+def require_fitted(statistics: DataFrame) -> DataFrame:
+    """RuntimeError where a scaler has no statistics."""
+    if statistics.isEmpty():
         raise RuntimeError("the scaler is not fitted")
-    return df.withColumns({c: ((F.col(c).cast("double") - found[c][0]) / found[c][1]).cast("float") for c in columns})
+    return statistics

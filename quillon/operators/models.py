@@ -10,17 +10,17 @@ from collections.abc import Callable
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME
 from quillon.operators import dataset as D
-from quillon.operators import evaluate as E
 
 REGISTRY: dict[str, Callable] = {
     "logistic": lambda n: LogisticRegression(maxIter=50, regParam=0.01),
-    "boosted_trees": lambda n: GBTClassifier(maxIter=20, maxDepth=3, seed=42),
+    "boosted_trees": lambda n: GBTClassifier(maxIter=10, maxDepth=3, seed=42),
     "perceptron": lambda n: MultilayerPerceptronClassifier(layers=[n, 32, 2], maxIter=100, seed=42),
 }
 
@@ -41,13 +41,25 @@ def predict(model: Model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(SERIES, TIME, "row_index", "part", F.col("label").alias("y"), p.alias("p"))
 
 
-def compare(windows: DataFrame, width: int, names: tuple[str, ...] = tuple(REGISTRY)) -> DataFrame:
-    """Metrics of each model on each part, at the threshold that its validation part prefers."""
-    rows = examples(D.chronological_split(windows))
+def predictions(windows: DataFrame, width: int, names: tuple[str, ...] = tuple(REGISTRY)) -> DataFrame:
+    """(model, series, time, row_index, part, y, p) of each model on all windows but the purged ones."""
+    rows = examples(D.chronological_split(windows)).cache()
     out = None
     for name in names:
-        found = predict(train(rows, name, width), rows)
-        at = E.pick_threshold(found.where("part = 'val'"))
-        metrics = E.classification_metrics(found.where("part <> 'purge'"), at, ("part",)).withColumn("model", F.lit(name))
-        out = metrics if out is None else out.unionByName(metrics)
+        found = predict(train(rows, name, width), rows.where("part <> 'purge'")).withColumn("model", F.lit(name))
+        out = found if out is None else out.unionByName(found)
     return out
+
+
+def save(model: Model, path: str, columns: list[str]) -> None:
+    """A trained model with the names of its inputs."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = model.sparkSession if hasattr(model, "sparkSession") else SparkSession.active()
+    spark.createDataFrame([(k, c) for k, c in enumerate(columns)], "position int, column_name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def load(path: str) -> tuple[Model, list[str]]:
+    """A saved model, whatever its kind, and the names of its inputs in order."""
+    spark = SparkSession.active()
+    model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+    return model, [r["column_name"] for r in spark.read.parquet(f"{path}/columns").orderBy("position").collect()]

@@ -1,7 +1,9 @@
 """Market regimes by a Gaussian hidden Markov model, decoded causally.
 
-The filter, smoother and Viterbi path need the rows of a series in order, and so run in one task a series, over the
-few columns that they read; different series run in parallel. Statistics over their labels are plain aggregates.
+The rows of a series that are scored are cut into blocks. What a block does to the state probabilities is a small
+matrix; the matrices of the blocks, one row each, are taken through in order, and then every block is run from the
+probabilities it begins (and ends) with. So filter, smoother, Viterbi path and each step of the fit run on all cores
+over one series. Statistics over the labels are plain aggregates.
 """
 
 from __future__ import annotations
@@ -10,96 +12,276 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME, by_time, ln
+from quillon.operators.blocks import in_blocks, numbered
+from quillon.operators.features import with_seed
 
 INPUTS = ["ret_1", "ret_20", "atr_pct", "adx_14"]
 NAMES = ["bull", "bear", "sideways", "high_vol"]
 
 
+#: Scored rows that one task runs through.
+BLOCK = 4096
+SEED_ROWS = 250
+
+
 def regime_inputs(df: DataFrame) -> DataFrame:
+    """df with ret_1 and ret_20, differences of the logarithm of the close."""
     x = ln(F.col("close"))
-    return df.withColumns({f"ret_{n}": x - F.lag(x, n).over(by_time()) for n in (1, 20)})
+    return in_blocks(df, lambda d: d.withColumns({f"ret_{n}": x - F.lag(x, n).over(by_time()) for n in (1, 20)}), 20)
 
 
-def log_density(x: np.ndarray, means: np.ndarray, covars: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covars, strict=True)):
-        root = np.linalg.cholesky(c)
-        z = np.linalg.solve(root, (x - m).T)
-        out[:, k] = -0.5 * (z**2).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
+class Hmm:
+    """The parameters of a model as arrays, and what a block of rows needs of them."""
 
+    def __init__(self, model: dict):
+        self.start, self.trans = np.array(model["startprob"], float), np.array(model["transmat"], float)
+        self.means, self.covars = np.array(model["means"], float), np.array(model["covars"], float)
+        self.mean, self.std = np.array(model["scaler_mean"], float), np.array(model["scaler_std"], float)
 
-def forward(logb: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float]:
-    """Filtered probabilities and the log-likelihood."""
-    out = np.empty_like(logb)
-    top = logb.max(axis=1, keepdims=True) if len(logb) else logb
-    b = np.exp(logb - top)
-    p, total = start, 0.0
-    for t in range(len(logb)):
-        p = (p if t == 0 else p @ trans) * b[t]
-        s = p.sum()
-        p = p / s
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.std
+
+    def log_density(self, z: np.ndarray) -> np.ndarray:
+        out = np.empty((len(z), len(self.means)))
+        for k, (m, c) in enumerate(zip(self.means, self.covars, strict=True)):
+            root = np.linalg.cholesky(c)
+            part = np.linalg.solve(root, (z - m).T)
+            out[:, k] = -0.5 * (part**2).sum(0) - np.log(np.diag(root)).sum() - 0.5 * z.shape[1] * np.log(2 * np.pi)
+        return out
+
+    def steps(self, logb: np.ndarray, first: bool) -> np.ndarray:
+        """A matrix for each row: from the state before it to its own, times the density over its largest one. The first
+        row of a series comes from the start probabilities, whatever was before."""
+        out = self.trans * np.exp(logb - logb.max(axis=1, keepdims=True))[:, None, :]
+        if first:
+            out[0] = self.start * np.exp(logb[0] - logb[0].max())
+        return out
+
+
+def product(steps: np.ndarray, best: bool = False) -> tuple[np.ndarray, float]:
+    """The product of matrices in order, by halves, over its largest entry, and the logarithm of that. With best, entries
+    are logarithms and the largest term stands for the sum."""
+    scale = 0.0
+    while len(steps) > 1:
+        tail = steps[len(steps) // 2 * 2 :]
+        one, two = steps[0 : len(steps) - 1 : 2], steps[1::2]
+        steps = (one[:, :, :, None] + two[:, None, :, :]).max(axis=2) if best else one @ two
+        if not best:
+            top = np.maximum(steps.max(axis=(1, 2), keepdims=True), 1e-300)
+            scale += float(np.log(top).sum())
+            steps = steps / top
+        steps = np.concatenate([steps, tail])
+    return steps[0], scale
+
+
+def placed(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """(series, time, _r, _b, inputs) of the scored rows: no warm-up, no NULL; numbered after the others have gone."""
+    rows = df.where("not is_warmup").dropna(subset=list(inputs)).select(SERIES, TIME, *[F.col(c).cast("double").alias(c) for c in inputs])
+    return numbered(rows).withColumn("_b", F.floor(F.col("_r") / BLOCK).cast("long"))
+
+
+def _logs(a: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(a)
+
+
+def boundaries(rows: DataFrame, model: dict, inputs: Sequence[str], best: bool = False) -> DataFrame:
+    """(series, _b, entry, exit, likelihood) of each block: the probabilities of the state before its first row, weights
+    of the state at its last row by all that follows, and the logarithm of the densities over the block given what was
+    before. With best, entry are the best log-scores before the block and exit is the best path's state at its end."""
+    kind = rows.schema[SERIES].dataType.simpleString()
+
+    def shrink(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(TIME)
+        m = Hmm(model)
+        logb = m.log_density(m.scaled(group[list(inputs)].to_numpy(float)))
+        first = int(group["_b"].iloc[0]) == 0
+        if best:
+            steps = _logs(m.trans) + logb[:, None, :]
+            if first:
+                steps[0] = _logs(m.start) + logb[0]
+            total, scale = product(steps, True)
+        else:
+            total, scale = product(m.steps(logb, first))
+            scale += float(logb.max(axis=1).sum())
+        return pd.DataFrame({SERIES: [group[SERIES].iloc[0]], "_b": [group["_b"].iloc[0]], "_m": [total.ravel()], "_l": [scale]})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_b")
+        k = len(model["startprob"])
+        matrices = [np.array(x).reshape(k, k) for x in group["_m"]]
+        entry, exit_, told = [], [None] * len(matrices), []
+        if best:
+            score = np.zeros(k)
+            for m in matrices:
+                entry.append(score)
+                score = (score[:, None] + m).max(axis=0)
+                score = score - score.max()
+            state = int(score.argmax())
+            for b in range(len(matrices) - 1, -1, -1):
+                exit_[b] = np.eye(k)[state]
+                state = int((entry[b] + matrices[b][:, state]).argmax())
+            told = [0.0] * len(matrices)
+        else:
+            p = np.full(k, 1.0 / k)
+            for m, scale in zip(matrices, group["_l"], strict=True):
+                entry.append(p)
+                p = p @ m
+                told.append(float(np.log(p.sum()) + scale))
+                p = p / p.sum()
+            later = np.ones(k)
+            for b in range(len(matrices) - 1, -1, -1):
+                exit_[b] = later
+                later = matrices[b] @ later
+                later = later / later.max()
+        return pd.DataFrame({SERIES: group[SERIES], "_b": group["_b"], "entry": entry, "exit": exit_, "likelihood": told})
+
+    small = rows.groupBy(SERIES, "_b").applyInPandas(shrink, f"{SERIES} {kind}, _b long, _m array<double>, _l double")
+    return small.groupBy(SERIES).applyInPandas(run, f"{SERIES} {kind}, _b long, entry array<double>, exit array<double>, likelihood double")
+
+
+def forward(steps: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Filtered probabilities of each row of a block that is entered with `entry`."""
+    out = np.empty(steps.shape[:2])
+    p = entry
+    for t in range(len(steps)):
+        p = p @ steps[t]
+        p = p / p.sum()
         out[t] = p
-        total += np.log(s) + top[t, 0]
-    return out, total
+    return out
 
 
-def smooth(filtered: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    out = filtered.copy()
-    for t in range(len(out) - 2, -1, -1):
-        ahead = filtered[t] @ trans
-        out[t] = filtered[t] * (trans @ (out[t + 1] / np.maximum(ahead, 1e-300)))
+def backward(steps: np.ndarray, exit_: np.ndarray) -> np.ndarray:
+    """Weights of each row's state by all that follows it."""
+    out = np.empty(steps.shape[:2])
+    w = exit_
+    for t in range(len(steps) - 1, -1, -1):
+        out[t] = w
+        w = steps[t] @ w
+        w = w / w.max()
     return out
 
 
-def viterbi(logb: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        a, s = np.log(trans), np.log(start)
+def best_path(logb: np.ndarray, trans: np.ndarray, start: np.ndarray | None, entry: np.ndarray, last: int) -> np.ndarray:
+    """States of a block on the best path that enters with the scores `entry` and ends in `last`."""
     came = np.zeros(logb.shape, np.int64)
-    best = s + logb[0] if len(logb) else s
-    for t in range(1, len(logb)):
-        step = best[:, None] + a
+    score = entry
+    for t in range(len(logb)):
+        step = score[:, None] + (_logs(trans) if t or start is None else np.broadcast_to(_logs(start), trans.shape))
         came[t] = step.argmax(0)
-        best = step.max(0) + logb[t]
+        score = step.max(0) + logb[t]
     path = np.empty(len(logb), np.int64)
-    if len(logb):
-        path[-1] = best.argmax()
-        for t in range(len(logb) - 1, 0, -1):
-            path[t - 1] = came[t, path[t]]
+    path[-1] = last
+    for t in range(len(logb) - 1, 0, -1):
+        path[t - 1] = came[t, path[t]]
     return path
 
 
-def fit_hmm(x: np.ndarray, states: int = 4, iterations: int = 200, tol: float = 1e-3, seed: int = 42, floor: float = 1e-3) -> dict:
-    """Baum-Welch from a seeded k-means start, over standardised rows of one series. RuntimeError if it doesn't converge."""
-    mean, std = x.mean(0), x.std(0)
-    z = (x - mean) / np.where(std > 0, std, 1.0)
-    rng = np.random.default_rng(seed)
-    centres = z[rng.choice(len(z), states, replace=False)]
-    for _ in range(50):
-        label = ((z[:, None] - centres) ** 2).sum(2).argmin(1)
-        centres = np.stack([z[label == k].mean(0) if (label == k).any() else centres[k] for k in range(states)])
-    means, covars = centres, np.stack([np.cov(z.T) + floor * np.eye(z.shape[1])] * states)
-    start, trans = np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(trans, 0.9 if states > 1 else 1.0)
+def _with_bounds(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows with their block's bounds: arrays of a few numbers, a block's rows stay together."""
+    return rows.join(bounds, [SERIES, "_b"])
+
+
+def decode(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS, more: bool = False) -> DataFrame:
+    """(series_id, ts, posterior) of scored rows; more adds the smoothed probabilities and the Viterbi state, which look
+    ahead and serve diagnosis only. Rows that are not scored are left out before the recursion."""
+    schema = f"{SERIES} {df.schema[SERIES].dataType.simpleString()}, {TIME} {df.schema[TIME].dataType.simpleString()}, posterior array<double>"
+    rows = placed(df, inputs)
+    bounds = boundaries(rows, model, inputs).drop("likelihood")
+    if more:
+        bounds = bounds.join(boundaries(rows, model, inputs, True).select(SERIES, "_b", F.col("entry").alias("scores"), F.col("exit").alias("last")), [SERIES, "_b"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(TIME)
+        m = Hmm(model)
+        logb = m.log_density(m.scaled(group[list(inputs)].to_numpy(float)))
+        first = int(group["_b"].iloc[0]) == 0
+        steps = m.steps(logb, first)
+        filtered = forward(steps, np.array(group["entry"].iloc[0]))
+        out = pd.DataFrame({SERIES: group[SERIES], TIME: group[TIME], "posterior": list(filtered)})
+        if more:
+            smoothed = filtered * backward(steps, np.array(group["exit"].iloc[0]))
+            out["smoothed"] = list(smoothed / smoothed.sum(axis=1, keepdims=True))
+            out["state"] = best_path(logb, m.trans, m.start if first else None, np.array(group["scores"].iloc[0]), int(np.argmax(group["last"].iloc[0])))
+        return out
+
+    return _with_bounds(rows, bounds).groupBy(SERIES, "_b").applyInPandas(run, schema + (", smoothed array<double>, state int" if more else ""))
+
+
+def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str]) -> dict[str, np.ndarray | float]:
+    """Sums of one step of the fit over all rows of all series: log-likelihood, states, moves, and by state the inputs and
+    their products. A few hundred numbers reach the driver."""
+    k, d = len(model["startprob"]), len(inputs)
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(TIME)
+        m = Hmm(model)
+        z = m.scaled(group[list(inputs)].to_numpy(float))
+        logb = m.log_density(z)
+        first = int(group["_b"].iloc[0]) == 0
+        steps = m.steps(logb, first)
+        entry = np.array(group["entry"].iloc[0])
+        filtered, later = forward(steps, entry), backward(steps, np.array(group["exit"].iloc[0]))
+        gamma = filtered * later
+        gamma = gamma / gamma.sum(axis=1, keepdims=True)
+        before = np.concatenate([entry[None], filtered[:-1]])
+        both = before[:, :, None] * steps * later[:, None, :]
+        both = both / both.sum(axis=(1, 2), keepdims=True)
+        moves = both[1:].sum(0) if first else both.sum(0)
+        products = np.einsum("tk,ti,tj->kij", gamma, z, z)
+        values = [gamma[0] if first else np.zeros(k), moves.ravel(), gamma.sum(0), (gamma.T @ z).ravel(), products.ravel()]
+        return pd.DataFrame({"likelihood": [float(group["likelihood"].iloc[0])], "v": [np.concatenate(values)]})
+
+    found = _with_bounds(rows, boundaries(rows, model, inputs)).groupBy(SERIES, "_b").applyInPandas(measure, "likelihood double, v array<double>")
+    size = k + k * k + k + k * d + k * d * d
+    sums = found.agg(F.sum("likelihood"), *[F.sum(F.col("v")[i]) for i in range(size)]).first()
+    v = np.array(sums[1:], float)
+    cut = np.cumsum([k, k * k, k, k * d])
+    start, moves, weight, means, products = np.split(v, cut)
+    return {"likelihood": sums[0], "start": start, "moves": moves.reshape(k, k), "weight": weight, "sums": means.reshape(k, d), "products": products.reshape(k, d, d)}
+
+
+def fit_hmm(df: DataFrame, inputs: Sequence[str] = INPUTS, states: int = 4, iterations: int = 200, tol: float = 1e-3, seed: int = 42, floor: float = 1e-3) -> dict:
+    """Baum-Welch from a seeded k-means start over all scored rows of all series, standardised; every series begins anew.
+    Each step is one Spark job over the blocks. RuntimeError if it doesn't converge (log-likelihood within tol)."""
+    rows = placed(df, inputs).cache()
+    d = len(inputs)
+    stats = rows.agg(*[F.avg(c) for c in inputs], *[F.stddev_pop(c) for c in inputs]).first()
+    if stats[0] is None:
+        raise ValueError("no row can be scored")
+    mean, std = np.array(stats[:d]), np.array([x if x else 1.0 for x in stats[d:]])
+    z = [(F.col(c) - float(mean[i])) / float(std[i]) for i, c in enumerate(inputs)]
+    centres = KMeans(k=states, seed=seed, featuresCol="z").fit(rows.select(array_to_vector(F.array(*z)).alias("z"))).clusterCenters()
+    spread = rows.agg(*[F.covar_pop(z[i], z[j]) for i in range(d) for j in range(d)]).first()
+    model = {
+        "startprob": [1 / states] * states,
+        "transmat": [[(0.9 if states > 1 else 1.0) if i == j else 0.1 / max(1, states - 1) for j in range(states)] for i in range(states)],
+        "means": np.array(centres).tolist(),
+        "covars": [(np.array(spread).reshape(d, d) + floor * np.eye(d)).tolist()] * states,
+        "scaler_mean": mean.tolist(),
+        "scaler_std": std.tolist(),
+    }
     before = -np.inf
-    for _ in range(iterations):
-        logb = log_density(z, means, covars)
-        filtered, total = forward(logb, start, trans)
-        gamma = smooth(filtered, trans)
-        ahead = filtered[:-1] @ trans
-        xi = trans * (filtered[:-1].T @ (gamma[1:] / np.maximum(ahead, 1e-300)))
-        start, trans = gamma[0], xi / xi.sum(1, keepdims=True)
-        weight = gamma.sum(0)
-        means = gamma.T @ z / weight[:, None]
-        covars = np.stack([((z - m).T * g) @ (z - m) / w + floor * np.eye(z.shape[1]) for m, g, w in zip(means, gamma.T, weight, strict=True)])
-        if abs(total - before) < tol * max(1.0, abs(total)) * 1e-3 or abs(total - before) < tol:
-            return {"startprob": start.tolist(), "transmat": trans.tolist(), "means": means.tolist(), "covars": covars.tolist(), "scaler_mean": mean.tolist(), "scaler_std": np.where(std > 0, std, 1.0).tolist(), "log_likelihood": total}
-        before = total
-    raise RuntimeError("the hidden Markov model did not converge")
+    try:
+        for _ in range(iterations):
+            s = _statistics(rows, model, inputs)
+            if abs(s["likelihood"] - before) < tol * max(1.0, abs(s["likelihood"])) * 1e-3 or abs(s["likelihood"] - before) < tol:
+                return model | {"log_likelihood": s["likelihood"]}
+            before = s["likelihood"]
+            weight = np.maximum(s["weight"], 1e-12)
+            means = s["sums"] / weight[:, None]
+            covars = s["products"] / weight[:, None, None] - means[:, :, None] * means[:, None, :] + floor * np.eye(d)
+            moves = s["moves"] + 1e-12
+            model |= {"startprob": (s["start"] / s["start"].sum()).tolist(), "transmat": (moves / moves.sum(1, keepdims=True)).tolist(), "means": means.tolist(), "covars": covars.tolist()}
+        raise RuntimeError("the hidden Markov model did not converge")
+    finally:
+        rows.unpersist()
 
 
 def name_states(mean_trend: Sequence[float], mean_vol: Sequence[float]) -> dict[int, str]:
@@ -113,46 +295,50 @@ def name_states(mean_trend: Sequence[float], mean_vol: Sequence[float]) -> dict[
     return {vol: "high_vol"} | dict(zip([s for s in order if s != vol], ["bull", "sideways", "bear"], strict=True))
 
 
-def fit_regimes(df: DataFrame, inputs: Sequence[str] = INPUTS, states: int = 4, max_rows: int = 100_000) -> dict:
-    """A model with names from the scored rows (no NULL, no warm-up) of the first series. At most max_rows rows are
-    used, the last ones: the documented bound of what is fitted in one place."""
-    rows = df.where("not is_warmup").dropna(subset=list(inputs))
-    first = rows.agg(F.min(SERIES)).first()[0]
-    some = rows.where(F.col(SERIES) == first).orderBy(F.col(TIME).desc()).limit(max_rows).select(TIME, *inputs).toPandas().sort_values(TIME)
-    x = some[list(inputs)].to_numpy(float)
-    model = fit_hmm(x, states)
-    z = (x - model["scaler_mean"]) / model["scaler_std"]
-    path = viterbi(log_density(z, np.array(model["means"]), np.array(model["covars"])), np.array(model["startprob"]), np.array(model["transmat"]))
-    trend = [float(x[path == s, 1].mean()) if (path == s).any() else 0.0 for s in range(states)]
-    vol = [float(x[path == s, 2].mean()) if (path == s).any() else 0.0 for s in range(states)]
-    return model | {"label_map": {str(s): n for s, n in name_states(trend, vol).items()}}
+def fit_regimes(df: DataFrame, inputs: Sequence[str] = INPUTS, states: int = 4, **options) -> dict:
+    """A fitted model with the names of its states, which follow the inputs' means over the best path (trend: the second
+    input, volatility: the third), and those statistics."""
+    model = fit_hmm(df, inputs, states, **options)
+    table = path_statistics(df, model, inputs).collect()
+    by = {r["state"]: r for r in table}
+    trend = [by[s][f"mean_{inputs[1]}"] if s in by else 0.0 for s in range(states)]
+    vol = [by[s][f"mean_{inputs[2]}"] if s in by else 0.0 for s in range(states)]
+    names = {str(s): n for s, n in name_states(trend, vol).items()}
+    return model | {"label_map": names, "state_stats": [r.asDict() for r in table]}
 
 
-def decode(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS, more: bool = False) -> DataFrame:
-    """(series_id, ts, posterior) of scored rows; more adds the smoothed probabilities and the Viterbi state, which look
-    ahead and serve diagnosis only. Rows that are not scored are left out before the recursion."""
-    schema = f"{SERIES} {df.schema[SERIES].dataType.simpleString()}, {TIME} {df.schema[TIME].dataType.simpleString()}, posterior array<double>"
-    start, trans = np.array(model["startprob"]), np.array(model["transmat"])
-    means, covars = np.array(model["means"]), np.array(model["covars"])
-    scale = np.array(model["scaler_mean"]), np.array(model["scaler_std"])
+def path_statistics(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS) -> DataFrame:
+    """By Viterbi state: rows, share and means of the inputs."""
+    path = decode(df, model, inputs, more=True).select(SERIES, TIME, "state")
+    return state_statistics(df.join(path, [SERIES, TIME]), "state", inputs)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(TIME)
-        logb = log_density((group[list(inputs)].to_numpy(float) - scale[0]) / scale[1], means, covars)
-        filtered, _ = forward(logb, start, trans)
-        out = pd.DataFrame({SERIES: group[SERIES], TIME: group[TIME], "posterior": list(filtered)})
-        if more:
-            out["smoothed"] = list(smooth(filtered, trans))
-            out["state"] = viterbi(logb, start, trans)
-        return out
 
-    rows = df.where("not is_warmup").dropna(subset=list(inputs)).select(SERIES, TIME, *inputs)
-    return rows.groupBy(SERIES).applyInPandas(run, schema + (", smoothed array<double>, state int" if more else ""))
+def state_report(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS) -> DataFrame:
+    """path_statistics with the states' names, returns in basis points and percent, by name."""
+    labels = F.array(*[F.lit(n) for n in _names(model)])
+    rows = path_statistics(df, model, inputs).withColumn("regime", F.element_at(labels, F.col("state") + 1))
+    scaled = [(F.col(f"mean_{inputs[0]}") * 1e4).alias(f"mean_{inputs[0]}_bps"), (F.col(f"mean_{inputs[1]}") * 100).alias("mean_trend_pct"), *[f"mean_{c}" for c in inputs[2:]]]
+    return rows.select("state", "regime", "n", (F.col("share") * 100).alias("share_pct"), *scaled).orderBy("regime")
+
+
+def transition_report(spark: SparkSession, model: dict) -> DataFrame:
+    """The model's own matrix by name, and how many rows a stay in each regime lasts."""
+    names = _names(model)
+    order = [n for n in NAMES if n in names] + sorted(set(names) - set(NAMES))
+    rows = [(names[i], *[float(row[names.index(n)]) for n in order]) for i, row in enumerate(model["transmat"])]
+    table = spark.createDataFrame(rows, f"from_regime string, {', '.join(f'to_{n} double' for n in order)}")
+    own = F.coalesce(*[F.when(F.col("from_regime") == n, F.col(f"to_{n}")) for n in order])
+    place = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("from_regime"))
+    return table.withColumn("expected_bars", F.when(own < 1, 1 / (1 - own))).orderBy(place)
+
+
+def _names(model: dict) -> list[str]:
+    return [model["label_map"][str(s)] for s in range(len(model["startprob"]))]
 
 
 def regime_columns(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS) -> DataFrame:
     """df with regime_p_*, regime, confidence, changepoint, entropy and changed; NULL on rows that are not scored."""
-    names = [model["label_map"][str(s)] for s in range(len(model["startprob"]))]
+    names = _names(model)
     found = df.join(decode(df, model, inputs), [SERIES, TIME], "left")
     p = F.col("posterior")
     labels = F.array(*[F.lit(n) for n in names])
@@ -167,7 +353,15 @@ def regime_columns(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS) -
             "regime_entropy": F.when(p.isNotNull(), entropy),
         }
     ).drop("posterior")
-    return found.withColumn("regime_changed", (F.col("regime") != F.lag("regime").over(by_time())) & F.col("regime").isNotNull())
+    return in_blocks(found, lambda d: d.withColumn("regime_changed", (F.col("regime") != F.lag("regime").over(by_time())) & F.col("regime").isNotNull()), 1)
+
+
+def attach_regimes(df: DataFrame, model: dict, seed: DataFrame | None = None, inputs: Sequence[str] = INPUTS, seed_rows: int = SEED_ROWS) -> DataFrame:
+    """regime_columns with a warm start: the last seed_rows rows of each series of seed go before it and are dropped again.
+    Raises ValueError unless the seed ends strictly before the data begin."""
+    if seed is None:
+        return regime_columns(df, model, inputs)
+    return regime_columns(with_seed(df, seed, seed_rows), model, inputs).where("not _seed").drop("_seed")
 
 
 def runs(df: DataFrame, column: str = "regime") -> DataFrame:
@@ -203,8 +397,8 @@ def overall_shares(df: DataFrame) -> DataFrame:
     return counts.withColumn("share_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-def state_statistics(df: DataFrame, state: str = "regime") -> DataFrame:
-    stats = df.where(F.col(state).isNotNull()).groupBy(state).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in INPUTS])
+def state_statistics(df: DataFrame, state: str = "regime", inputs: Sequence[str] = INPUTS) -> DataFrame:
+    stats = df.where(F.col(state).isNotNull()).groupBy(state).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in inputs])
     return stats.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import SERIES, TIME, by_time, crossing, diff, ln, rounded
+from quillon.functions import SERIES, TIME, by_time, crossing, ln, rounded
 from quillon.operators import bars as B
 from quillon.operators import dataset as D
 from quillon.operators import evaluate as E
@@ -45,12 +45,18 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return df.where("y is not null and p is not null")
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Bars with a regime by rule: wide bars are high_vol, others go by their last return."""
-    df = R.regime_inputs(_bars(spark, d))
-    wide = (F.col("high") - F.col("low")) > F.col("close")
-    label = F.when(F.col("ret_1").isNull(), None).when(wide, "high_vol").when(F.col("ret_1") > 0.5, "bull").when(F.col("ret_1") < -0.5, "bear").otherwise("sideways")
-    return df.withColumn("regime", label)
+def _for_model(spark: SparkSession, d: str) -> DataFrame:
+    return R.regime_inputs(_bars(spark, d)).withColumn("is_warmup", F.lit(False))
+
+
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Bars with the regime columns of the fixed model."""
+    return R.regime_columns(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS)
+
+
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    at = F.lit(SPLIT_AT).cast("timestamp_ntz")
+    return df.where(F.col(TIME) < at), df.where(F.col(TIME) >= at)
 
 
 def bars15(spark, d):
@@ -138,7 +144,7 @@ def crossover(spark, d):
 def _block(name: str, extra: tuple[str, ...] = ()):
     def run(spark, d):
         df = _bars(spark, d)
-        out = X.BLOCKS[name](df)
+        out = X.single(name, df)
         return rounded(out.select(SERIES, TIME, *[c for c in out.columns if c not in df.columns]))
 
     run.__name__ = f"{name}_block"
@@ -169,16 +175,35 @@ def flag_shares(spark, d):
 
 
 def warm_start(spark, d):
-    df = _bars(spark, d)
-    train, test = df.where(F.col(TIME) < F.lit(SPLIT_AT).cast("timestamp_ntz")), df.where(F.col(TIME) >= F.lit(SPLIT_AT).cast("timestamp_ntz"))
+    """A warm start of one block with the seed of the whole matrix."""
+    train, test = _split(_bars(spark, d))
     out = X.attach_features(test, train, blocks=("bollinger",))
     return rounded(out.select(SERIES, TIME, "bb_mid", "bb_std", "bb_pct_b", "bb_bandwidth_pctile", "bb_is_warmup"))
 
 
+def warm_start_all(spark, d):
+    """A warm start of all blocks: their flags become the same, whether any value of the row is missing."""
+    train, test = _split(_bars(spark, d))
+    out = X.attach_features(test, train)
+    return rounded(out.select(SERIES, TIME, "rsi_14", "macd_signal_pct", "atr_pctile_1000", "adx_14", "bb_pct_b", *[c for c in out.columns if c.endswith("is_warmup")]))
+
+
+def _warm_block(name: str):
+    def run(spark, d):
+        train, test = _split(_bars(spark, d))
+        out = X.attach_block(test, name, train)
+        return rounded(out.select(SERIES, TIME, *[c for c in out.columns if c not in test.columns]))
+
+    run.__name__ = f"warm_{name}"
+    return run
+
+
 def leakage_check(spark, d):
+    """Splits that share three bars of each series on purpose: sizes, ends and the overlap."""
     df = _bars(spark, d)
-    at = F.lit(SPLIT_AT).cast("timestamp_ntz")
-    train, test = df.where(F.col(TIME) < at), df.where(F.col(TIME) >= at)
+    train, test = _split(df)
+    last = F.row_number().over(Window.partitionBy(SERIES).orderBy(F.col(TIME).desc()))
+    test = test.unionByName(train.withColumn("_n", last).where("_n <= 3").drop("_n"))
     sides = train.groupBy(SERIES).agg(F.count("*").alias("n_train"), F.max(TIME).alias("train_end"))
     later = test.groupBy(SERIES).agg(F.count("*").alias("n_test"), F.min(TIME).alias("test_begin"))
     both = B.overlap(train, test).groupBy(SERIES).agg(F.count("*").alias("n_overlap"))
@@ -186,6 +211,21 @@ def leakage_check(spark, d):
     return out.withColumn("n_overlap", F.coalesce("n_overlap", F.lit(0).cast("long"))).withColumn("ordered", F.col("train_end") < F.col("test_begin"))
 
 
+def session_invariants(spark, d):
+    return B.session_invariants(B.session_columns(B.regular_session(_bars(spark, d))))
+
+
+def outside_sessions(spark, d):
+    return B.outside_sessions(_bars(spark, d))
+
+
+def column_catalogue(spark, d):
+    """The columns of the matrix with block, use and number of values."""
+    df = X.build_features(_bars(spark, d))
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "n_values")
+    return X.column_catalogue(df).join(counts, "column_name")
+
+
 def target(spark, d):
     return rounded(D.target(_bars(spark, d)).select(SERIES, TIME, "fwd", F.col("y").cast("double").alias("y")))
 
@@ -241,7 +281,7 @@ def auc_rank(spark, d):
 
 
 def regime_breakdown(spark, d):
-    df = _scored(spark, d).join(_labelled(spark, d).select(SERIES, TIME, "regime"), [SERIES, TIME])
+    df = _scored(spark, d).join(_decoded(spark, d).select(SERIES, TIME, "regime"), [SERIES, TIME], "left")
     return rounded(E.regime_breakdown(df, THRESHOLD))
 
 
@@ -257,8 +297,59 @@ def persistence_agreement(spark, d):
     return rounded(E.persistence_agreement(_scored(spark, d), THRESHOLD))
 
 
-def _for_model(spark, d):
-    return R.regime_inputs(_bars(spark, d)).withColumn("is_warmup", F.lit(False))
+def scaled_returns(spark, d):
+    df = _windowed(spark, d)
+    stats = D.require_fitted(D.scaler_statistics(df, FIXED_INPUTS))
+    out = D.scaled(df, stats, FIXED_INPUTS)
+    return rounded(out.select(SERIES, TIME, *[F.col(c).cast("double").alias(c) for c in FIXED_INPUTS]), 4)
+
+
+def latest_windows(spark, d):
+    """The last 1,000 windows, as a quick run takes them."""
+    return rounded(D.last_windows(D.windows(_windowed(spark, d), FIXED_INPUTS), 1000).select(SERIES, TIME, "row_index", F.col("y").cast("double").alias("y")))
+
+
+def _rule_models(spark, d):
+    """Predictions of three rules on all windows: the last return goes on, turns, or the trend goes on."""
+    df = D.target(R.regime_inputs(_bars(spark, d))).withColumn("is_warmup", F.row_number().over(by_time()) <= 20)
+    ends = D.require_training(D.require_windows(df, FIXED_INPUTS).select(SERIES, TIME, "row_index"))
+    rows = df.join(ends, [SERIES, TIME]).where("part <> 'purge'").join(_decoded(spark, d).select(SERIES, TIME, "regime"), [SERIES, TIME])
+    rules = {"momentum": F.col("ret_1"), "reversal": -F.col("ret_1"), "trend": F.col("ret_20")}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (1 / (1 + F.exp(-x))).alias("p")) for n, x in rules.items()])).alias("m")
+    return rows.select(SERIES, TIME, "part", "y", "fwd", "ret_1", "regime", each).select("*", "m.model", "m.p").drop("m").cache()
+
+
+def metrics_by_model(spark, d):
+    return rounded(E.metrics_by_model(E.with_thresholds(_rule_models(spark, d))))
+
+
+def _validated(spark, d):
+    return E.with_thresholds(_rule_models(spark, d)).where("part = 'val'")
+
+
+def breakdown_by_model(spark, d):
+    return rounded(E.regime_breakdown(_validated(spark, d), "threshold", ("model",)))
+
+
+def strategy_by_model(spark, d):
+    return rounded(E.directional_strategy(_validated(spark, d), "threshold", keys=("model",)))
+
+
+def costs_by_model(spark, d):
+    return rounded(E.cost_sensitivity(_validated(spark, d), "threshold", keys=("model",)))
+
+
+def edge_by_model(spark, d):
+    return rounded(E.edge_by_model(_validated(spark, d)))
+
+
+def verdict(spark, d):
+    """The best rule on the validation part."""
+    return rounded(E.verdict(E.metrics_by_model(_validated(spark, d))))
+
+
+def predictions_table(spark, d):
+    return rounded(E.predictions_table(_validated(spark, d), ["momentum", "reversal", "trend"]))
 
 
 def hmm_filter_fixed(spark, d):
@@ -266,58 +357,100 @@ def hmm_filter_fixed(spark, d):
     return rounded(df.select(SERIES, TIME, *[F.element_at("posterior", k + 1).alias(f"p{k}") for k in range(4)]))
 
 
+def hmm_smoother_fixed(spark, d):
+    df = R.decode(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS, more=True)
+    return rounded(df.select(SERIES, TIME, *[F.element_at("smoothed", k + 1).alias(f"p{k}") for k in range(4)]))
+
+
+def hmm_viterbi_fixed(spark, d):
+    return R.decode(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS, more=True).select(SERIES, TIME, "state")
+
+
 def regime_columns(spark, d):
-    df = R.regime_columns(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS)
+    df = _decoded(spark, d)
     return rounded(df.select(SERIES, TIME, *[c for c in df.columns if c.startswith("regime")]))
 
 
+def regimes_warm_start(spark, d):
+    """The later bars, decoded with the last 250 earlier ones before them; returns are taken in each part alone."""
+    train, test = (R.regime_inputs(x).withColumn("is_warmup", F.lit(False)) for x in _split(_bars(spark, d)))
+    df = R.attach_regimes(test, FIXED_MODEL, train, FIXED_INPUTS)
+    return rounded(df.select(SERIES, TIME, *[c for c in df.columns if c.startswith("regime")]))
+
+
+def state_report(spark, d):
+    return rounded(R.state_report(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS))
+
+
+def transition_report(spark, d):
+    """The model's moves beside the observed ones of the decoded bars."""
+    own = R.transition_report(spark, FIXED_MODEL)
+    long = own.unpivot(["from_regime", "expected_bars"], [f"to_{n}" for n in R.NAMES], "to_regime", "model_p")
+    long = long.select("from_regime", F.substring("to_regime", 4, 99).alias("to_regime"), "model_p", F.col("expected_bars").alias("model_bars"))
+    return rounded(R.transitions(_decoded(spark, d)).join(long, ["from_regime", "to_regime"]))
+
+
 def hmm_fit(spark, d):
-    """Regimes by a model that is fitted to the longest bars there are (all types as one series)."""
-    df = X.adx(X.atr(R.regime_inputs(B.bars(_t(spark, d, "events")))))
+    """Regimes by a model that is fitted to the bars of all types."""
+    df = X.build(R.regime_inputs(_bars(spark, d)), [X.atr_block(), X.adx_block()])
     df = df.withColumn("is_warmup", F.row_number().over(by_time()) <= 70)
     out = R.regime_columns(df, R.fit_regimes(df))
     return out.select(SERIES, TIME, *[c for c in out.columns if c.startswith("regime")])
 
 
 def regime_runs(spark, d):
-    return R.runs(_labelled(spark, d))
+    return R.runs(_decoded(spark, d))
 
 
 def regime_changed(spark, d):
-    df = _labelled(spark, d)
-    return df.select(SERIES, TIME, "regime", ((F.col("regime") != F.lag("regime").over(by_time())) & F.col("regime").isNotNull()).alias("changed"))
+    return _decoded(spark, d).select(SERIES, TIME, "regime", F.col("regime_changed").alias("changed"))
 
 
 def daily_shares(spark, d):
-    return rounded(R.period_shares(_labelled(spark, d)))
+    return rounded(R.period_shares(_decoded(spark, d)))
 
 
 def daily_dominant(spark, d):
-    return rounded(R.period_dominant(_labelled(spark, d)))
+    return rounded(R.period_dominant(_decoded(spark, d)))
 
 
 def overall_shares(spark, d):
-    return rounded(R.overall_shares(_labelled(spark, d)))
+    return rounded(R.overall_shares(_decoded(spark, d)))
 
 
 def state_stats(spark, d):
-    df = _labelled(spark, d).withColumns({"atr_pct": (F.col("high") - F.col("low")) / F.col("close"), "adx_14": F.abs(diff(F.col("close")))})
-    return rounded(R.state_statistics(df))
+    """By decoded regime the means of all four inputs of a model."""
+    df = X.build(_bars(spark, d), [X.atr_block(), X.adx_block()]).select(SERIES, TIME, "atr_pct", "adx_14")
+    found = rounded(R.state_statistics(_decoded(spark, d).join(df, [SERIES, TIME])))
+    return found.withColumns({f"mean_{c}": F.round(f"mean_{c}", 4) for c in ("atr_pct", "adx_14")})
 
 
 def transition_table(spark, d):
-    return rounded(R.transitions(_labelled(spark, d)))
+    return rounded(R.transitions(_decoded(spark, d)))
 
 
 def known_period_check(spark, d):
-    return rounded(R.period_check(_labelled(spark, d), {"2024-01-05": "bull", "2024-01-10": "sideways", "2024-01-15": "high_vol", "2024-01-20": "bear"}))
+    return rounded(R.period_check(_decoded(spark, d), {"2024-01-05": "bull", "2024-01-10": "sideways", "2024-01-15": "high_vol", "2024-01-20": "bear"}))
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Bars with all that models read, and the target."""
+    df = D.target(X.build_features(_bars(spark, d)))
+    return df.join(_decoded(spark, d).select(SERIES, TIME, *D.RETURN_COLUMNS, *D.REGIME_COLUMNS, "regime"), [SERIES, TIME])
+
+
+def model_matrix(spark, d):
+    df = _matrix(spark, d)
+    return rounded(df.select(SERIES, TIME, *D.final_features(df)))
 
 
 def model_comparison(spark, d):
-    """Logistic regression on windows of two returns, all types as one series."""
-    df = D.target(R.regime_inputs(B.bars(_t(spark, d, "events"))))
-    df = df.withColumn("is_warmup", F.row_number().over(by_time()) <= 20)
-    return rounded(M.compare(D.windows(df, FIXED_INPUTS), 64, ("logistic",)))
+    """All registered classifiers on windows of all inputs: metrics by model and part, with the thresholds and baselines."""
+    df = _matrix(spark, d)
+    inputs = D.final_features(df)
+    rows = M.predictions(D.require_windows(df, inputs), 32 * len(inputs))
+    rows = rows.join(df.select(SERIES, TIME, "ret_1", "fwd", "regime"), [SERIES, TIME]).cache()
+    return rounded(E.metrics_by_model(E.with_thresholds(rows)))
 
 
 def log_close(spark, d):
@@ -325,9 +458,11 @@ def log_close(spark, d):
 
 
 _NAMES = """bars15 bars_by_type daily_order_bars supplier_moving_average session_filter session_columns dedupe_first quality_audit session_audit
-short_sessions null_census log_close returns_log rolling_return true_range directional_movement rma14 ema12 crossover band_breaks_per_day bars_features
-warmup_counts summary_stats flag_shares warm_start leakage_check target window_contiguity windows32 chronological_split scaler_stats baselines
-threshold_grid classification_metrics metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy
-persistence_agreement hmm_filter_fixed regime_columns hmm_fit regime_runs regime_changed daily_shares daily_dominant overall_shares state_stats
-transition_table known_period_check model_comparison""".split()
-QUERIES = {n: globals()[n] for n in _NAMES} | {f"{b}_block": _block(b) for b in X.BLOCKS}
+short_sessions session_invariants outside_sessions null_census log_close returns_log rolling_return true_range directional_movement rma14 ema12
+crossover band_breaks_per_day bars_features warmup_counts column_catalogue summary_stats flag_shares warm_start warm_start_all leakage_check target
+window_contiguity windows32 latest_windows chronological_split scaler_stats scaled_returns baselines threshold_grid classification_metrics
+metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy persistence_agreement metrics_by_model
+breakdown_by_model strategy_by_model costs_by_model edge_by_model verdict predictions_table hmm_filter_fixed hmm_smoother_fixed hmm_viterbi_fixed
+regime_columns regimes_warm_start state_report transition_report hmm_fit regime_runs regime_changed daily_shares daily_dominant overall_shares
+state_stats transition_table known_period_check model_matrix model_comparison""".split()
+QUERIES = {n: globals()[n] for n in _NAMES} | {f"{b}_block": _block(b) for b in X.BLOCKS} | {f"warm_{b}": _warm_block(b) for b in X.BLOCKS}

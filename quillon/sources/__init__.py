@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME
+from quillon.operators import bars as B
+from quillon.operators import evaluate as E
 
 REQUIRED = ["date", "time", "open", "high", "low", "close"]
 #: Vendor columns that the raw file may have.
@@ -64,3 +66,27 @@ def read_model(spark: SparkSession, path: str) -> dict:
 def report_text(row: dict, title: str) -> str:
     """A one-row audit as a markdown list."""
     return "\n".join([f"# {title}", "", *[f"- {k}: {v}" for k, v in row.items()], ""])
+
+
+def quality_report(bars: DataFrame, title: str, earlier: DataFrame | None = None) -> str:
+    """The audits of bars with session columns as markdown: for each series its integrity, its sessions and the shortest
+    ones; with an earlier split, how many rows are in both."""
+    sessions = {r[SERIES]: r.asDict() for r in B.session_audit(bars).collect()}
+    short = B.short_sessions(bars).collect()
+    out = []
+    for r in B.integrity(bars).orderBy(SERIES).collect():
+        row = r.asDict() | sessions.get(r[SERIES], {})
+        out.append(report_text(row, f"{title}: {r[SERIES]}"))
+        out += [f"- short session {s['session_date']}: {s['n_bars']} bars" for s in short if s[SERIES] == r[SERIES]]
+    if earlier is not None:
+        out.append(f"- rows in both splits: {B.overlap(earlier, bars).count()}")
+    return "\n".join(out) + "\n"
+
+
+def write_predictions(df: DataFrame, models: list[str], path: str) -> None:
+    """Predictions of several models beside each other, with outcome and regime."""
+    write_table(E.predictions_table(df, models), path)
+
+
+def write_scaler(statistics: DataFrame, path: str) -> None:
+    write_table(statistics.coalesce(1), path)

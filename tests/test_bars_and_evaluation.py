@@ -10,7 +10,6 @@ from quillon import sources
 from quillon.operators import bars as B
 from quillon.operators import dataset as D
 from quillon.operators import evaluate as E
-from quillon.operators import regimes as R
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -44,29 +43,59 @@ def predictions(spark, y, p):
     return spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double, p double")
 
 
-def test_confusion_counts(spark):
-    df = predictions(spark, [0, 0, 1, 1, 1, 0, 1, 0], [0.1, 0.8, 0.9, 0.2, 0.7, 0.3, 0.6, 0.4])
-    r = E.classification_metrics(df, 0.5).first()
-    assert (r["tp"], r["fp"], r["tn"], r["fn"]) == (3, 1, 3, 1) and r["accuracy"] == 0.75
-
-
-def test_constant_predictor(spark):
-    r = E.classification_metrics(predictions(spark, [1] * 60 + [0] * 40, [0.99] * 100), 0.5).first()
-    assert r["accuracy"] == 0.6 and r["mcc"] == 0 and r["auc"] == 0.5
-
-
-def test_threshold_lies_on_the_grid(spark):
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 300)
-    t = E.pick_threshold(predictions(spark, y, np.clip(0.2 + 0.3 * y + rng.normal(0, 0.2, 300), 0, 1)))
-    assert 0.30 <= t <= 0.70
-
-
-def test_costs_of_flips(spark):
-    df = predictions(spark, [1] * 5, [0.9, 0.9, 0.9, 0.1, 0.1]).withColumn("fwd", F.lit(0.0))
-    r = E.cost_sensitivity(df, 0.5, [10.0]).first()
-    assert r["flips"] == 1.5 and r["gross_pct"] == 0 and r["net_pct"] < 0
-    assert E.directional_strategy(df, 0.5).first()["position_flips"] == 2
+def counted(y, p, t):
+    """tn, fp, fn, tp by a loop."""
+    out = [0, 0, 0, 0]
+    for a, b in zip(y, p, strict=True):
+        out[2 * int(a) + int(b >= t)] += 1
+    return tuple(out)
+
+
+@pytest.mark.parametrize("seed,t", [(11, 0.5), (12, 0.31), (13, 0.69)])
+def test_metrics_against_a_loop(spark, seed, t):
+    rng = np.random.default_rng(seed)
+    y, p = rng.integers(0, 2, 57), rng.random(57).round(2)
+    r = E.classification_metrics(predictions(spark, y, p), t).first()
+    tn, fp, fn, tp = counted(y, p, t)
+    assert (r["tn"], r["fp"], r["fn"], r["tp"]) == (tn, fp, fn, tp) and r["n"] == 57 and r["threshold"] == t
+    assert r["precision"] == pytest.approx(tp / (tp + fp)) and r["recall"] == pytest.approx(tp / (tp + fn))
+    assert r["mcc"] == pytest.approx(np.corrcoef(y, p >= t)[0, 1]) and r["brier"] == pytest.approx(((p - y) ** 2).mean())
+    pairs = [(a > b) + (a == b) / 2 for a in p[y == 1] for b in p[y == 0]]
+    assert r["auc"] == pytest.approx(np.mean(pairs))
+
+
+def test_predictions_of_one_value(spark):
+    r = E.classification_metrics(predictions(spark, [1, 0, 0, 1, 0, 0, 0], [0.2] * 7), 0.5).first()
+    assert r["accuracy"] == pytest.approx(5 / 7) and r["mcc"] == 0 and r["precision"] == 0 and r["f1"] == 0 and r["auc"] == 0.5
+    only = E.classification_metrics(predictions(spark, [1, 1], [0.7, 0.4]), 0.5).first()
+    assert only["auc"] is None and only["recall"] == 0.5
+
+
+def test_thresholds_lie_on_the_grid_and_go_by_model(spark):
+    rng = np.random.default_rng(21)
+    y = rng.integers(0, 2, 240)
+    low = predictions(spark, y, np.where(y == 1, 0.42, 0.36)).withColumn("model", F.lit("low"))
+    high = predictions(spark, y, np.where(y == 1, 0.66, 0.61)).withColumn("model", F.lit("high"))
+    found = {r["model"]: r["threshold"] for r in E.pick_thresholds(low.unionByName(high)).collect()}
+    assert 0.36 < found["low"] <= 0.42 and 0.61 < found["high"] <= 0.66
+    assert E.pick_threshold(low) == found["low"]
+
+
+def test_costs_and_turnover(spark):
+    side = [1, -1, -1, 1, -1, 1, 1]
+    fwd = [0.01, 0.02, -0.03, 0.0, -0.01, 0.005, -0.002]
+    df = predictions(spark, [1] * 7, [0.5 + 0.3 * s for s in side])
+    times = spark.createDataFrame([(T0 + dt.timedelta(minutes=k), f) for k, f in enumerate(fwd)], "ts timestamp_ntz, fwd double")
+    df = df.join(times, "ts")
+    gross = sum(a * b for a, b in zip(side, fwd, strict=True))
+    flips = 0.5 + sum(a != b for a, b in zip(side, side[1:], strict=False))
+    for r in E.cost_sensitivity(df, 0.5, [0.0, 4.0]).collect():
+        assert r["flips"] == flips and r["gross_pct"] == pytest.approx(100 * gross)
+        assert r["net_pct"] == pytest.approx(100 * (gross - flips * r["cost_bps"] / 1e4)) and r["break_even_bps"] == pytest.approx(gross / flips * 1e4)
+    s = E.directional_strategy(df, 0.5, 4.0).first()
+    assert s["position_flips"] == 5 and s["hit_rate"] == pytest.approx(np.mean([a * b > 0 for a, b in zip(side, fwd, strict=True)]))
+    again = E.directional_strategy(df.withColumn("model", F.lit("m")), 0.5, 4.0, ("model",)).first()
+    assert again["net_pct"] == pytest.approx(s["net_pct"])
 
 
 def test_windows_are_contiguous(spark):
@@ -82,21 +111,25 @@ def test_windows_are_contiguous(spark):
     assert parts == {"train": len(got) - 6 - 9, "purge": 9, "val": 6}
 
 
-def test_hidden_markov_model_recovers_states_and_is_causal(spark):
-    rng = np.random.default_rng(3)
-    state = np.repeat([0, 1, 2, 3] * 10, 25)
-    x = np.stack([np.array([1, -1, 0, 0])[state], np.array([2, -2, 0, 0.5])[state], np.array([1, 1, 1, 4])[state], np.array([1, 1, 3, 2])[state]], 1) + rng.normal(0, 0.2, (1000, 4))
-    model = R.fit_hmm(x, 4)
-    z = (x - model["scaler_mean"]) / model["scaler_std"]
-    logb = R.log_density(z, np.array(model["means"]), np.array(model["covars"]))
-    start, trans = np.array(model["startprob"]), np.array(model["transmat"])
-    path = R.viterbi(logb, start, trans)
-    agree = sum(np.bincount(path[state == s]).max() for s in range(4)) / 1000
-    assert agree > 0.95 and np.allclose(trans.sum(1), 1)
-    filtered, _ = R.forward(logb, start, trans)
-    logb[900:] = 0
-    assert np.allclose(R.forward(logb, start, trans)[0][:900], filtered[:900])
-    assert R.name_states([1, -1, 0, 0.2], [1, 1, 1, 4]) == {3: "high_vol", 0: "bull", 2: "sideways", 1: "bear"}
+def test_what_cannot_be_windowed_or_split_raises(spark):
+    rows = [("A", T0 + dt.timedelta(minutes=k), 100.0 + k % 5) for k in range(40)]
+    df = D.target(spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, close double")).withColumn("is_warmup", F.lit(False))
+    assert D.require_windows(df, ["close"], 38).count() == 2
+    with pytest.raises(ValueError, match="window"):
+        D.require_windows(df, ["close"], 39)
+    with pytest.raises(ValueError, match="training"):
+        D.require_training(D.windows(df, ["close"], 8), 0.15, 30)
+    with pytest.raises(RuntimeError):
+        D.require_fitted(D.scaler_statistics(df.limit(0), ["close"]))
+    flat = D.scaled(df.withColumn("one", F.lit(1.0)), D.scaler_statistics(df.withColumn("one", F.lit(1.0)), ["one"], 8), ["one"])
+    assert {r["one"] for r in flat.select("one").collect()} == {0.0}
+
+
+def test_quality_report(spark):
+    rows = [("A", T0 + dt.timedelta(minutes=15 * k), 5.0, 6.0, 4.0, 5.0, 1) for k in range(40)]
+    df = B.session_columns(B.regular_session(spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, open double, high double, low double, close double, n_ticks long")))
+    text = sources.quality_report(df, "bars", df.limit(0))
+    assert "n_rows: 3" in text and "short session 2024-01-01: 3 bars" in text and "rows in both splits: 0" in text
 
 
 def test_queries_match_their_sql(spark):
@@ -109,7 +142,7 @@ def test_queries_match_their_sql(spark):
     folder = "/root/testdata/sf0.001"
     for t in ("events", "orders", "lineitem", "labels", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    for name in ("bars15", "session_columns", "rsi_block", "adx_block", "window_contiguity", "classification_metrics", "regime_runs"):
+    for name in ("bars15", "session_columns", "rsi_block", "adx_block", "window_contiguity", "classification_metrics", "regime_runs", "hmm_viterbi_fixed", "metrics_by_model", "warm_start_all"):
         df = QUERIES[name](spark, folder)
         names = sorted(df.columns)
         rel = con.sql(ORACLES[name])

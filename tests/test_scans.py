@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import rounded
 from quillon.operators import features as X
+from quillon.operators import scans
 from quillon.operators.scans import exponential, linear_scans, wilder
 
 T0 = dt.datetime(2024, 1, 1)
@@ -62,6 +63,40 @@ def test_exponential_average_starts_at_the_first_value(spark):
     assert np.allclose(column(linear_scans(frame(spark, values), [exponential("y", "close", 12)]), "y"), want, atol=1e-9)
 
 
+@pytest.mark.parametrize("period", [1, 2, 14])
+def test_averages_of_any_weight_in_blocks(spark, period, monkeypatch):
+    """A short memory, and many blocks of one series: values after a gap stay NULL, whatever block they are in."""
+    from quillon.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 4 * blocks.CHUNK)
+    values = np.random.default_rng(period).normal(50, 9, 9000).tolist()
+    for gap in (None, 700, 5000):
+        given = [None if k == gap else v for k, v in enumerate(values)]
+        df = blocks.in_blocks(frame(spark, given), lambda d: scans.scan_blocks(d, [wilder("y", "close", period), exponential("e", "close", period)]), 700, ["close"], 3000)
+        got, also = column(df, "y"), column(df, "e")
+        want = loop(given, period)
+        assert len(got) == len(given)
+        for a, b in zip(got, want, strict=True):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-8)
+        assert all(v is not None and v == v for v in also[:gap]) and (gap is None or set(also[gap:]) == {None})
+
+
+def test_features_in_blocks_are_those_of_the_whole_series(spark):
+    closes = np.random.default_rng(8).normal(0, 1, 9000).cumsum().round(2) + 500
+    df = X.single("adx", frame(spark, closes.tolist()))
+    assert df.count() == 9000
+    high, low = closes + 1, closes - 1
+    tr = [2.0] + [max(h - b, abs(h - c), abs(b - c)) for h, b, c in zip(high[1:], low[1:], closes, strict=False)]
+    up, down = np.diff(high), -np.diff(low)
+    plus = [None, *np.where((up > down) & (up > 0), up, 0.0).tolist()]
+    minus = [None, *np.where((down > up) & (down > 0), down, 0.0).tolist()]
+    a, b, c = loop(plus, 14), loop(minus, 14), loop(tr, 14)
+    di = [None if x is None or z is None else (100 * x / z, 100 * y / z) for x, y, z in zip(a, b, c, strict=True)]
+    dx = [None if x is None else 0.0 if sum(x) == 0 else 100 * abs(x[0] - x[1]) / sum(x) for x in di]
+    for got, want in zip(column(df, "adx_14"), loop(dx, 14), strict=True):
+        assert (got is None) == (want is None) and (got is None or abs(got - want) < 1e-6)
+
+
 def test_rsi_of_degenerate_series(spark):
     for closes, want in ((range(100, 200), 100.0), (range(200, 100, -1), 0.0), ([150] * 100, 50.0)):
         got = column(X.rsi(frame(spark, list(closes))), "rsi_14")
