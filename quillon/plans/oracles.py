@@ -360,4 +360,16 @@ g(from_regime, to_regime, model_p, model_bars) AS (VALUES {", ".join(f"('{NAMES[
 SELECT from_regime, to_regime, n, {r("p")}, {r("CASE WHEN from_regime = to_regime AND p < 1 THEN 1 / (1 - p) END", "expected_bars")}, {rs("model_p", "model_bars")} FROM q JOIN g USING (from_regime, to_regime)""",
     "model_matrix": f"""SELECT series_id, ts, {", ".join(MODEL_INPUTS)}, ret_1, ret_20, * EXCLUDE (series_id, ts, ret_1, ret_20, {", ".join(n for n, _ in ALL_COLUMNS if n not in ("series_id", "ts"))})
 FROM ({MATRIX}) JOIN (SELECT * EXCLUDE (regime) FROM (WITH RECURSIVE {REGIMES} SELECT series_id, ts, {rs("ret_1", "ret_20")}, {REGIMES_OUT} FROM lab)) USING (series_id, ts)""",
+    "raw_csv_bars": f"""WITH {SESSION_COLUMNS.replace(BARS, ALL)} SELECT series_id, ts, {rs("open", "high", "low", "close")}, {r("n_ticks", "src_pivot")}, session_date, bar_of_day, is_session_open, is_session_close
+FROM sec JOIN bars USING (series_id, ts)""",
+    "stored_splits": f"""WITH a AS ({RSI}), b AS ({warm(RSI, 1250)}) SELECT 'train' AS split, a.series_id, a.ts, {r("x.close", "close")}, rsi_14, rsi_is_warmup FROM a JOIN (WITH {BARS} SELECT * FROM bars) x USING (series_id, ts) WHERE a.ts < TIMESTAMP '{SPLIT_AT}'
+UNION ALL SELECT 'test', b.series_id, b.ts, {r("x.close", "close")}, rsi_14, ({missing(VALUES["rsi"])}) FROM b JOIN (WITH {BARS} SELECT * FROM bars) x USING (series_id, ts) WHERE b.ts >= TIMESTAMP '{SPLIT_AT}'""",
+    "stored_regimes": f"WITH RECURSIVE {REGIMES} SELECT series_id, ts, regime, {r(TOP, 'regime_confidence')} FROM lab",
+    "stored_classifier": f"WITH {USABLE}, {PARTS} SELECT part, COUNT(*) AS n, 0::BIGINT AS n_other FROM p GROUP BY part",
+    "stream_bars": f"WITH {BARS} SELECT {BARS_OUT} FROM bars",
+    "stream_average": f"""WITH RECURSIVE t AS MATERIALIZED (SELECT event_type AS series_id, value AS x, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r FROM events WHERE value IS NOT NULL),
+q AS (SELECT series_id, r, x::DOUBLE AS y FROM t WHERE r = 0 UNION ALL SELECT t.series_id, t.r, q.y + {2.0 / 13!r}::DOUBLE * (t.x - q.y) FROM q JOIN t ON t.series_id = q.series_id AND t.r = q.r + 1)
+SELECT series_id, MAX(r) + 1 AS n, {r("arg_max(y, r)", "last_average")} FROM q GROUP BY series_id""",
 }
+ORACLES["stored_scaler"] = ORACLES["scaler_stats"]
+ORACLES["stored_predictions"] = ORACLES["predictions_table"]

@@ -14,65 +14,74 @@ from quillon.functions import SERIES, TIME
 
 
 def tick_stream(spark: SparkSession, folder: str, table: str = "events", series: str = "event_type", files_per_batch: int = 8) -> DataFrame:
-    """Files of a table as a stream of (series_id, ts, value)."""
+    """The table's file, or all files of its folder, as a stream of (series_id, ts, seq, value); seq orders ticks of one
+    time."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return raw.select(F.col(series).alias(SERIES), F.col("ts").cast("timestamp").alias(TIME), F.col("value").cast("double").alias("value"))
-
-
-def live_bars(ticks: DataFrame, width: str = "15 minutes", late: str = "2 days") -> DataFrame:
-    """Bars of a tick stream; an interval closes when the watermark has passed it, later ticks are dropped."""
-    spans = ticks.withWatermark(TIME, late).groupBy(SERIES, F.window(TIME, width).alias("w"))
-    found = spans.agg(F.min_by("value", TIME).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", TIME).alias("close"), F.count("*").alias("n_ticks"))
+    # a pattern may match a file as well as a folder; a plain path must be a folder
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{table}.[p]arquet")
+    return raw.select(F.col(series).alias(SERIES), F.col("ts").alias(TIME), F.col("event_id").cast("long").alias("seq"), F.col("value").cast("double").alias("value"))
+
+
+def live_bars(ticks: DataFrame, width: str = "15 minutes", late: str | None = "2 days") -> DataFrame:
+    """Bars of a tick stream. With `late` an interval closes when the watermark has passed it, and later ticks are
+    dropped; without it all intervals stay open and every tick counts, which suits a bounded run."""
+    if late is not None:
+        ticks = ticks.withColumn(TIME, F.col(TIME).cast("timestamp")).withWatermark(TIME, late)
+    spans = ticks.groupBy(SERIES, F.window(TIME, width).alias("w"))
+    order = F.struct(TIME, "seq")
+    found = spans.agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("n_ticks"))
     return found.select(SERIES, F.col("w.start").alias(TIME), "open", "high", "low", "close", "n_ticks")
 
 
-def live_average(bars: DataFrame, alpha: float, column: str = "close") -> DataFrame:
-    """(series_id, ts, average): y += alpha * (x - y) over the rows of each series as they arrive, in time order within
-    a batch; one number a series is carried. Rows older than the last one are skipped."""
+def live_average(ticks: DataFrame, alpha: float, column: str = "value") -> DataFrame:
+    """(series_id, n, average) after each batch: y += alpha * (x - y) over the rows of each series in the order in which
+    they arrive, by time and seq within a batch. Two numbers a series are carried, no row is skipped; NULLs count as no
+    row."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, value = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).sort_values(TIME)
-        times, values = [], []
-        for t, x in zip(rows[TIME], rows[column], strict=True):
-            at = t.value
-            if last is not None and at <= last or x is None or x != x:
-                continue
-            value = float(x) if value is None else value + alpha * (float(x) - value)
-            last = at
-            times.append(t)
-            values.append(value)
-        if last is not None:
-            state.update((last, value))
-        yield pd.DataFrame({SERIES: [key[0]] * len(times), TIME: times, "average": values})
-
-    return bars.groupBy(SERIES).applyInPandasWithState(step, f"{SERIES} string, {TIME} timestamp, average double", "last long, value double", "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote, from the shared folder."""
+        n, value = state.get if state.exists else (0, 0.0)
+        rows = pd.concat([p[[TIME, "seq", column]] for p in parts]).dropna(subset=[column]).sort_values([TIME, "seq"])
+        for x in rows[column].tolist():
+            value = x if not n else value + alpha * (x - value)
+            n += 1
+        if n:
+            state.update((n, value))
+            yield pd.DataFrame({SERIES: [key[0]], "n": [n], "average": [value]})
+
+    return ticks.groupBy(SERIES).applyInPandasWithState(step, f"{SERIES} string, n long, average double", "n long, value double", "update", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode over all that is there now and returns the last row of each key, from the folder that
+    the session names in spark.checkpoint.dir."""
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quillon-stream-")
+        raise ValueError("spark.checkpoint.dir must name the folder for the stream's state and rows")
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])
 
 
 def stream_average(spark: SparkSession, d: str) -> DataFrame:
-    """The running average of all ticks by type, as a stream gives it."""
-    out = drained(live_average(tick_stream(spark, d), 2.0 / 13, "value"))
-    return out.groupBy(SERIES).agg(F.count("*").alias("n"), (F.round(F.max_by("average", TIME), 6) + 0.0).alias("last_average"))
+    """The moving average of all ticks by type, as a stream ends with it."""
+    out = drained(live_average(tick_stream(spark, d), 2.0 / 13), [SERIES])
+    return out.select(SERIES, "n", (F.round("average", 6) + 0.0).alias("last_average"))
 
 
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Bars of the intervals that the watermark has closed."""
-    return drained(live_bars(tick_stream(spark, d)))
+    """The bars of all ticks by type, as a stream ends with them."""
+    out = drained(live_bars(tick_stream(spark, d), late=None), [SERIES, TIME])
+    return out.select(SERIES, TIME, *[(F.round(c, 6) + 0.0).alias(c) for c in ("open", "high", "low", "close")], "n_ticks")
 
 
 QUERIES = {"stream_average": stream_average, "stream_bars": stream_bars}
