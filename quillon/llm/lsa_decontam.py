@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stored, table
-from quillon.llm.shingles import word_hashes
 from quillon.llm.toxicity_ftrl import CLEAN
 
 #: A passage is PARTS neighbouring stretches of STEP words.
@@ -35,19 +35,23 @@ COSINE = 0.2
 #: Arrays that one task adds up.
 FAN = 8
 SENTENCE = re.compile(r"[^.!?\n]+")
-LUT_BITS = 20
 
 
-def word_ids(text: str | None) -> np.ndarray:
-    return np.zeros(0, np.uint32) if text is None else (word_hashes(text.encode().translate(CLEAN).split()) >> np.uint64(32)).astype(np.uint32)
+def words_of(text: str | None) -> list[bytes]:
+    return [] if text is None else text.encode().translate(CLEAN).split()
 
 
-def answer_of(text: str) -> np.ndarray:
+def answer_of(text: str) -> list[bytes]:
     """Words that an item ends with: its last sentence of three words or more, else its last five words."""
     for part in reversed(SENTENCE.findall(text)):
-        if len(found := word_ids(part)) >= 3:
+        if len(found := words_of(part)) >= 3:
             return found
-    return word_ids(text)[-5:]
+    return words_of(text)[-5:]
+
+
+def numbered(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Places of words in the vocabulary, -1 for others."""
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
 
 
 def common_length(one: np.ndarray, two: np.ndarray) -> int:
@@ -63,28 +67,12 @@ def common_length(one: np.ndarray, two: np.ndarray) -> int:
     return len(one) - row.bit_count()
 
 
-def lookup(vocabulary: np.ndarray) -> np.ndarray:
-    """Table from the low bits of a word's number to its place in the sorted vocabulary, -1 for others; the full number
-    is compared afterwards."""
-    out = np.full(1 << LUT_BITS, -1, np.int32)
-    out[vocabulary & ((1 << LUT_BITS) - 1)] = np.arange(len(vocabulary))
-    return out
-
-
-def term_places(ids: np.ndarray, vocabulary: np.ndarray, table_: np.ndarray) -> np.ndarray:
-    at = table_[ids & ((1 << LUT_BITS) - 1)]
-    other = np.flatnonzero((at >= 0) & (vocabulary[at] != ids))  # low bits of another word
-    place = np.minimum(np.searchsorted(vocabulary, ids[other]), len(vocabulary) - 1)
-    at[other] = np.where(vocabulary[place] == ids[other], place, -1)
-    return at
-
-
 def stretches(columns: Iterable[bytes], limit: int = 300_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Documents in groups of bounded size: their rows, words, stretch of each word, first stretch of each document."""
     rows, parts, first, blocks, n = [], [], [], [], 0
     total = 0
     for k, raw in enumerate(columns):
-        ids = np.frombuffer(raw, np.uint32)
+        ids = np.frombuffer(raw, np.int32)
         if not len(ids):
             continue
         rows.append(k)
@@ -136,28 +124,26 @@ def dense_counts(at: np.ndarray, block: np.ndarray, n: int, width: int) -> np.nd
     return np.bincount(block * width + at, minlength=n * width).reshape(n, width).astype(np.float32)
 
 
-def stretch_counts(words: Iterable[bytes], vocabulary: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, int]:
-    """Number of stretches that have each word, and of all stretches."""
-    df, total = np.zeros(len(vocabulary), np.int64), 0
-    for _, ids, block, first in stretches(words):
-        term = term_places(ids, vocabulary, lut)
-        seen = np.unique(block[term >= 0] * len(vocabulary) + term[term >= 0])
-        df += np.bincount(seen % len(vocabulary), minlength=len(vocabulary))
+def stretch_counts(words: Iterable[bytes], size: int) -> tuple[np.ndarray, int]:
+    """Number of stretches that have each word of the vocabulary, and of all stretches."""
+    df, total = np.zeros(size, np.int64), 0
+    for _, term, block, first in stretches(words):
+        seen = np.unique(block[term >= 0] * size + term[term >= 0])
+        df += np.bincount(seen % size, minlength=size)
         total += int(first[-1])
     return df, total
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray) -> DataFrame:
-    """(_id, _words, _df, _n): words of a text as numbers; rows without words carry counts of stretches by word of the
-    vocabulary instead, one for each batch."""
+def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(_id, _words, _df, _n): words of a text as places in the vocabulary; rows without words carry counts of stretches by
+    word instead, one for each batch."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut = lookup(vocabulary)
         for batch in batches:
-            words = [word_ids(t).tobytes() for t in batch["_text"]]
+            words = [numbered(words_of(t), vocabulary).tobytes() for t in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "_words": words, "_df": None, "_n": 0})
-            df, total = stretch_counts(words, vocabulary, lut)
+            df, total = stretch_counts(words, len(vocabulary))
             yield pd.DataFrame({"_id": [None], "_words": [None], "_df": [df.tobytes()], "_n": [total]})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -189,17 +175,16 @@ def summed(rows: DataFrame, column: str, dtype: type, fan: int = FAN) -> tuple[n
     return sum(np.frombuffer(r[0], dtype) for r in found), sum(r[1] for r in found)
 
 
-def singular_vectors(words: DataFrame, vocabulary: np.ndarray, weight: np.ndarray, column: np.ndarray, sketch: int = SKETCH, rank: int = RANK, seed: int = 7) -> np.ndarray:
+def singular_vectors(words: DataFrame, weight: np.ndarray, column: np.ndarray, sketch: int = SKETCH, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix, columns, from one pass over all passages."""
-    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), min(sketch, len(vocabulary)))))[0].astype(np.float32)
+    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(weight), min(sketch, len(weight)))))[0].astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut, scaled = lookup(vocabulary), omega * weight[:, None]
+        scaled = omega * weight[:, None]
         common = np.argsort(column)[len(column) - int(column.max()) - 1 :]
         total = np.zeros(omega.shape, np.float64)
         for batch in batches:
-            for _, ids, block, first in stretches(batch["_words"]):
-                term = term_places(ids, vocabulary, lut)
+            for _, term, block, first in stretches(batch["_words"]):
                 keep = term >= 0
                 term, block = term[keep], block[keep]
                 sums = passage_sums(block_sums(term, block, int(first[-1]), scaled, column), first)
@@ -269,24 +254,22 @@ class Postings:
         return code // len(self.least), code % len(self.least)
 
 
-def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, vocabulary: np.ndarray, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, lcs: float, answer: float, cosine: float) -> DataFrame:
+def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]], item_kind: str, weight: np.ndarray, df: np.ndarray, basis: np.ndarray, id_kind: str, lcs: float, answer: float, cosine: float) -> DataFrame:
     scaled = basis * weight[:, None]
     column = dense_columns(df)
-    lut = lookup(vocabulary)
     # a piece of an item: the item, its place there, its number of words
     pieces = [(q, int(x[0]), len(x)) for q, (_, w, _) in enumerate(items) for x in np.array_split(np.arange(len(w)), -(-len(w) // (PARTS * STEP)))]
-    terms = [term_places(items[q][1][a : a + n], vocabulary, lut) for q, a, n in pieces]
+    terms = [items[q][1][a : a + n] for q, a, n in pieces]
     queries = np.stack([scaled[t].sum(0) for t in terms])
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     postings = Postings(terms, df, lcs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut = lookup(vocabulary)
         listed = [w.tolist() for _, w, _ in items]
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             for rows, ids, block, first in stretches(batch["_words"], max(20_000, min(300_000, 100_000_000 // len(pieces)))):
-                term = term_places(ids, vocabulary, lut)
+                term = ids
                 rare = np.flatnonzero(term >= 0)
                 rare = rare[postings.begin[term[rare] + 1] > postings.begin[term[rare]]]
                 at_block, at_item = postings.pairs(term[rare], block[rare], first)
@@ -355,11 +338,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for turn in range(-(-count // BLOCK_ITEMS)):
         part = wanted if count <= BLOCK_ITEMS else wanted.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(-(-count // BLOCK_ITEMS))) == turn)
-        items = [(r[0], word_ids(r[1]), answer_of(r[1])) for r in part.orderBy("_item", "_text").collect()]
-        items = [x for x in items if len(x[1])]
+        said = [(r[0], words_of(r[1]), answer_of(r[1])) for r in part.orderBy("_item", "_text").collect()]
+        vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws, _ in said for w in ws}))}
+        items = [(q, numbered(ws, vocabulary), numbered(end, vocabulary)) for q, ws, end in said if ws]
         if not items:
             continue
-        vocabulary = np.unique(np.concatenate([w for _, w, _ in items]))
         words = stored(tokenised(docs, id_col, text_col, vocabulary), "lsa-words")
         df, total = summed(words.where("_df is not null"), "_df", np.int64)
         if df is None or not total:
@@ -368,8 +351,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         weight = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
         weight /= weight.max()
         texts = words.where("_words is not null")
-        basis = singular_vectors(texts, vocabulary, weight, dense_columns(df))
-        found = search(texts, items, item_kind, vocabulary, weight, df, basis, kind, lcs, answer, cosine)
+        basis = singular_vectors(texts, weight, dense_columns(df))
+        found = search(texts, items, item_kind, weight, df, basis, kind, lcs, answer, cosine)
         out = found if out is None else out.unionByName(found)
     if out is None:
         schema = f"_id {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long"

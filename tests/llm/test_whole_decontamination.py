@@ -2,7 +2,7 @@
 
 import random
 
-from quillon.llm.lsa_decontam import contaminated, word_ids
+from quillon.llm.lsa_decontam import contaminated, words_of
 
 
 def longest(one, two):
@@ -32,9 +32,9 @@ def test_item_that_leaks_into_a_third_of_the_rows(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for i, t in rows:
-        own = word_ids(t).tolist()
+        own = words_of(t)
         for q, x in items:
-            part = word_ids(x).tolist()
+            part = words_of(x)
             if len(set(own) & set(part)) >= 0.6 * len(set(part)) and longest(part, own) >= 0.85 * len(part):
                 want.add((i, q))
     assert len(want) == 83
