@@ -20,9 +20,12 @@ from quillon.llm.components import components
 from quillon.llm.shingles import shingle_set
 
 #: Bytes of text for each bucket of the count; a bucket is what one task holds at once.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 12 << 20
 #: Characters of text that a task works on at once.
-SLICE = 4 << 20
+SLICE = 8 << 20
+#: A shingle that so many texts of a slice have is frequent: it goes last in the global order, and its texts are not sent
+#: to where it is counted, only word of it. FREQUENT stands for its count.
+MANY, FREQUENT = 8, (1 << 32) - 1
 FRAGMENTS = 4
 STARS = 2
 
@@ -31,11 +34,26 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key (under 2**31 of them): parts of the range of keys, so that sorted keys have sorted buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets that occur in a sorted array, and where: a turn for each of them, however many there are in all."""
+    if len(buckets):
+        edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield int(buckets[lo]), slice(lo, hi)
+
+
 def text_sets(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """Packed rows of one pass over the texts.
 
-    kind 0: key is a bucket of shingles, a the shingles, b the place of each one's text in c, c the nodes.
+    kind 0: key is a bucket of shingles, a the shingles, b the place of each one's text in c, c the nodes; a shingle of
+    node 0 is a frequent one.
     kind 1: key is a bucket of nodes, a the nodes, b their numbers of shingles.
+    kind 3: key is a bucket of nodes, a the nodes, b frequent shingles of theirs, c FREQUENT.
     kind 2: id, node and size of a document; key only spreads them.
     A node is the 64-bit digest of a shingle set, so copies are one node from the start.
     """
@@ -71,19 +89,27 @@ def text_sets(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
                 owner = np.repeat(np.arange(len(known), dtype=np.int32), counts)
                 shingles = np.concatenate(list(sets.values()))
                 del sets
+                order = np.argsort(shingles, kind="stable")
+                shingles, owner = shingles[order], owner[order]
+                start = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+                size = np.diff(np.append(start, len(shingles)))
+                many = np.repeat(size >= MANY, size)
                 rows = []
-                bucket = (shingles % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in range(buckets):
-                    part = order[edges[k] : edges[k + 1]]
-                    if len(part):
-                        mine, place = np.unique(owner[part], return_inverse=True)
-                        rows.append((0, k, shingles[part].tobytes(), place.astype(np.int32 if len(mine) > 65535 else np.uint16).tobytes(), known[mine].tobytes()))
-                bucket = known % np.uint64(buckets)
-                for k in np.unique(bucket):
-                    part = bucket == k
-                    rows.append((1, int(k), known[part].tobytes(), counts[part].tobytes(), None))
+                nodes_of, common = known[owner[many]], shingles[many]
+                order = np.argsort(nodes_of, kind="stable")
+                nodes_of, common = nodes_of[order], common[order]
+                for k, part in dealt(bucket_of(nodes_of, buckets)):
+                    rows.append((3, k, nodes_of[part].tobytes(), common[part].tobytes(), np.full(len(common[part]), FREQUENT, np.uint32).tobytes()))
+                for k, part in dealt(bucket_of(told := shingles[start[size >= MANY]], buckets)):
+                    rows.append((0, k, told[part].tobytes(), np.zeros(len(told[part]), np.uint16).tobytes(), np.zeros(1, np.uint64).tobytes()))
+                shingles, owner = shingles[~many], owner[~many]
+                for k, part in dealt(bucket_of(shingles, buckets)):
+                    mine, place = np.unique(owner[part], return_inverse=True)
+                    rows.append((0, k, shingles[part].tobytes(), place.astype(np.int32 if len(mine) > 65535 else np.uint16).tobytes(), known[mine].tobytes()))
+                order = np.argsort(known)
+                known, counts = known[order], counts[order]
+                for k, part in dealt(bucket_of(known, buckets)):
+                    rows.append((1, k, known[part].tobytes(), counts[part].tobytes(), None))
                 out = pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c"])
                 yield out.assign(id=None, node=0, n=0)
 
@@ -96,7 +122,8 @@ def packed_schema(docs: DataFrame, id_col: str) -> str:
 
 
 def _shared_of_bucket(buckets: int):
-    """Of the shingles of one bucket, those that several nodes have, dealt by node; sizes pass unchanged."""
+    """Of the shingles of one bucket, those that several nodes have, dealt by node with their counts; sizes and frequent
+    shingles pass unchanged."""
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         if group["kind"].iloc[0]:
@@ -117,18 +144,17 @@ def _shared_of_bucket(buckets: int):
         fresh = np.ones(len(one), bool)
         fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])  # a node that several tasks met counts once
         one, two = one[fresh], two[fresh]
-        _, place, counts = np.unique(one, return_inverse=True, return_counts=True)
-        freq = counts[place]
-        keep = freq > 1
+        if not len(one):
+            return pd.DataFrame(columns=["kind", "key", "a", "b", "c", "id", "node", "n"])
+        first, place, counts = np.unique(one, return_index=True, return_inverse=True, return_counts=True)[1:]
+        freq = np.where(two[first] == 0, FREQUENT, counts)[place]
+        keep = (freq > 1) & (two != 0)
         one, two, freq = one[keep], two[keep], freq[keep]
         rows = []
-        bucket = two % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            part = order[edges[k] : edges[k + 1]]
-            if len(part):
-                rows.append((0, k, two[part].tobytes(), one[part].tobytes(), freq[part].astype(np.uint32).tobytes()))
+        order = np.argsort(two, kind="stable")
+        one, two, freq = one[order], two[order], freq[order]
+        for k, part in dealt(bucket_of(two, buckets)):
+            rows.append((0, k, two[part].tobytes(), one[part].tobytes(), freq[part].astype(np.uint32).tobytes()))
         return pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c"]).assign(id=None, node=0, n=0)
 
     return count
@@ -141,7 +167,7 @@ def _sets_of_nodes(percent: int):
         size: dict[int, int] = {}
         for a, b in group.loc[group["kind"] == 1, ["a", "b"]].itertuples(index=False):
             size.update(zip(np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.int64).tolist(), strict=True))
-        some = group[group["kind"] == 0]
+        some = group[group["kind"] != 1]
         empty = pd.DataFrame(columns=["node", "n", "lone", "shingles", "freqs"], dtype=object)
         if not len(some):
             return empty
@@ -150,6 +176,9 @@ def _sets_of_nodes(percent: int):
         freq = np.concatenate([np.frombuffer(x, np.uint32) for x in some["c"]])
         order = np.lexsort((shingle, freq, node))
         node, shingle, freq = node[order], shingle[order], freq[order]
+        fresh = np.ones(len(node), bool)  # a frequent shingle of a node that several tasks met stands there for each
+        fresh[1:] = (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1])
+        node, shingle, freq = node[fresh], shingle[fresh], freq[fresh]
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         rows = []
         for lo, hi in zip(starts, [*starts[1:], len(node)], strict=True):
@@ -244,10 +273,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are left behind, so names cannot clash.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = int(min(max(16, -(-total // BUCKET_BYTES)), 1 << 20))
+    buckets = int(max(16, -(-total // BUCKET_BYTES)))
     packed = text_sets(docs, id_col, text_col, buckets).groupBy("kind", "key")
     packed = stored(packed.applyInPandas(_shared_of_bucket(buckets), packed_schema(docs, id_col)), "join-shared")
-    shared = packed.where("kind < 2").select("kind", "key", "a", "b", "c")
+    shared = packed.where("kind <> 2").select("kind", "key", "a", "b", "c")
     sets = stored(shared.groupBy("key").applyInPandas(_sets_of_nodes(percent), "node long, n long, lone long, shingles array<long>, freqs array<long>"), "join-sets")
     found = linked_nodes(sets, percent)
     rows = packed.where("kind = 2").select(F.col("id").alias("_id"), "node", "n")
