@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import stored, table
 from quillon.llm.components import components
-from quillon.llm.shingles import shingle_set
+from quillon.llm.shingles import bucket_of, dealt, shingle_set
 
 #: Bytes of text for each bucket of the count; a bucket is what one task holds at once.
 BUCKET_BYTES = 12 << 20
@@ -34,19 +34,6 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each key (under 2**31 of them): parts of the range of keys, so that sorted keys have sorted buckets."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def dealt(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The buckets that occur in a sorted array, and where: a turn for each of them, however many there are in all."""
-    if len(buckets):
-        edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            yield int(buckets[lo]), slice(lo, hi)
-
-
 def text_sets(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """Packed rows of one pass over the texts.
 

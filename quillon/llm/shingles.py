@@ -1,7 +1,9 @@
-"""Five-word shingles of texts as 64-bit numbers."""
+"""Five-word shingles of texts as 64-bit numbers, and numbers dealt to buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -29,3 +31,16 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
         mixed = mixed * ODD + found[k : k + len(mixed)]
     mixed ^= mixed >> np.uint64(32)
     return np.unique(mixed * ODD)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key (under 2**31 of them): parts of the range of keys, so that sorted keys have sorted buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets that occur in a sorted array, and where: a turn for each of them, however many there are in all."""
+    if len(buckets):
+        edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield int(buckets[lo]), slice(lo, hi)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stored, table
+from quillon.llm.shingles import bucket_of, dealt
 
 PIECE = 32  # bytes of a minimizer
 #: Bytes of text for each bucket, and bytes handled at once inside a task.
@@ -26,6 +27,8 @@ CHUNK = 1 << 20
 #: Segments of one minimizer beyond which its windows are dealt one by one, by their own hash.
 HOT = 2048
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A second multiplier, for a second hash.
+OTHER = np.uint64(0xD6E8FEB86659FD93)
 LAST = np.iinfo(np.int64).max
 
 
@@ -35,10 +38,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(data: np.ndarray, width: int) -> np.ndarray:
+def rolling(data: np.ndarray, width: int, factor: np.uint64 = ODD) -> np.ndarray:
     """Hashes of all stretches of width bytes, by doubling."""
     total, have, hashes = None, 0, data.astype(np.uint64) + np.uint64(1)
-    step, factor = 1, ODD
+    step = 1
     while True:
         if width & step:
             if total is None:
@@ -128,18 +131,18 @@ def _cat(column: pd.Series, kind: type) -> np.ndarray:
 
 
 def _by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.uint32)
+    """Places of the keys of each bucket that occurs."""
+    bucket = bucket_of(key, buckets)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
+    for k, part in dealt(bucket[order]):
+        yield k, order[part]
 
 
 def pack_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """kind 0: key is a bucket of minimizers; a minimizers, b digests, c places in d, e offsets, f windows, d nodes and
-    ids. kind 2: id, node, n_bytes, sha256 of a text; key only spreads them. A node is the digest of a text, so copies
-    are one node."""
+    ids; of equal segments of one batch only the first is sent. kind 3: key is a bucket of nodes, and the others, which
+    are later copies whatever else there is, as MARKS. kind 2: id, node, n_bytes, sha256 of a text; key only spreads
+    them. A node is the digest of a text, so copies are one node."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for turn, batch in enumerate(batches):
@@ -161,6 +164,15 @@ def pack_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 text, start, windows, key, digest = segments(data, begins, ends, length)
                 got.append((which[text], start - begins[text] + offset[text], windows, key, digest))
             owner, at, windows, key, digest = (np.concatenate(x) for x in zip(*got, strict=True))
+            # of equal segments the first by id, text and place; a segment that very many texts have leaves a task once a batch
+            order = np.lexsort((at, nodes.view(np.int64)[chosen[owner]], ids[chosen[owner]], digest, key))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+            none = np.zeros(int(again.sum()), np.uint64)
+            who = chosen[owner[again]]
+            gone = _marks(nodes[who].view(np.int64), ids[who], at[again], windows[again], none, none, buckets)
+            yield gone.assign(kind=3, id=0, node=0, n=0, sha=None).reindex(columns=COLUMNS)
+            owner, at, windows, key, digest = (x[~again] for x in (owner, at, windows, key, digest))
             rows = []
             for k, part in _by_bucket(key, buckets):
                 mine, place = np.unique(owner[part], return_inverse=True)
@@ -189,7 +201,7 @@ def _compare_segments(buckets: int):
     """Of one bucket of minimizers: later copies of a segment go; first ones that have rivals are to be compared."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        if group["kind"].iloc[0] == 2:
+        if group["kind"].iloc[0] > 1:
             return group
         return marks(group).assign(kind=0, id=0, node=0, n=0, sha=None).reindex(columns=COLUMNS)
 
@@ -350,7 +362,7 @@ def runs(marked: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _sort_bucket(length: int, buckets: int):
     """Windows to go of one bucket of segments with rivals: rows of a bytes, b windows, c nodes, d ids, e offsets, f
-    keys; kind 1 has hashes of single windows (f) of very common minimizers instead of bytes."""
+    keys; kind 1 has two hashes of single windows (f and a) of very common minimizers instead of bytes."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         node, doc, at, key = _cat(group["c"], np.int64), _cat(group["d"], np.int64), _cat(group["e"], np.uint32).astype(np.int64), _cat(group["f"], np.uint64)
@@ -362,9 +374,10 @@ def _sort_bucket(length: int, buckets: int):
         priority[order] = np.arange(len(order))
         if group["kind"].iloc[0] == 1:
             node, doc, at, key, priority = (x[~again] for x in (node, doc, at, key, priority))
-            order = np.lexsort((priority, key))
+            other = _cat(group["a"], np.uint64)[~again]
+            order = np.lexsort((priority, other, key))
             late = np.zeros(len(order), bool)
-            late[order[1:]] = key[order[1:]] == key[order[:-1]]
+            late[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
             return _marks(node[late], doc[late], at[late], np.ones(int(late.sum()), np.uint8), np.zeros(int(late.sum()), np.uint64), np.zeros(int(late.sum()), np.uint8), buckets)
         raw, windows = b"".join(group["a"]), _cat(group["b"], np.uint8).astype(np.int64)
         size = windows + length - 1
@@ -416,12 +429,16 @@ def _sort_bucket(length: int, buckets: int):
 
 
 def _of_node(group: pd.DataFrame) -> pd.DataFrame:
-    """One row for each node of a bucket: id, and arrays of offsets, windows, keys and hot."""
+    """One row for each node of a bucket: id, and arrays of offsets, windows, keys and hot. Of a text that stands under
+    several ids the marks of the smallest are complete; copies of it go whole."""
     node, doc, at = _cat(group["a"], np.int64), _cat(group["b"], np.int64), _cat(group["c"], np.uint32).astype(np.int64)
     windows, keys, hot = _cat(group["d"], np.uint8).astype(np.int64), _cat(group["e"], np.uint64), _cat(group["f"], np.uint8)
-    order = np.lexsort((at, node))
+    order = np.lexsort((at, doc, node))
     node, doc, at, windows, keys, hot = (x[order] for x in (node, doc, at, windows, keys, hot))
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    least = np.repeat(doc[starts], np.diff(np.append(starts, len(node)))) == doc
+    node, doc, at, windows, keys, hot = (x[least] for x in (node, doc, at, windows, keys, hot))
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     rows = []
     for lo, hi in zip(starts, [*starts[1:], len(node)], strict=True):
         gone = np.flatnonzero(keys[lo:hi] == 0) + lo
@@ -450,8 +467,8 @@ def pack_rivals(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 for o, w, k, h in zip(offset.tolist(), n.tolist(), keys.tolist(), hot.tolist(), strict=True):
                     piece = raw[o : o + w + length - 1]
                     if h:
-                        whole = rolling(np.frombuffer(piece, np.uint8), length)
-                        ones.append((whole, np.full(w, r.node), np.full(w, r.id), np.arange(o, o + w)))
+                        flat = np.frombuffer(piece, np.uint8)
+                        ones.append((rolling(flat, length), rolling(flat, length, OTHER), np.full(w, r.node), np.full(w, r.id), np.arange(o, o + w)))
                     else:
                         parts.append(piece)
                         sizes.append(w)
@@ -465,9 +482,9 @@ def pack_rivals(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 for k, p in _by_bucket(ky, buckets):
                     rows_.append((0, k, b"".join(parts[i] for i in p), _b(w[p], np.uint8), _b(nd[p], np.int64), _b(dc[p], np.int64), _b(off[p], np.uint32), _b(ky[p], np.uint64)))
             if ones:
-                ky, nd, dc, off = (np.concatenate(x) for x in zip(*ones, strict=True))
+                ky, more, nd, dc, off = (np.concatenate(x) for x in zip(*ones, strict=True))
                 for k, p in _by_bucket(ky, buckets):
-                    rows_.append((1, k, None, None, _b(nd[p], np.int64), _b(dc[p], np.int64), _b(off[p], np.uint32), _b(ky[p], np.uint64)))
+                    rows_.append((1, k, _b(more[p], np.uint64), None, _b(nd[p], np.int64), _b(dc[p], np.int64), _b(off[p], np.uint32), _b(ky[p], np.uint64)))
             yield pd.DataFrame(rows_, columns=["kind", "key", "a", "b", "c", "d", "e", "f"])
 
     return rows.mapInPandas(pack, "kind int, key int, a binary, b binary, c binary, d binary, e binary, f binary")
@@ -513,10 +530,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = int(min(max(16, -(-total // BUCKET_BYTES)), 1 << 20))
+    buckets = int(max(16, -(-total // BUCKET_BYTES)))
     packed = pack_segments(rows, length, buckets).groupBy("kind", "key").applyInPandas(_compare_segments(buckets), SCHEMA)
     packed = stored(packed, "suffix-compared")
-    marks = packed.where("kind = 0").select("key", "a", "b", "c", "d", "e", "f")
+    marks = packed.where("kind <> 2").select("key", "a", "b", "c", "d", "e", "f")
     marks = stored(marks.groupBy("key").applyInPandas(_of_node, NODE_MARKS), "suffix-marks")
 
     texts = rows.select(F.coalesce("_id", F.lit(LAST)).alias("id"), F.col("_text").alias("body")).where("body is not null")
