@@ -20,9 +20,9 @@ from quillon.llm.components import components
 from quillon.llm.shingles import bucket_of, dealt, shingle_set
 
 #: Bytes of text for each bucket of the count; a bucket is what one task holds at once.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Characters of text that a task works on at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: A shingle that so many texts of a slice have is frequent: it goes last in the global order, and its texts are not sent
 #: to where it is counted, only word of it. FREQUENT stands for its count.
 MANY, FREQUENT = 8, (1 << 32) - 1
