@@ -274,13 +274,17 @@ def gif_frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and features of gif_column's rows, from the decoded bytes of each stored file."""
+    """Digests and features of gif_column's rows, from the decoded bytes of each stored file. Rows without media have NULL
+    digests."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, n, media in zip(batch["_id"], batch["n_bytes"], batch["media"], strict=True):
+                if media is None:
+                    rows.append((doc, None if pd.isna(n) else int(n), *[None] * 8))
+                    continue
                 media = bytes(media)
                 frames = decode_gif(media)
                 counts = np.zeros(64, np.int64)

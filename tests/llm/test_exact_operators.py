@@ -149,6 +149,25 @@ def test_gif_round_trip(docs, empty):
     assert all(sum(f["histogram"]) == len(f["rgb"]) // 3 for f in frames)
 
 
+def test_gif_without_media(spark):
+    df = spark.createDataFrame([(1, 4, None), (None, None, None)], "doc_id long, n_bytes long, media binary")
+    got = media_digest(df).orderBy("doc_id").collect()
+    assert len(got) == 2 and all(r["media_sha256"] is None and r["payload_bytes"] is None for r in got) and gif_frames(df).count() == 0
+
+
+def test_gif_local_palettes_interlace_and_restored_background():
+    pixels = lambda *v: b"\x02" + bytes([len(x := lzw_pack(bytes(v), 2))]) + x + b"\x00"
+    grey = bytes([0, 0, 0, 10, 10, 10, 20, 20, 20, 30, 30, 30])
+    local = bytes([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 9, 9])
+    head = b"GIF89a" + bytes([1, 0, 5, 0, 0x81, 0, 0]) + grey
+    # rows of an interlaced picture come in the order 0, 4, 2, 1, 3; disposal 2 clears it before the next one
+    first = b"\x21\xf9\x04\x08\x01\x00\x00\x00\x2c" + bytes([0, 0, 0, 0, 1, 0, 5, 0, 0x40]) + pixels(0, 1, 2, 3, 0)
+    second = b"\x2c" + bytes([0, 0, 4, 0, 1, 0, 1, 0, 0x81]) + local + pixels(1)
+    frames = decode_gif(head + first + second + b"\x3b")
+    assert frames[0]["canvas"][:, 0, 0].tolist() == [0, 30, 20, 0, 10]
+    assert frames[1]["canvas"][4, 0].tolist() == [4, 5, 6] and len({tuple(x) for x in frames[1]["canvas"][:4, 0].tolist()}) == 1
+
+
 def test_gif_frames_disposal_and_transparency():
     rng = np.random.default_rng(1)
     for raw in (b"", b"a", b"ab" * 70_000, rng.bytes(150_000)):
