@@ -278,6 +278,27 @@ def flag_shares(df: DataFrame) -> DataFrame:
     return long.groupBy("flag").agg((F.avg("x") * 100).alias("share_pct"))
 
 
+#: The columns of the exported tables, and those that the RSI summary describes.
+RSI_EXPORT = ["session_date", "bar_of_day", "open", "high", "low", "close", "rsi_7", "rsi_14", "rsi_21", "rsi_14_norm", "rsi_14_chg", "rsi_14_slope_5", "rsi_spread_7_21", "rsi_14_overbought", "rsi_14_oversold", "rsi_14_zone", "rsi_is_warmup"]
+REGIME_EXPORT = ["session_date", "close", "regime", "regime_confidence", "regime_changepoint", "regime_entropy", "regime_changed"]
+RSI_SUMMARY = ["rsi_7", "rsi_14", "rsi_21", "rsi_14_chg", "rsi_spread_7_21"]
+
+
+def exported(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Series, time without a zone and those of the columns that df has, and the probabilities of regimes."""
+    named = [c for c in columns if c in df.columns] + [c for c in df.columns if c.startswith("regime_p_") and "regime" in columns]
+    return df.select(SERIES, F.col(TIME).cast("timestamp_ntz").alias(TIME), *named)
+
+
+def rsi_summary(df: DataFrame) -> DataFrame:
+    """The RSI columns described over all rows by split (a column of df), and the shares of its flags in percent."""
+    long = df.unpivot(["split"], RSI_SUMMARY, "feature", "x").groupBy("feature", "split")
+    values = long.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", 0.5).alias("median"), F.max("x").alias("max"))
+    flags = {"rsi_14_overbought": "overbought_pct", "rsi_14_oversold": "oversold_pct", "rsi_is_warmup": "warmup_pct"}
+    shares = df.select("split", *[(F.col(c).cast("int") * 100.0).alias(n) for c, n in flags.items()]).unpivot(["split"], list(flags.values()), "feature", "x")
+    return values.unionByName(shares.groupBy("feature", "split").agg(F.avg("x").alias("mean")), allowMissingColumns=True)
+
+
 def column_catalogue(df: DataFrame) -> DataFrame:
     """For each feature column its block and whether models read it."""
     reads = set(model_columns(df))

@@ -19,9 +19,9 @@ from quillon.functions import SERIES, TIME
 from quillon.operators import dataset as D
 
 REGISTRY: dict[str, Callable] = {
-    "logistic": lambda n: LogisticRegression(maxIter=50, regParam=0.01),
-    "boosted_trees": lambda n: GBTClassifier(maxIter=10, maxDepth=3, seed=42),
-    "perceptron": lambda n: MultilayerPerceptronClassifier(layers=[n, 32, 2], maxIter=100, seed=42),
+    "logistic": lambda n: LogisticRegression(maxIter=25, regParam=0.01),
+    "boosted_trees": lambda n: GBTClassifier(maxIter=8, maxDepth=3, seed=42),
+    "perceptron": lambda n: MultilayerPerceptronClassifier(layers=[n, 16, 2], maxIter=40, seed=42),
 }
 
 

@@ -28,6 +28,8 @@ NAMES = ["bull", "bear", "sideways", "high_vol"]
 #: Scored rows that one task runs through.
 BLOCK = 4096
 SEED_ROWS = 250
+#: Seeds that the k-means start of a fit tries.
+STARTS = 4
 
 
 def regime_inputs(df: DataFrame) -> DataFrame:
@@ -64,20 +66,17 @@ class Hmm:
         return out
 
 
-def product(steps: np.ndarray, best: bool = False) -> tuple[np.ndarray, float]:
-    """The product of matrices in order, by halves, over its largest entry, and the logarithm of that. With best, entries
-    are logarithms and the largest term stands for the sum."""
-    scale = 0.0
+def product(steps: np.ndarray, best: bool = False) -> np.ndarray:
+    """The product of matrices in order, by halves, up to a factor. With best, entries are logarithms and the largest term
+    stands for the sum."""
     while len(steps) > 1:
         tail = steps[len(steps) // 2 * 2 :]
         one, two = steps[0 : len(steps) - 1 : 2], steps[1::2]
         steps = (one[:, :, :, None] + two[:, None, :, :]).max(axis=2) if best else one @ two
         if not best:
-            top = np.maximum(steps.max(axis=(1, 2), keepdims=True), 1e-300)
-            scale += float(np.log(top).sum())
-            steps = steps / top
+            steps = steps / np.maximum(steps.max(axis=(1, 2), keepdims=True), 1e-300)
         steps = np.concatenate([steps, tail])
-    return steps[0], scale
+    return steps[0]
 
 
 def placed(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -92,9 +91,9 @@ def _logs(a: np.ndarray) -> np.ndarray:
 
 
 def boundaries(rows: DataFrame, model: dict, inputs: Sequence[str], best: bool = False) -> DataFrame:
-    """(series, _b, entry, exit, likelihood) of each block: the probabilities of the state before its first row, weights
-    of the state at its last row by all that follows, and the logarithm of the densities over the block given what was
-    before. With best, entry are the best log-scores before the block and exit is the best path's state at its end."""
+    """(series, _b, entry, exit) of each block: the probabilities of the state before its first row, and weights of the
+    state at its last row by all that follows. With best, entry are the best log-scores before the block and exit is the
+    best path's state at its end."""
     kind = rows.schema[SERIES].dataType.simpleString()
 
     def shrink(group: pd.DataFrame) -> pd.DataFrame:
@@ -106,17 +105,15 @@ def boundaries(rows: DataFrame, model: dict, inputs: Sequence[str], best: bool =
             steps = _logs(m.trans) + logb[:, None, :]
             if first:
                 steps[0] = _logs(m.start) + logb[0]
-            total, scale = product(steps, True)
         else:
-            total, scale = product(m.steps(logb, first))
-            scale += float(logb.max(axis=1).sum())
-        return pd.DataFrame({SERIES: [group[SERIES].iloc[0]], "_b": [group["_b"].iloc[0]], "_m": [total.ravel()], "_l": [scale]})
+            steps = m.steps(logb, first)
+        return pd.DataFrame({SERIES: [group[SERIES].iloc[0]], "_b": [group["_b"].iloc[0]], "_m": [product(steps, best).ravel()]})
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_b")
         k = len(model["startprob"])
         matrices = [np.array(x).reshape(k, k) for x in group["_m"]]
-        entry, exit_, told = [], [None] * len(matrices), []
+        entry, exit_ = [], [None] * len(matrices)
         if best:
             score = np.zeros(k)
             for m in matrices:
@@ -127,34 +124,34 @@ def boundaries(rows: DataFrame, model: dict, inputs: Sequence[str], best: bool =
             for b in range(len(matrices) - 1, -1, -1):
                 exit_[b] = np.eye(k)[state]
                 state = int((entry[b] + matrices[b][:, state]).argmax())
-            told = [0.0] * len(matrices)
         else:
             p = np.full(k, 1.0 / k)
-            for m, scale in zip(matrices, group["_l"], strict=True):
+            for m in matrices:
                 entry.append(p)
                 p = p @ m
-                told.append(float(np.log(p.sum()) + scale))
                 p = p / p.sum()
             later = np.ones(k)
             for b in range(len(matrices) - 1, -1, -1):
                 exit_[b] = later
                 later = matrices[b] @ later
                 later = later / later.max()
-        return pd.DataFrame({SERIES: group[SERIES], "_b": group["_b"], "entry": entry, "exit": exit_, "likelihood": told})
+        return pd.DataFrame({SERIES: group[SERIES], "_b": group["_b"], "entry": entry, "exit": exit_})
 
-    small = rows.groupBy(SERIES, "_b").applyInPandas(shrink, f"{SERIES} {kind}, _b long, _m array<double>, _l double")
-    return small.groupBy(SERIES).applyInPandas(run, f"{SERIES} {kind}, _b long, entry array<double>, exit array<double>, likelihood double")
+    small = rows.groupBy(SERIES, "_b").applyInPandas(shrink, f"{SERIES} {kind}, _b long, _m array<double>")
+    return small.groupBy(SERIES).applyInPandas(run, f"{SERIES} {kind}, _b long, entry array<double>, exit array<double>")
 
 
-def forward(steps: np.ndarray, entry: np.ndarray) -> np.ndarray:
-    """Filtered probabilities of each row of a block that is entered with `entry`."""
-    out = np.empty(steps.shape[:2])
+def forward(steps: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, float]:
+    """Filtered probabilities of each row of a block that is entered with `entry`, and the logarithm of what was divided
+    out."""
+    out, sums = np.empty(steps.shape[:2]), np.empty(len(steps))
     p = entry
     for t in range(len(steps)):
         p = p @ steps[t]
-        p = p / p.sum()
+        sums[t] = p.sum()
+        p = p / sums[t]
         out[t] = p
-    return out
+    return out, float(np.log(sums).sum())
 
 
 def backward(steps: np.ndarray, exit_: np.ndarray) -> np.ndarray:
@@ -193,7 +190,7 @@ def decode(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS, more: boo
     ahead and serve diagnosis only. Rows that are not scored are left out before the recursion."""
     schema = f"{SERIES} {df.schema[SERIES].dataType.simpleString()}, {TIME} {df.schema[TIME].dataType.simpleString()}, posterior array<double>"
     rows = placed(df, inputs)
-    bounds = boundaries(rows, model, inputs).drop("likelihood")
+    bounds = boundaries(rows, model, inputs)
     if more:
         bounds = bounds.join(boundaries(rows, model, inputs, True).select(SERIES, "_b", F.col("entry").alias("scores"), F.col("exit").alias("last")), [SERIES, "_b"])
 
@@ -203,7 +200,7 @@ def decode(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS, more: boo
         logb = m.log_density(m.scaled(group[list(inputs)].to_numpy(float)))
         first = int(group["_b"].iloc[0]) == 0
         steps = m.steps(logb, first)
-        filtered = forward(steps, np.array(group["entry"].iloc[0]))
+        filtered, _ = forward(steps, np.array(group["entry"].iloc[0]))
         out = pd.DataFrame({SERIES: group[SERIES], TIME: group[TIME], "posterior": list(filtered)})
         if more:
             smoothed = filtered * backward(steps, np.array(group["exit"].iloc[0]))
@@ -214,9 +211,10 @@ def decode(df: DataFrame, model: dict, inputs: Sequence[str] = INPUTS, more: boo
     return _with_bounds(rows, bounds).groupBy(SERIES, "_b").applyInPandas(run, schema + (", smoothed array<double>, state int" if more else ""))
 
 
-def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str]) -> dict[str, np.ndarray | float]:
+def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str], whole: bool) -> dict[str, np.ndarray | float]:
     """Sums of one step of the fit over all rows of all series: log-likelihood, states, moves, and by state the inputs and
-    their products. A few hundred numbers reach the driver."""
+    their products. A few hundred numbers reach the driver. whole: every series is one block, so that there is nothing
+    before or after one."""
     k, d = len(model["startprob"]), len(inputs)
 
     def measure(group: pd.DataFrame) -> pd.DataFrame:
@@ -227,7 +225,8 @@ def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str]) -> dict[str
         first = int(group["_b"].iloc[0]) == 0
         steps = m.steps(logb, first)
         entry = np.array(group["entry"].iloc[0])
-        filtered, later = forward(steps, entry), backward(steps, np.array(group["exit"].iloc[0]))
+        filtered, total = forward(steps, entry)
+        later = backward(steps, np.array(group["exit"].iloc[0]))
         gamma = filtered * later
         gamma = gamma / gamma.sum(axis=1, keepdims=True)
         before = np.concatenate([entry[None], filtered[:-1]])
@@ -236,9 +235,11 @@ def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str]) -> dict[str
         moves = both[1:].sum(0) if first else both.sum(0)
         products = np.einsum("tk,ti,tj->kij", gamma, z, z)
         values = [gamma[0] if first else np.zeros(k), moves.ravel(), gamma.sum(0), (gamma.T @ z).ravel(), products.ravel()]
-        return pd.DataFrame({"likelihood": [float(group["likelihood"].iloc[0])], "v": [np.concatenate(values)]})
+        return pd.DataFrame({"likelihood": [total + float(logb.max(axis=1).sum())], "v": [np.concatenate(values)]})
 
-    found = _with_bounds(rows, boundaries(rows, model, inputs)).groupBy(SERIES, "_b").applyInPandas(measure, "likelihood double, v array<double>")
+    one = F.array(*[F.lit(1.0)] * k)
+    bounded = rows.withColumns({"entry": one, "exit": one}) if whole else _with_bounds(rows, boundaries(rows, model, inputs))
+    found = bounded.groupBy(SERIES, "_b").applyInPandas(measure, "likelihood double, v array<double>")
     size = k + k * k + k + k * d + k * d * d
     sums = found.agg(F.sum("likelihood"), *[F.sum(F.col("v")[i]) for i in range(size)]).first()
     v = np.array(sums[1:], float)
@@ -250,14 +251,18 @@ def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str]) -> dict[str
 def fit_hmm(df: DataFrame, inputs: Sequence[str] = INPUTS, states: int = 4, iterations: int = 200, tol: float = 1e-3, seed: int = 42, floor: float = 1e-3) -> dict:
     """Baum-Welch from a seeded k-means start over all scored rows of all series, standardised; every series begins anew.
     Each step is one Spark job over the blocks. RuntimeError if it doesn't converge (log-likelihood within tol)."""
-    rows = placed(df, inputs).cache()
+    rows = placed(df, inputs).repartition(SERIES, "_b").cache()
     d = len(inputs)
-    stats = rows.agg(*[F.avg(c) for c in inputs], *[F.stddev_pop(c) for c in inputs]).first()
+    *stats, last = rows.agg(*[F.avg(c) for c in inputs], *[F.stddev_pop(c) for c in inputs], F.max("_b")).first()
     if stats[0] is None:
         raise ValueError("no row can be scored")
     mean, std = np.array(stats[:d]), np.array([x if x else 1.0 for x in stats[d:]])
     z = [(F.col(c) - float(mean[i])) / float(std[i]) for i, c in enumerate(inputs)]
-    centres = KMeans(k=states, seed=seed, featuresCol="z").fit(rows.select(array_to_vector(F.array(*z)).alias("z"))).clusterCenters()
+    # in order, so that a refit begins alike; the best of a few starts
+    points = rows.sortWithinPartitions(SERIES, TIME).select(array_to_vector(F.array(*z)).alias("z")).cache()
+    tries = [KMeans(k=states, seed=seed + k, maxIter=50, featuresCol="z").fit(points) for k in range(STARTS if states > 1 else 1)]
+    centres = min(tries, key=lambda t: t.summary.trainingCost).clusterCenters()
+    points.unpersist()
     spread = rows.agg(*[F.covar_pop(z[i], z[j]) for i in range(d) for j in range(d)]).first()
     model = {
         "startprob": [1 / states] * states,
@@ -270,7 +275,7 @@ def fit_hmm(df: DataFrame, inputs: Sequence[str] = INPUTS, states: int = 4, iter
     before = -np.inf
     try:
         for _ in range(iterations):
-            s = _statistics(rows, model, inputs)
+            s = _statistics(rows, model, inputs, last == 0)
             if abs(s["likelihood"] - before) < tol * max(1.0, abs(s["likelihood"])) * 1e-3 or abs(s["likelihood"] - before) < tol:
                 return model | {"log_likelihood": s["likelihood"]}
             before = s["likelihood"]

@@ -174,6 +174,22 @@ def flag_shares(spark, d):
     return rounded(X.flag_shares(X.rsi(_bars(spark, d))))
 
 
+def rsi_summary(spark, d):
+    train, test = _split(_bars(spark, d))
+    both = X.attach_features(train, blocks=("rsi",)).withColumn("split", F.lit("train")).unionByName(X.attach_features(test, train, blocks=("rsi",)).withColumn("split", F.lit("test")))
+    return rounded(X.rsi_summary(both), 4)
+
+
+def rsi_export(spark, d):
+    """What the RSI workbook holds, of the regular sessions."""
+    return rounded(X.exported(X.rsi(B.session_columns(B.regular_session(_bars(spark, d)))), X.RSI_EXPORT))
+
+
+def regime_export(spark, d):
+    """What the regime workbook holds."""
+    return rounded(X.exported(_decoded(spark, d).withColumn("session_date", F.date_format(TIME, "yyyy-MM-dd")), X.REGIME_EXPORT))
+
+
 def warm_start(spark, d):
     """A warm start of one block with the seed of the whole matrix."""
     train, test = _split(_bars(spark, d))
@@ -459,7 +475,7 @@ def log_close(spark, d):
 
 _NAMES = """bars15 bars_by_type daily_order_bars supplier_moving_average session_filter session_columns dedupe_first quality_audit session_audit
 short_sessions session_invariants outside_sessions null_census log_close returns_log rolling_return true_range directional_movement rma14 ema12
-crossover band_breaks_per_day bars_features warmup_counts column_catalogue summary_stats flag_shares warm_start warm_start_all leakage_check target
+crossover band_breaks_per_day bars_features warmup_counts column_catalogue summary_stats flag_shares rsi_summary rsi_export regime_export warm_start warm_start_all leakage_check target
 window_contiguity windows32 latest_windows chronological_split scaler_stats scaled_returns baselines threshold_grid classification_metrics
 metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy persistence_agreement metrics_by_model
 breakdown_by_model strategy_by_model costs_by_model edge_by_model verdict predictions_table hmm_filter_fixed hmm_smoother_fixed hmm_viterbi_fixed

@@ -327,6 +327,14 @@ SELECT from_regime, to_regime, n, {r("p")}, {r("CASE WHEN from_regime = to_regim
     "known_period_check": f"""WITH RECURSIVE {REGIMES}, e(period, want) AS (VALUES ('2024-01-05', 'bull'), ('2024-01-10', 'sideways'), ('2024-01-15', 'high_vol'), ('2024-01-20', 'bear')),
 c AS (SELECT {DAY} AS period, regime, COUNT(*) AS n FROM lab WHERE regime IS NOT NULL GROUP BY ALL), t AS (SELECT period, arg_max(regime, (n, regime)) AS regime, MAX(n) AS n, SUM(n) AS total FROM c JOIN e USING (period) GROUP BY period)
 SELECT period, regime, {r("n * 100.0 / total", "share_pct")}, regime = want AS ok FROM t JOIN e USING (period)""",
+    "rsi_summary": f"""WITH a AS (SELECT 'train' AS split, * FROM ({RSI}) WHERE ts < TIMESTAMP '{SPLIT_AT}' UNION ALL SELECT 'test', * EXCLUDE (rsi_is_warmup), ({missing(VALUES["rsi"])}) FROM ({warm(RSI, 1250)}) WHERE ts >= TIMESTAMP '{SPLIT_AT}'),
+l AS ({" UNION ALL ".join(f"SELECT split, '{c}' AS feature, {c} AS x FROM a" for c in ("rsi_7", "rsi_14", "rsi_21", "rsi_14_chg", "rsi_spread_7_21"))}),
+f AS ({" UNION ALL ".join(f"SELECT split, '{n}' AS feature, {c}::INT * 100.0::DOUBLE AS x FROM a" for c, n in (("rsi_14_overbought", "overbought_pct"), ("rsi_14_oversold", "oversold_pct"), ("rsi_is_warmup", "warmup_pct")))})
+SELECT feature, split, COUNT(x) AS n, {r("AVG(x)", "mean", 4)}, {r("STDDEV_SAMP(x)", "std", 4)}, {r("MIN(x)", "min", 4)}, {r("MEDIAN(x)", "median", 4)}, {r("MAX(x)", "max", 4)} FROM l GROUP BY ALL
+UNION ALL SELECT feature, split, NULL, {r("AVG(x)", "mean", 4)}, NULL, NULL, NULL, NULL FROM f GROUP BY ALL""",
+    "rsi_export": f"""WITH s AS (WITH {SESSION_COLUMNS} SELECT sec.*, open, high, low, close FROM sec JOIN bars USING (series_id, ts))
+SELECT s.series_id, s.ts, session_date, bar_of_day, {rs("open", "high", "low", "close")}, x.* EXCLUDE (series_id, ts) FROM s JOIN ({RSI.replace(BARS, BARS.replace("bars AS", "bars1 AS", 1) + ", bars AS (SELECT * FROM bars1 WHERE strftime(ts, '%H:%M') BETWEEN '09:15' AND '15:15')")}) x USING (series_id, ts)""",
+    "regime_export": f"WITH RECURSIVE {REGIMES} SELECT series_id, ts, {DAY} AS session_date, {r('close')}, {REGIMES_OUT}, (regime <> LAG(regime) OVER {W}) AND regime IS NOT NULL AS regime_changed FROM lab",
     "latest_windows": f"WITH {USABLE} SELECT series_id, ts, (rn - 1)::BIGINT AS row_index, {r('y')} FROM wi WHERE window_ok ORDER BY ts DESC, series_id LIMIT 1000",
     "scaled_returns": f"""WITH {USABLE}, g AS (SELECT series_id, rn FROM wi WHERE window_ok), e AS (SELECT u.ret_1, u.ret_20 FROM g JOIN wi u ON u.series_id = g.series_id AND u.rn BETWEEN g.rn - 31 AND g.rn),
 z AS (SELECT AVG(ret_1) AS m1, STDDEV_POP(ret_1) AS s1, AVG(ret_20) AS m2, STDDEV_POP(ret_20) AS s2 FROM e)
