@@ -18,6 +18,15 @@ from quillon.llm.source_mix import mix_sources
 from quillon.llm.suffix_dedup import suffix_dedup
 
 KEY = "_pipeline_key"
+#: Most rows of a batch between Spark and its Python workers, which hold it several times; texts are long.
+BATCH_ROWS = 2000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Lowers the session's batch size to BATCH_ROWS where it is larger or has no bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -28,12 +37,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language is not clear."""
+    _bounded(spark)
     books = fit_dictionaries(training_rows(docs))
     return identify(docs, books).where("not rejected").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest key of each group of near-duplicates, and all documents outside groups."""
+    _bounded(spark)
     keyed = _keyed(docs)
     groups = jaccard_components(keyed.select(KEY, "text"), KEY)
     kept = groups.where(F.col(KEY) == F.col("component_id")).select(KEY).distinct()
@@ -42,6 +53,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated 100-byte strings out of texts; characters that a cut leaves in part go with it; n_chars follows."""
+    _bounded(spark)
     cuts = suffix_dedup(docs.select("doc_id", "text")).where("n_removed > 0").dropDuplicates(["doc_id", "text_sha256"])
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.coalesce("kept", F.lit("")).alias("_kept"), F.lit(True).alias("_cut"))
     text = F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col("text"))
@@ -52,6 +64,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that repeat or paraphrase a benchmark item."""
+    _bounded(spark)
     keyed = _keyed(docs)
     found = contaminated(keyed.select(KEY, "text"), table(spark, sf_dir, "benchmark"), KEY)
     return keyed.join(found.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
