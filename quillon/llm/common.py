@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system. Workers live on between stages, and what one stage needed
+    at its height would otherwise stay with them while others run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches, or over a group, that gives memory back after each of them."""
+
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def over_batches(batches):
+            for out in run(batches):
+                yield out
+                give_back()
+
+        return over_batches
+
+    @functools.wraps(run)
+    def over_group(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return over_group
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

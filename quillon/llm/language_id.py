@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fold, table
+from quillon.llm.common import fold, give_back, table
 
 #: Bounds of the fitted model: texts for each language, characters of each, bytes of a dictionary, languages.
 SAMPLE_TEXTS = 96
@@ -94,6 +94,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                 langs.append(names[best])
             margin, lang = np.array(margins, float), np.array(langs, object)
             yield pd.DataFrame({"lang_pred": lang, "score": scores, "margin": margin, "rejected": (lang == "und") | (margin < min_margin)})
+            give_back()
 
     rows = docs.drop("lang_pred", "score", "margin", "rejected")
     found = rows.withColumn("_found", decide(F.col(text_col).cast("string")))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored, table
+from quillon.llm.common import lean, stored, table
 from quillon.llm.toxicity_ftrl import CLEAN
 
 #: A passage is PARTS neighbouring stretches of STEP words.
@@ -147,7 +147,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[byte
             yield pd.DataFrame({"_id": [None], "_words": [None], "_df": [df.tobytes()], "_n": [total]})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, _words binary, _df binary, _n long")
+    return rows.mapInPandas(lean(run), f"_id {kind}, _words binary, _df binary, _n long")
 
 
 def summed(rows: DataFrame, column: str, dtype: type, fan: int = FAN) -> tuple[np.ndarray | None, int]:
@@ -206,7 +206,7 @@ def singular_vectors(words: DataFrame, weight: np.ndarray, column: np.ndarray, s
                     total[term[begin]] += np.add.reduceat(back[block], begin) * weight[term[begin], None]
         yield pd.DataFrame({"_z": [total.tobytes()], "_n": [0]})
 
-    flat, _ = summed(words.select("_words").mapInPandas(run, "_z binary, _n long"), "_z", np.float64)
+    flat, _ = summed(words.select("_words").mapInPandas(lean(run), "_z binary, _n long"), "_z", np.float64)
     z = np.zeros(omega.shape) if flat is None else flat.reshape(omega.shape)
     shift = max(1e-9, 1e-7 * float(np.linalg.norm(z)))
     z = z + shift * omega
@@ -318,7 +318,7 @@ def search(words: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
                 columns=["_id", "item_id", "cosine", "lcs_share", "answer_share", "at_word"],
             )
 
-    return words.select("_id", "_words").mapInPandas(run, f"_id {id_kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long")
+    return words.select("_id", "_words").mapInPandas(lean(run), f"_id {id_kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, at_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", lcs: float = LCS, answer: float = ANSWER, cosine: float = COSINE) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored, table
+from quillon.llm.common import lean, stored, table
 from quillon.llm.components import components
 from quillon.llm.shingles import bucket_of, dealt, shingle_set
 
@@ -101,7 +101,7 @@ def text_sets(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
                 yield out.assign(id=None, node=0, n=0)
 
     schema = packed_schema(docs, id_col)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(pack, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(lean(pack), schema)
 
 
 def packed_schema(docs: DataFrame, id_col: str) -> str:
@@ -262,9 +262,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = int(max(16, -(-total // BUCKET_BYTES)))
     packed = text_sets(docs, id_col, text_col, buckets).groupBy("kind", "key")
-    packed = stored(packed.applyInPandas(_shared_of_bucket(buckets), packed_schema(docs, id_col)), "join-shared")
+    packed = stored(packed.applyInPandas(lean(_shared_of_bucket(buckets)), packed_schema(docs, id_col)), "join-shared")
     shared = packed.where("kind <> 2").select("kind", "key", "a", "b", "c")
-    sets = stored(shared.groupBy("key").applyInPandas(_sets_of_nodes(percent), "node long, n long, lone long, shingles array<long>, freqs array<long>"), "join-sets")
+    sets = stored(shared.groupBy("key").applyInPandas(lean(_sets_of_nodes(percent)), "node long, n long, lone long, shingles array<long>, freqs array<long>"), "join-sets")
     found = linked_nodes(sets, percent)
     rows = packed.where("kind = 2").select(F.col("id").alias("_id"), "node", "n")
     # a text without shingles is a class of its own

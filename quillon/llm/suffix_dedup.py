@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored, table
+from quillon.llm.common import lean, stored, table
 from quillon.llm.shingles import bucket_of, dealt
 
 PIECE = 32  # bytes of a minimizer
@@ -180,7 +180,7 @@ def pack_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 rows.append((0, k, _b(key[part], np.uint64), _b(digest[part], np.uint64), _b(place, np.uint32 if len(mine) > 65535 else np.uint16), who.tobytes(), _b(at[part], np.uint32), _b(windows[part], np.uint8)))
             yield pd.DataFrame(rows, columns=["kind", "key", "a", "b", "c", "d", "e", "f"]).assign(id=0, node=0, n=0, sha=None).reindex(columns=COLUMNS)
 
-    return docs.mapInPandas(pack, SCHEMA)
+    return docs.mapInPandas(lean(pack), SCHEMA)
 
 
 COLUMNS = ["kind", "key", "a", "b", "c", "d", "e", "f", "id", "node", "n", "sha"]
@@ -487,7 +487,7 @@ def pack_rivals(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                     rows_.append((1, k, _b(more[p], np.uint64), None, _b(nd[p], np.int64), _b(dc[p], np.int64), _b(off[p], np.uint32), _b(ky[p], np.uint64)))
             yield pd.DataFrame(rows_, columns=["kind", "key", "a", "b", "c", "d", "e", "f"])
 
-    return rows.mapInPandas(pack, "kind int, key int, a binary, b binary, c binary, d binary, e binary, f binary")
+    return rows.mapInPandas(lean(pack), "kind int, key int, a binary, b binary, c binary, d binary, e binary, f binary")
 
 
 def cut_texts(rows: DataFrame, length: int) -> DataFrame:
@@ -514,7 +514,7 @@ def cut_texts(rows: DataFrame, length: int) -> DataFrame:
                 out.append((r.id, r.node, len(raw) - len(kept), len(spans), kept.decode(errors="ignore"), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["id", "node", "n_removed", "n_spans", "kept", "sha"])
 
-    return rows.mapInPandas(cut, "id long, node long, n_removed long, n_spans long, kept string, sha string")
+    return rows.mapInPandas(lean(cut), "id long, node long, n_removed long, n_spans long, kept string, sha string")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -531,16 +531,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(16, -(-total // BUCKET_BYTES)))
-    packed = pack_segments(rows, length, buckets).groupBy("kind", "key").applyInPandas(_compare_segments(buckets), SCHEMA)
+    packed = pack_segments(rows, length, buckets).groupBy("kind", "key").applyInPandas(lean(_compare_segments(buckets)), SCHEMA)
     packed = stored(packed, "suffix-compared")
     marks = packed.where("kind <> 2").select("key", "a", "b", "c", "d", "e", "f")
-    marks = stored(marks.groupBy("key").applyInPandas(_of_node, NODE_MARKS), "suffix-marks")
+    marks = stored(marks.groupBy("key").applyInPandas(lean(_of_node), NODE_MARKS), "suffix-marks")
 
     texts = rows.select(F.coalesce("_id", F.lit(LAST)).alias("id"), F.col("_text").alias("body")).where("body is not null")
     rivals = marks.where(F.length("open_at") > 0).select("node", "id", "open_at", "open_n", "open_key", "open_hot")
     dealt = pack_rivals(texts.join(rivals, "id"), length, buckets)
-    more = dealt.groupBy("kind", "key").applyInPandas(_sort_bucket(length, buckets), MARKS)
-    more = more.groupBy("key").applyInPandas(_of_node, NODE_MARKS)
+    more = dealt.groupBy("kind", "key").applyInPandas(lean(_sort_bucket(length, buckets)), MARKS)
+    more = more.groupBy("key").applyInPandas(lean(_of_node), NODE_MARKS)
     gone = marks.unionByName(more).where(F.length("gone_at") > 0)
     gone = gone.groupBy("node", "id").agg(F.collect_list("gone_at").alias("at"), F.collect_list("gone_n").alias("n"))
     gone = stored(gone, "suffix-gone")
