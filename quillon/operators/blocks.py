@@ -81,6 +81,8 @@ def in_blocks(df: DataFrame, build: Callable[[DataFrame], DataFrame], halo: int
         lost = ~F.col("_own") & F.col(f"_gap_{c}")
         head[c] = F.when(lost & (into == 1), F.lit(None)).when(lost & (into == 0), F.coalesce(F.col(c), F.lit(1).cast(df.schema[c].dataType))).otherwise(F.col(c))
     placed = placed.withColumns({**head, SERIES: F.struct(SERIES, "_block")}).drop("_block", *[f"_gap_{c}" for c in gaps])
+    # blocks are few bytes and much work: by number, so that partitions are not put together by their size
+    placed = placed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), SERIES)
     with _chunks_first():
         built = build(placed)
     made = [c for c in built.columns if c not in {*df.columns, "_r", "_c", "_own"}]
