@@ -234,18 +234,17 @@ def _statistics(rows: DataFrame, model: dict, inputs: Sequence[str], whole: bool
         both = both / both.sum(axis=(1, 2), keepdims=True)
         moves = both[1:].sum(0) if first else both.sum(0)
         products = np.einsum("tk,ti,tj->kij", gamma, z, z)
-        values = [gamma[0] if first else np.zeros(k), moves.ravel(), gamma.sum(0), (gamma.T @ z).ravel(), products.ravel()]
-        return pd.DataFrame({"likelihood": [total + float(logb.max(axis=1).sum())], "v": [np.concatenate(values)]})
+        values = [[total + float(logb.max(axis=1).sum())], gamma[0] if first else np.zeros(k), moves.ravel(), gamma.sum(0), (gamma.T @ z).ravel(), products.ravel()]
+        return pd.DataFrame({"v": [np.concatenate(values)]})
 
     one = F.array(*[F.lit(1.0)] * k)
     bounded = rows.withColumns({"entry": one, "exit": one}) if whole else _with_bounds(rows, boundaries(rows, model, inputs))
-    found = bounded.groupBy(SERIES, "_b").applyInPandas(measure, "likelihood double, v array<double>")
-    size = k + k * k + k + k * d + k * d * d
-    sums = found.agg(F.sum("likelihood"), *[F.sum(F.col("v")[i]) for i in range(size)]).first()
-    v = np.array(sums[1:], float)
-    cut = np.cumsum([k, k * k, k, k * d])
-    start, moves, weight, means, products = np.split(v, cut)
-    return {"likelihood": sums[0], "start": start, "moves": moves.reshape(k, k), "weight": weight, "sums": means.reshape(k, d), "products": products.reshape(k, d, d)}
+    found = bounded.groupBy(SERIES, "_b").applyInPandas(measure, "v array<double>")
+    sums = found.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    v = np.array([r["x"] for r in sorted(sums)], float)
+    cut = np.cumsum([1, k, k * k, k, k * d])
+    likelihood, start, moves, weight, means, products = np.split(v, cut)
+    return {"likelihood": float(likelihood[0]), "start": start, "moves": moves.reshape(k, k), "weight": weight, "sums": means.reshape(k, d), "products": products.reshape(k, d, d)}
 
 
 def fit_hmm(df: DataFrame, inputs: Sequence[str] = INPUTS, states: int = 4, iterations: int = 200, tol: float = 1e-3, seed: int = 42, floor: float = 1e-3) -> dict:
