@@ -3,6 +3,7 @@
 from quillon.llm.gif_media import op10_gif_media
 from quillon.llm.html_crf import op3_html_crf
 from quillon.llm.language_id import op4_language_id
+from quillon.llm.line_runs import OP13_SQL, op13_line_runs
 from quillon.llm.lsa_decontam import op1_lsa_decontam
 from quillon.llm.ngram_join import OP7_SQL, op7_ngram_join
 from quillon.llm.quality_gam import op5_quality_gam
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_gif_media": op10_gif_media,
+    "op13_line_runs": op13_line_runs,
 }
 
-ORACLES = {"op2_source_mix": OP2_SQL, "op6_sentence_spans": OP6_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+ORACLES = {"op2_source_mix": OP2_SQL, "op6_sentence_spans": OP6_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op13_line_runs": OP13_SQL}
