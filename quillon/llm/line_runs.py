@@ -66,7 +66,7 @@ class LineRuns:
         rows = log.where(F.col("version") == last).orderBy("place").collect()  # a row for each run, few by construction
         store = cls(spark, folder, rows[0]["fan"], rows[0]["buckets"])
         store.version = last
-        store.runs = [(r["level"], r["name"]) for r in rows if r["name"] is not None]
+        store.runs = [(r["level"], r["name"]) for r in rows]
         for _, name in store.runs:
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BINARY, id {r_type(spark, folder, name)}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {store.buckets} BUCKETS LOCATION '{folder}/{name}'")
         return store
@@ -79,9 +79,9 @@ class LineRuns:
 
     def _commit(self) -> None:
         self.version += 1
-        rows = [(k, level, name, self.fan, self.buckets) for k, (level, name) in enumerate(self.runs)] or [(0, 0, None, self.fan, self.buckets)]
-        log = self.spark.createDataFrame(rows, "place int, level int, name string, fan int, buckets int").coalesce(1)
-        log.write.parquet(f"{self.folder}/log/version={self.version}")
+        rows = ", ".join(f"({k}, {level}, '{name}')" for k, (level, name) in enumerate(self.runs))
+        log = self.spark.sql(f"SELECT place, level, name, {self.fan} AS fan, {self.buckets} AS buckets FROM VALUES {rows} AS run(place, level, name)")
+        log.coalesce(1).write.parquet(f"{self.folder}/log/version={self.version}")
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Adds a batch of lines(h, id) and returns its new run: the hashes that no earlier batch has, each with the
