@@ -118,7 +118,9 @@ def r_type(spark: SparkSession, folder: str, name: str) -> str:
 
 def long_lines(docs: DataFrame, id_col: str, text_col: str, least: int, kept: Sequence[Column] = ()) -> DataFrame:
     """(row, id, pos, h, *kept) of every line whose key has at least `least` code points."""
-    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"), *kept)
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"), *kept)
+    # what a row needs once is taken before its lines go apart
+    rows = rows.select(*[c for c in rows.columns if c != "lines"], F.posexplode("lines").alias("pos", "line"))
     keyed = rows.withColumn("_key", line_key(F.col("line"))).where(F.char_length("_key") >= least)
     return keyed.withColumn("h", F.unhex(F.md5(F.col("_key").cast("binary")))).drop("line", "_key")
 
