@@ -5,11 +5,13 @@ from quillon.llm.html_crf import op3_html_crf
 from quillon.llm.language_id import op4_language_id
 from quillon.llm.line_runs import OP13_SQL, op13_line_runs
 from quillon.llm.lsa_decontam import op1_lsa_decontam
+from quillon.llm.merkle_manifest import OP11_SQL, op11_merkle_manifest
 from quillon.llm.ngram_join import OP7_SQL, op7_ngram_join
 from quillon.llm.quality_gam import op5_quality_gam
 from quillon.llm.sentence_spans import OP6_SQL, op6_sentence_spans
 from quillon.llm.source_mix import OP2_SQL, op2_source_mix
 from quillon.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
+from quillon.llm.token_alignment import op12_token_alignment
 from quillon.llm.toxicity_ftrl import op9_toxicity_ftrl
 
 QUERIES = {
@@ -23,7 +25,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_gif_media": op10_gif_media,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
     "op13_line_runs": op13_line_runs,
 }
 
-ORACLES = {"op2_source_mix": OP2_SQL, "op6_sentence_spans": OP6_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op13_line_runs": OP13_SQL}
+ORACLES = {"op2_source_mix": OP2_SQL, "op6_sentence_spans": OP6_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_line_runs": OP13_SQL}
