@@ -175,6 +175,8 @@ def build_manifest(
     leaves = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), leaf_digest([F.col(c) for c in fields]).alias("digest"), (F.lit(None) if changed is None else changed).cast("string").alias("changed")
     )
+    # stored first: a dealing by ranges reads its rows twice, and these are without texts
+    leaves = stored(leaves, "merkle-digests")
     order = ["id", "digest", "changed"]
     dealt, counts = placed(leaves, ["source"], order, "merkle-leaves")
     sources, parts = placed(counts.select("source", "n").distinct(), [], ["source"], "merkle-sources")

@@ -15,12 +15,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import json
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,10 @@ BYTE_BPE, PIECE_BPE = f"{VOCABULARIES}/byte_bpe_50k.json", f"{VOCABULARIES}/piec
 RUN_BYTES, ENCODE_BYTES = 4 << 20, 1 << 19
 PARTS = 16
 FAN = 64
+#: Characters up to which the quick encoder, which goes back over long white space, is used.
+LONG = 1 << 19
+#: Fixed value: how byte-level vocabularies split a text before they merge.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a head that a merge unpacks at a time, for each run.
 CHUNK = 1 << 13
 
@@ -65,6 +71,25 @@ class Side:
         return b"".join(map(self.entries.__getitem__, ids))
 
 
+def plain_ranks(path: str) -> dict[bytes, int] | None:
+    """The byte strings of a byte-level vocabulary by id, where merging pairs by the id that they become is all that its
+    file asks for: then ranks alone encode. None otherwise."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model, splits = said["model"], said["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and said["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
+    if not plain or model.get("dropout") or any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    vocabulary, letters = model["vocab"], byte_letters()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    became = [vocabulary["".join(m)] for m in pairs]
+    if became != sorted(set(became)):
+        return None
+    special = {t["content"] for t in said["added_tokens"]}
+    ranks = {bytes(letters[c] for c in t): k for t, k in vocabulary.items() if t not in special}
+    return ranks if len(ranks) == 256 + len(pairs) else None
+
+
 class ByteSide(Side):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,10 +100,15 @@ class ByteSide(Side):
         entries = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             entries[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        ranks = plain_ranks(path)
+        self.quick = None if ranks is None else tiktoken.Encoding("ranks", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={})
         super().__init__(entries, (",", "|"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        given = [" " + t for t in texts]
+        if self.quick is not None and max(map(len, given), default=0) <= LONG:
+            return [self.quick.encode_ordinary(t) for t in given]
+        return [e.ids for e in self.model.encode_batch_fast(given, add_special_tokens=False)]
 
 
 class PieceSide(Side):
@@ -170,8 +200,9 @@ def align(texts: list[str], a: Side, b: Side, parts: int) -> tuple[dict[str, lis
     # all texts lie one after the other, so each of them ends where a token of both does
     text_ends = np.cumsum(size)
     ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cuts = np.union1d(ends_a, ends_b)  # between two cuts lies one token of each, and every link has one such place
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted halves are merged
+    again = np.append(ends[1:] == ends[:-1], False)
+    shared, cuts = ends[again], ends[~again]  # between two cuts lies one token of each, and every link has one such place
     link_a, link_b = ids_a[np.searchsorted(ends_a, cuts)], ids_b[np.searchsorted(ends_b, cuts)]
     link_text = np.searchsorted(text_ends, cuts)
     n_groups = np.bincount(np.searchsorted(text_ends, shared), minlength=len(places))
