@@ -337,7 +337,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     batches = max(1, -(-n_runs // fan))
     whole = count_pairs(runs.select("part", "run", "head"), n_runs, fan)
     # each batch of runs of a part gets the part's counts
-    beside = whole.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).cast("long"))
+    beside = whole.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
     dealt = runs.select("part", "run", "head", "body").withColumn("batch", F.pmod(F.xxhash64("run"), F.lit(batches)))
     others = len(sides(byte_bpe, piece_bpe)[1].entries)
     both = dealt.groupBy("part", "batch").cogroup(beside.groupBy("part", "batch"))
