@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES, TIME = "series_id", "ts"
-#: Columns that windows by time order by before the time, as long as blocks are built; they never change the order.
-ORDER: list[str] = []
+#: Columns that windows by time order by before the time, as long as blocks are built in this thread; they never change
+#: the order.
+ORDER: ContextVar[tuple[str, ...]] = ContextVar("order", default=())
 
 
 def by_time(*more: str) -> WindowSpec:
-    return Window.partitionBy(SERIES, *more).orderBy(*[c for c in ORDER if c not in more], TIME)
+    return Window.partitionBy(SERIES, *more).orderBy(*[c for c in ORDER.get() if c not in more], TIME)
 
 
 def nz(x: Column) -> Column:
@@ -45,18 +47,6 @@ def full_frame(x: Column, rows: int, fn) -> Column:
     return F.when(F.count(x).over(frame) == rows, fn(x).over(frame))
 
 
-def trailing_rank(x: Column, rows: int = 1000, least: int = 250) -> Column:
-    """Average rank of x among the non-null values of the last rows rows, as a share; NULL with under least values."""
-    seen = F.collect_list(x).over(by_time().rowsBetween(-(rows - 1), 0))
-
-    def share(values: Column) -> Column:
-        under = F.aggregate(values, F.lit(0.0), lambda n, v: n + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
-        return F.when(x.isNotNull() & (F.size(values) >= least), (under + 0.5) / F.size(values))
-
-    # the list is named by a lambda, as the planner would collect it anew for each place that it stands in
-    return F.element_at(F.transform(F.array(seen), share), 1)
-
-
 def crossing(fast: Column, slow: Column) -> Column:
     """1 where fast rises over slow, -1 where it falls below, else 0."""
     above = F.when(fast.isNotNull() & slow.isNotNull(), (fast > slow).cast("int"))
@@ -70,10 +60,6 @@ def any_null(columns: Sequence[str]) -> Column:
     return out
 
 
-def head_rows(n: int) -> Column:
-    return F.row_number().over(by_time()) <= n
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles cut to digits, with no negative zero, so that engines can be compared."""
     return df.select(*[(F.round(f"`{c}`", digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])

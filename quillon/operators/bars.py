@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME, by_time, pct_change
+from quillon.operators.blocks import in_blocks
 
 PRICES = ["open", "high", "low", "close"]
 SESSION_START, SESSION_END, SESSION_BARS = "09:15", "15:15", 25
 
 
-def bars(ticks: DataFrame, value: str = "value", time: str = "ts", series: str | None = None, width: str = "15 minutes") -> DataFrame:
-    """Open, high, low, close and number of ticks of every interval that has ticks."""
+def bars(ticks: DataFrame, value: str = "value", time: str = "ts", series: str | None = None, width: str = "15 minutes", sequence: str | None = None) -> DataFrame:
+    """Open, high, low, close and number of ticks of every interval that has ticks.
+
+    Ticks of one time are in the order of sequence, where there is one, and then of their values, so that the order of
+    rows never shows.
+    """
     name = F.lit("ALL") if series is None else F.col(series)
-    spans = ticks.select(name.alias(SERIES), F.col(time).alias("_t"), F.col(value).alias("_v"), F.window(time, width).start.alias(TIME))
+    at = F.struct(F.col(time), *([] if sequence is None else [F.col(sequence)]), F.col(value))
+    spans = ticks.select(name.alias(SERIES), at.alias("_t"), F.col(value).alias("_v"), F.window(time, width).start.alias(TIME))
     return spans.groupBy(SERIES, TIME).agg(
         F.min_by("_v", "_t").alias("open"),
         F.max("_v").alias("high"),
@@ -38,14 +44,14 @@ def session_columns(df: DataFrame) -> DataFrame:
     day = F.date_format(TIME, "yyyy-MM-dd")
     df = df.withColumn("session_date", day)
     place = F.row_number().over(by_time("session_date")) - 1
-    after = F.lead("session_date").over(by_time())
+    df = in_blocks(df, lambda d: d.withColumn("_after", F.lead("session_date").over(by_time())), 0, ahead=1)
     return df.withColumns(
         {
             "bar_of_day": place.cast("smallint"),
             "is_session_open": place == 0,
-            "is_session_close": F.coalesce(after != F.col("session_date"), F.lit(True)),
+            "is_session_close": F.coalesce(F.col("_after") != F.col("session_date"), F.lit(True)),
         }
-    )
+    ).drop("_after")
 
 
 def integrity(df: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import by_time, nz
+from quillon.operators.blocks import in_blocks, keyed
 
 #: Fixed values of the reports.
 COSTS_BPS = [0.0, 1.0, 2.0, 3.0, 5.0, 7.5, 10.0]
@@ -33,15 +35,31 @@ def pick_thresholds(df: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFr
     return threshold_grid(df, keys=keys).groupBy(*keys).agg(best.alias("threshold"))
 
 
-def auc(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Area under the ROC curve by average ranks, for each key; NULL with one class only.
+def ranked(df: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """(keys, p, n, n1, rank): for each distinct p its rows, those with y 1, and their average rank among all rows.
 
-    Rows are counted by distinct p first, so ranks are running sums over distinct values, not over rows.
+    Distinct values are dealt into ranges at approximate quantiles, and ranks are places inside a range after the totals
+    of the ranges before it, so no task holds more than a range. Where the cuts lie doesn't change the ranks. The cuts
+    are found by a job before this returns. Rows without p rank below all others, NaN above.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("p", F.col("p").cast("double"))
+    found = df.approxQuantile("p", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     by_p = df.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("n1"))
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = by_p.withColumn("rank", F.coalesce(upto, F.lit(0)) + (F.col("n") + 1) / 2.0)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("n1")).alias("r"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    edges = [-float("inf"), *sorted({x for x in found if x == x and abs(x) != float("inf")}), float("inf")]
+    by_p = Bucketizer(splits=edges, inputCol="p", outputCol="_range", handleInvalid="keep").transform(by_p)
+    by_p = by_p.withColumn("_range", F.when(F.col("p").isNull(), -1.0).otherwise(F.col("_range")))
+    totals = by_p.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, F.col("_range"), F.coalesce(below, F.lit(0)).alias("_below"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    placed = by_p.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(totals, [*keys, "_range"])
+    return placed.select(*keys, "p", "n", "n1", (F.col("_below") + F.col("_inside") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
+def auc(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the ROC curve by average ranks, for each key; NULL with one class only."""
+    sums = ranked(df, keys).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("n1")).alias("r"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n0 = F.col("n") - F.col("n1")
     value = F.when((F.col("n1") > 0) & (n0 > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1").cast("double") * n0))
     return sums.select(*keys, value.alias("auc"))
@@ -123,8 +141,11 @@ def positions(df: DataFrame, threshold: float | str, keys: tuple[str, ...] = ())
     """Position 1 or -1 and turnover: 0.5 for the first entry, 1 for a reversal."""
     df, at = _at(df, threshold)
     df = df.withColumn("position", F.when(F.col("p") >= at, 1.0).otherwise(-1.0))
-    before = F.lag("position", 1, 0.0).over(by_time(*keys))
-    return df.withColumn("turnover", F.abs(F.col("position") - before) / 2)
+
+    def build(d: DataFrame) -> DataFrame:
+        return d.withColumn("turnover", F.abs(F.col("position") - F.lag("position", 1, 0.0).over(by_time())) / 2)
+
+    return keyed(df, keys, lambda d: in_blocks(d, build, 1))
 
 
 def cost_sensitivity(df: DataFrame, threshold: float | str, costs: list[float] = COSTS_BPS, keys: tuple[str, ...] = ()) -> DataFrame:

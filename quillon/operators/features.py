@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import SERIES, TIME, any_null, by_time, crossing, diff, full_frame, head_rows, no, nz, pct_change, trailing_rank
+from quillon.functions import SERIES, TIME, any_null, by_time, crossing, diff, full_frame, no, nz, pct_change
 from quillon.operators.bars import PRICES, require_after
-from quillon.operators.blocks import HALO, in_blocks
+from quillon.operators.blocks import HALO, in_blocks, plain
+from quillon.operators.ranks import Rank, rank_blocks
 from quillon.operators.scans import Scan, exponential, scan_blocks, wilder
 
 WARMUP = 5  # lengths of the slowest average after which a cold start no longer shows
@@ -32,9 +33,15 @@ def directional_movement(df: DataFrame) -> DataFrame:
     )
 
 
+def head_rows(n: int) -> Column:
+    """The first n rows of a series, inside blocks."""
+    return F.col("_r") < n
+
+
 class Block(NamedTuple):
     """A family of columns in the steps that all blocks of a call take together: columns before the first recurrences,
-    those, columns between, recurrences over these, and the block's own columns."""
+    those, columns between, recurrences over these, the block's own columns, trailing ranks, and columns made of these
+    without windows. reach is the number of rows that windows other than recurrences look back on."""
 
     name: str
     columns: list[str]
@@ -43,6 +50,9 @@ class Block(NamedTuple):
     first: Sequence[Scan] = ()
     between: Callable[[DataFrame], DataFrame] = lambda df: df
     second: Sequence[Scan] = ()
+    ranks: Sequence[Rank] = ()
+    finish: Callable[[DataFrame], DataFrame] = lambda df: df
+    reach: int = 20
 
 
 def build(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
@@ -57,12 +67,15 @@ def build(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
         d = scan_blocks(d, [s for b in blocks for s in b.second])
         for b in blocks:
             d = b.after(d)
+        d = rank_blocks(d, [r for b in blocks for r in b.ranks])
+        for b in blocks:
+            d = b.finish(d)
         made = [c for b in blocks for c in b.columns]
         return d.select(*[c for c in d.columns if c in (*df.columns, "_r", "_c", "_own") and c not in made], *made)
 
     given = [c for c in df.columns if any(c in b.columns for b in blocks)]
-    memory = [sum(max((s.memory() for s in part), default=0) for part in (b.first, b.second)) for b in blocks]
-    return in_blocks(df.drop(*given), steps, max(HALO, 20 + max(memory)), PRICES)
+    memory = [sum(max((s.memory() for s in part), default=0) for part in (b.first, b.second)) + b.reach + max((r.rows for r in b.ranks), default=0) for b in blocks]
+    return in_blocks(df.drop(*given), steps, max(HALO, *memory), PRICES)
 
 
 def rsi_block(periods: tuple[int, ...] = (7, 14, 21), main: int = 14, high: float = 70.0, low: float = 30.0) -> Block:
@@ -127,12 +140,13 @@ def atr_block(period: int = 14, rank_rows: int = 1000, rank_least: int = 250) ->
 
     def after(df: DataFrame) -> DataFrame:
         x = F.col(name)
-        df = df.withColumns({"atr_pct": x / nz(F.col("close")) * 100, "tr_over_atr": F.col("true_range") / nz(x), "atr_chg_pct": pct_change(x) * 100})
-        df = df.withColumn(rank, trailing_rank(F.col("atr_pct"), rank_rows, rank_least))
+        return df.withColumns({"atr_pct": x / nz(F.col("close")) * 100, "tr_over_atr": F.col("true_range") / nz(x), "atr_chg_pct": pct_change(x) * 100})
+
+    def finish(df: DataFrame) -> DataFrame:
         return df.withColumn("atr_is_warmup", any_null([name, "atr_pct", rank]) | head_rows(WARMUP * period))
 
     columns = ["true_range", name, "atr_pct", "tr_over_atr", "atr_chg_pct", rank, "atr_is_warmup"]
-    return Block("atr", columns, after, _with_true_range, [wilder(name, "true_range", period)])
+    return Block("atr", columns, after, _with_true_range, [wilder(name, "true_range", period)], ranks=[Rank(rank, "atr_pct", rank_rows, rank_least)], finish=finish)
 
 
 def adx_block(period: int = 14, trending: float = 25.0) -> Block:
@@ -170,8 +184,9 @@ def bollinger_block(rows: int = 20, width: float = 2.0, rank_rows: int = 1000, r
     def after(df: DataFrame) -> DataFrame:
         df = df.withColumns({"bb_upper": F.col("bb_mid") + width * F.col("bb_std"), "bb_lower": F.col("bb_mid") - width * F.col("bb_std")})
         span, mid = F.col("bb_upper") - F.col("bb_lower"), F.col("bb_mid")
-        df = df.withColumns({"bb_pct_b": (close - F.col("bb_lower")) / nz(span), "bb_bandwidth": span / nz(mid) * 100, "bb_dist_mid_pct": (close - mid) / nz(mid) * 100})
-        df = df.withColumn("bb_bandwidth_pctile", trailing_rank(F.col("bb_bandwidth"), rank_rows, rank_least))
+        return df.withColumns({"bb_pct_b": (close - F.col("bb_lower")) / nz(span), "bb_bandwidth": span / nz(mid) * 100, "bb_dist_mid_pct": (close - mid) / nz(mid) * 100})
+
+    def finish(df: DataFrame) -> DataFrame:
         outside = no(close > F.col("bb_upper")).cast("int") - no(close < F.col("bb_lower")).cast("int")
         return df.withColumns(
             {
@@ -182,7 +197,7 @@ def bollinger_block(rows: int = 20, width: float = 2.0, rank_rows: int = 1000, r
         )
 
     columns = ["bb_mid", "bb_upper", "bb_lower", "bb_std", "bb_pct_b", "bb_bandwidth", "bb_dist_mid_pct", "bb_bandwidth_pctile", "bb_squeeze", "bb_break", "bb_is_warmup"]
-    return Block("bollinger", columns, after, before)
+    return Block("bollinger", columns, after, before, ranks=[Rank("bb_bandwidth_pctile", "bb_bandwidth", rank_rows, rank_least)], finish=finish, reach=max(20, rows))
 
 
 #: The families by name; another one is added by adding its maker.

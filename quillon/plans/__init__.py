@@ -12,6 +12,7 @@ from quillon.operators import evaluate as E
 from quillon.operators import features as X
 from quillon.operators import models as M
 from quillon.operators import regimes as R
+from quillon.operators.blocks import numbered, plain
 from quillon.operators.scans import exponential, linear_scans, wilder
 
 THRESHOLD = 0.5
@@ -35,23 +36,28 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
     """Fifteen-minute bars of the events, a series for each event type."""
-    return B.bars(_t(spark, d, "events"), series="event_type")
+    return B.bars(_t(spark, d, "events"), series="event_type", sequence="event_id")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with their places, which operators in a row share."""
+    return numbered(_bars(spark, d))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Bars with returns, target and a probability that follows the last return."""
-    df = D.target(R.regime_inputs(_bars(spark, d)))
-    df = df.withColumn("p", 1 / (1 + F.exp(-F.col("ret_1"))))
+    df = D.target(R.regime_inputs(_placed(spark, d)))
+    df = plain(df).withColumn("p", 1 / (1 + F.exp(-F.col("ret_1"))))
     return df.where("y is not null and p is not null")
 
 
 def _for_model(spark: SparkSession, d: str) -> DataFrame:
-    return R.regime_inputs(_bars(spark, d)).withColumn("is_warmup", F.lit(False))
+    return R.regime_inputs(_placed(spark, d)).withColumn("is_warmup", F.lit(False))
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
     """Bars with the regime columns of the fixed model."""
-    return R.regime_columns(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS)
+    return plain(R.regime_columns(_for_model(spark, d), FIXED_MODEL, FIXED_INPUTS))
 
 
 def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,8 +253,8 @@ def target(spark, d):
 
 
 def _windowed(spark, d):
-    df = D.target(R.regime_inputs(_bars(spark, d)))
-    return df.withColumn("is_warmup", F.row_number().over(by_time()) <= 20)
+    df = D.target(R.regime_inputs(_placed(spark, d)))
+    return df.withColumn("is_warmup", F.col("_r") < 20)
 
 
 def window_contiguity(spark, d):
@@ -327,9 +333,9 @@ def latest_windows(spark, d):
 
 def _rule_models(spark, d):
     """Predictions of three rules on all windows: the last return goes on, turns, or the trend goes on."""
-    df = D.target(R.regime_inputs(_bars(spark, d))).withColumn("is_warmup", F.row_number().over(by_time()) <= 20)
+    df = _windowed(spark, d)
     ends = D.require_training(D.require_windows(df, FIXED_INPUTS).select(SERIES, TIME, "row_index"))
-    rows = df.join(ends, [SERIES, TIME]).where("part <> 'purge'").join(_decoded(spark, d).select(SERIES, TIME, "regime"), [SERIES, TIME])
+    rows = plain(df).join(ends, [SERIES, TIME]).where("part <> 'purge'").join(_decoded(spark, d).select(SERIES, TIME, "regime"), [SERIES, TIME])
     rules = {"momentum": F.col("ret_1"), "reversal": -F.col("ret_1"), "trend": F.col("ret_20")}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (1 / (1 + F.exp(-x))).alias("p")) for n, x in rules.items()])).alias("m")
     return rows.select(SERIES, TIME, "part", "y", "fwd", "ret_1", "regime", each).select("*", "m.model", "m.p").drop("m").cache()
@@ -406,10 +412,22 @@ def transition_report(spark, d):
     return rounded(R.transitions(_decoded(spark, d)).join(long, ["from_regime", "to_regime"]))
 
 
+def _model_inputs(spark, d):
+    """Bars with the four inputs of a regime model."""
+    df = X.build(R.regime_inputs(numbered(_bars(spark, d), B.PRICES)), [X.atr_block(), X.adx_block()])
+    return df.withColumn("is_warmup", F.col("_r") < 70)
+
+
+def hmm_states(spark, d):
+    """Models of two to five states, fitted together: log-likelihood, free parameters and the Bayesian criterion."""
+    found = R.select_states(_model_inputs(spark, d), tol=0.05)
+    rows = [(r["k"], r["log_likelihood"], r["n_parameters"], r["n_rows"], r["bic"], r["converged"], r["bic"] == min(x["bic"] for x in found)) for r in found]
+    return rounded(spark.createDataFrame(rows, "k int, log_likelihood double, n_parameters int, n_rows long, bic double, converged boolean, is_least boolean"), 3)
+
+
 def hmm_fit(spark, d):
     """Regimes by a model that is fitted to the bars of all types."""
-    df = X.build(R.regime_inputs(_bars(spark, d)), [X.atr_block(), X.adx_block()])
-    df = df.withColumn("is_warmup", F.row_number().over(by_time()) <= 70)
+    df = _model_inputs(spark, d)
     out = R.regime_columns(df, R.fit_regimes(df))
     return out.select(SERIES, TIME, *[c for c in out.columns if c.startswith("regime")])
 
@@ -479,6 +497,6 @@ crossover band_breaks_per_day bars_features warmup_counts column_catalogue summa
 window_contiguity windows32 latest_windows chronological_split scaler_stats scaled_returns baselines threshold_grid classification_metrics
 metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy persistence_agreement metrics_by_model
 breakdown_by_model strategy_by_model costs_by_model edge_by_model verdict predictions_table hmm_filter_fixed hmm_smoother_fixed hmm_viterbi_fixed
-regime_columns regimes_warm_start state_report transition_report hmm_fit regime_runs regime_changed daily_shares daily_dominant overall_shares
+regime_columns regimes_warm_start state_report transition_report hmm_fit hmm_states regime_runs regime_changed daily_shares daily_dominant overall_shares
 state_stats transition_table known_period_check model_matrix model_comparison""".split()
 QUERIES = {n: globals()[n] for n in _NAMES} | {f"{b}_block": _block(b) for b in X.BLOCKS} | {f"warm_{b}": _warm_block(b) for b in X.BLOCKS}
