@@ -46,7 +46,8 @@ def ranked(df: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None)
     df = df.withColumn("p", F.col("p").cast("double"))
     found = df.approxQuantile("p", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     by_p = df.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("n1"))
-    edges = [-float("inf"), *sorted({x for x in found if x == x and abs(x) != float("inf")}), float("inf")]
+    cuts = sorted({x for x in found if x == x and abs(x) != float("inf")}) or [0.0]  # at least two ranges
+    edges = [-float("inf"), *cuts, float("inf")]
     by_p = Bucketizer(splits=edges, inputCol="p", outputCol="_range", handleInvalid="keep").transform(by_p)
     by_p = by_p.withColumn("_range", F.when(F.col("p").isNull(), -1.0).otherwise(F.col("_range")))
     totals = by_p.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))

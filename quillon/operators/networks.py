@@ -241,10 +241,10 @@ class Plateau:
 
 def feature_scale(rows: DataFrame, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population deviation of each input over all steps of the windows; deviations under 1e-8 count as 1."""
+    if rows.isEmpty():
+        raise ValueError("no window to train on")
     found = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).select("s.*").first()
     n = found["count"]
-    if not n:
-        raise ValueError("no window to train on")
     mean = found["mean"].toArray().reshape(steps, -1)
     square = found["variance"].toArray().reshape(steps, -1) * (n - 1) / n + mean**2
     sd = np.sqrt(np.maximum(square.mean(0) - mean.mean(0) ** 2, 0))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME, by_time, crossing, ln, rounded
+from quillon.functions.tables import register
+from quillon import sources as S
 from quillon.operators import bars as B
 from quillon.operators import dataset as D
 from quillon.operators import evaluate as E
@@ -138,6 +140,14 @@ def rma14(spark, d):
     return rounded(linear_scans(_bars(spark, d), [wilder("rma_14", "close", 14)]).select(SERIES, TIME, "rma_14"))
 
 
+def sql_rma14(spark, d):
+    """The average of rma14 by a table function in SQL."""
+    register(spark)
+    _bars(spark, d).createOrReplaceTempView("quillon_bars")
+    found = spark.sql("SELECT * FROM wilder(TABLE(SELECT series_id, ts, close FROM quillon_bars) PARTITION BY (series_id) ORDER BY (ts), 'close', 14)")
+    return rounded(found.select(SERIES, TIME, "rma_14"))
+
+
 def ema12(spark, d):
     return rounded(linear_scans(_bars(spark, d), [exponential("ema_12", "close", 12)]).select(SERIES, TIME, "ema_12"))
 
@@ -337,8 +347,9 @@ def _rule_models(spark, d):
     ends = D.require_training(D.require_windows(df, FIXED_INPUTS).select(SERIES, TIME, "row_index"))
     rows = plain(df).join(ends, [SERIES, TIME]).where("part <> 'purge'").join(_decoded(spark, d).select(SERIES, TIME, "regime"), [SERIES, TIME])
     rules = {"momentum": F.col("ret_1"), "reversal": -F.col("ret_1"), "trend": F.col("ret_20")}
+    rows = S.written(rows.select(SERIES, TIME, "part", "y", "fwd", "ret_1", "ret_20", "regime"), "rule-rows")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), (1 / (1 + F.exp(-x))).alias("p")) for n, x in rules.items()])).alias("m")
-    return rows.select(SERIES, TIME, "part", "y", "fwd", "ret_1", "regime", each).select("*", "m.model", "m.p").drop("m").cache()
+    return rows.select(SERIES, TIME, "part", "y", "fwd", "ret_1", "regime", each).select("*", "m.model", "m.p").drop("m")
 
 
 def metrics_by_model(spark, d):
@@ -468,9 +479,10 @@ def known_period_check(spark, d):
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Bars with all that models read, and the target."""
-    df = D.target(X.build_features(_bars(spark, d)))
-    return df.join(_decoded(spark, d).select(SERIES, TIME, *D.RETURN_COLUMNS, *D.REGIME_COLUMNS, "regime"), [SERIES, TIME])
+    """Bars with all that models read, and the target; one numbering and one decoding carry all columns along."""
+    df = X.build_features(numbered(_bars(spark, d), B.PRICES)).withColumnRenamed("is_warmup", "_warmup")
+    df = R.regime_columns(R.regime_inputs(df).withColumn("is_warmup", F.lit(False)), FIXED_MODEL, FIXED_INPUTS)
+    return D.target(df.drop("is_warmup").withColumnRenamed("_warmup", "is_warmup"))
 
 
 def model_matrix(spark, d):
@@ -479,11 +491,12 @@ def model_matrix(spark, d):
 
 
 def model_comparison(spark, d):
-    """All registered classifiers on windows of all inputs: metrics by model and part, with the thresholds and baselines."""
-    df = _matrix(spark, d)
+    """All registered classifiers and the recurrent network on windows of all inputs: metrics by model and part, with the
+    thresholds and baselines."""
+    df = S.written(_matrix(spark, d), "matrix")
     inputs = D.final_features(df)
-    rows = M.predictions(D.require_windows(df, inputs), 32 * len(inputs))
-    rows = rows.join(df.select(SERIES, TIME, "ret_1", "fwd", "regime"), [SERIES, TIME]).cache()
+    rows = M.predictions(D.require_windows(df, inputs), 32 * len(inputs), networks={"lstm": {"epochs": 12, "batch": 1024, "units": 32, "rate": 0.005}})
+    rows = S.written(rows.join(df.select(SERIES, TIME, "ret_1", "fwd", "regime"), [SERIES, TIME]), "predictions")
     return rounded(E.metrics_by_model(E.with_thresholds(rows)))
 
 
@@ -492,7 +505,7 @@ def log_close(spark, d):
 
 
 _NAMES = """bars15 bars_by_type daily_order_bars supplier_moving_average session_filter session_columns dedupe_first quality_audit session_audit
-short_sessions session_invariants outside_sessions null_census log_close returns_log rolling_return true_range directional_movement rma14 ema12
+short_sessions session_invariants outside_sessions null_census log_close returns_log rolling_return true_range directional_movement rma14 sql_rma14 ema12
 crossover band_breaks_per_day bars_features warmup_counts column_catalogue summary_stats flag_shares rsi_summary rsi_export regime_export warm_start warm_start_all leakage_check target
 window_contiguity windows32 latest_windows chronological_split scaler_stats scaled_returns baselines threshold_grid classification_metrics
 metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy persistence_agreement metrics_by_model

@@ -15,8 +15,8 @@ def rs(*names: str) -> str:
 
 #: Window over a series in time order.
 W = "(PARTITION BY series_id ORDER BY ts)"
-ALL = "bars AS (SELECT 'ALL' AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, ts) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, ts) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
-BARS = "bars AS (SELECT event_type AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, ts) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, ts) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
+ALL = "bars AS (SELECT 'ALL' AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, (ts, value)) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, (ts, value)) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
+BARS = "bars AS (SELECT event_type AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, (ts, event_id)) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, (ts, event_id)) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
 SESSION = "ses AS (SELECT * FROM bars WHERE strftime(ts, '%H:%M') BETWEEN '09:15' AND '15:15')"
 RETURNS = f"ret AS (SELECT *, LN(NULLIF(close, 0)) - LAG(LN(NULLIF(close, 0)), 1) OVER {W} AS ret_1, LN(NULLIF(close, 0)) - LAG(LN(NULLIF(close, 0)), 20) OVER {W} AS ret_20 FROM bars)"
 TARGET = f"tgt AS (SELECT *, LEAD(LN(NULLIF(close, 0))) OVER {W} - LN(NULLIF(close, 0)) AS fwd FROM ret)"
@@ -251,6 +251,7 @@ SELECT * FROM n WHERE n_null > 0""",
     "true_range": f"WITH {BARS}, {TR} SELECT series_id, ts, {rs('true_range')} FROM tr",
     "directional_movement": f"WITH {BARS}, {TR}, {DM} SELECT series_id, ts, {rs('dm_plus', 'dm_minus')} FROM dm",
     "rma14": f"WITH RECURSIVE {BARS}, {wilder('rec', 'bars', {'rma_14': ('close', 14, 0)})} SELECT series_id, ts, {rs('rma_14')} FROM rec",
+    "sql_rma14": f"WITH RECURSIVE {BARS}, {wilder('rec', 'bars', {'rma_14': ('close', 14, 0)})} SELECT series_id, ts, {rs('rma_14')} FROM rec",
     "ema12": f"WITH RECURSIVE {BARS}, {ema('rec', 'bars', {'ema_12': ('close', 12)})} SELECT series_id, ts, {rs('ema_12')} FROM rec",
     "crossover": f"WITH {BARS} SELECT series_id, ts, COALESCE((close > open)::INT - LAG((close > open)::INT) OVER {W}, 0)::TINYINT AS cross FROM bars",
     "rsi_block": RSI,
@@ -370,10 +371,15 @@ SELECT from_regime, to_regime, n, {r("p")}, {r("CASE WHEN from_regime = to_regim
 FROM ({MATRIX}) JOIN (SELECT * EXCLUDE (regime) FROM (WITH RECURSIVE {REGIMES} SELECT series_id, ts, {rs("ret_1", "ret_20")}, {REGIMES_OUT} FROM lab)) USING (series_id, ts)""",
     "raw_csv_bars": f"""WITH {SESSION_COLUMNS.replace(BARS, ALL)} SELECT series_id, ts, {rs("open", "high", "low", "close")}, {r("n_ticks", "src_pivot")}, session_date, bar_of_day, is_session_open, is_session_close
 FROM sec JOIN bars USING (series_id, ts)""",
+    "raw_csv_rejects": f"""WITH {ALL}, n AS (SELECT 2 * COUNT(*) AS n_all, COUNT(*) FILTER (hour(ts) = 10) AS n_word, COUNT(*) FILTER (hour(ts) = 11) AS n_date FROM bars)
+SELECT * FROM (SELECT 'read' AS outcome, n_all::BIGINT AS n_lines FROM n UNION ALL SELECT 'low', n_word::BIGINT FROM n UNION ALL SELECT 'time', n_date::BIGINT FROM n) WHERE n_lines > 0""",
     "stored_splits": f"""WITH a AS ({RSI}), b AS ({warm(RSI, 1250)}) SELECT 'train' AS split, a.series_id, a.ts, {r("x.close", "close")}, rsi_14, rsi_is_warmup FROM a JOIN (WITH {BARS} SELECT * FROM bars) x USING (series_id, ts) WHERE a.ts < TIMESTAMP '{SPLIT_AT}'
 UNION ALL SELECT 'test', b.series_id, b.ts, {r("x.close", "close")}, rsi_14, ({missing(VALUES["rsi"])}) FROM b JOIN (WITH {BARS} SELECT * FROM bars) x USING (series_id, ts) WHERE b.ts >= TIMESTAMP '{SPLIT_AT}'""",
     "stored_regimes": f"WITH RECURSIVE {REGIMES} SELECT series_id, ts, regime, {r(TOP, 'regime_confidence')} FROM lab",
     "stored_classifier": f"WITH {USABLE}, {PARTS} SELECT part, COUNT(*) AS n, 0::BIGINT AS n_other FROM p GROUP BY part",
+    "stream_indicators": f"""SELECT a.series_id, a.ts, a.rsi_7, a.rsi_14, a.rsi_21, e.ema_12, f.p0, f.p1, f.p2, f.p3 FROM ({RSI}) a
+JOIN (WITH RECURSIVE {BARS}, {ema('rec', 'bars', {'ema_12': ('close', 12)})} SELECT series_id, ts, {rs('ema_12')} FROM rec) e USING (series_id, ts)
+LEFT JOIN (WITH RECURSIVE {filter_sql()} SELECT series_id, ts, {rs('p0', 'p1', 'p2', 'p3')} FROM fr) f USING (series_id, ts)""",
     "stream_bars": f"WITH {BARS} SELECT {BARS_OUT} FROM bars",
     "stream_average": f"""WITH RECURSIVE t AS MATERIALIZED (SELECT event_type AS series_id, value AS x, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r FROM events WHERE value IS NOT NULL),
 q AS (SELECT series_id, r, x::DOUBLE AS y FROM t WHERE r = 0 UNION ALL SELECT t.series_id, t.r, q.y + {2.0 / 13!r}::DOUBLE * (t.x - q.y) FROM q JOIN t ON t.series_id = q.series_id AND t.r = q.r + 1)

@@ -2,31 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.functions import SERIES, TIME
 from quillon.operators import bars as B
 from quillon.operators import evaluate as E
 
 REQUIRED = ["date", "time", "open", "high", "low", "close"]
+#: Fixed value: how raw files write a time, without its offset.
+CLOCK = "dd-MM-yyyy HH:mm:ss"
 #: Vendor columns that the raw file may have.
 VENDOR = ["pivot", "200_EMA", "Supertrend(12,3)", "Supertrend(11,2)", "Supertrend(10,1)"]
 
 
-def read_raw_bars(spark: SparkSession, path: str, series_id: str = "ALL") -> DataFrame:
-    """Raw CSV as typed bars: text columns are read as text and cast by name; `ingest_seq` keeps file order.
-
-    Raises ValueError when a required column is missing; a malformed timestamp or price raises when it is read.
-    """
-    raw = spark.read.option("header", True).csv(path)
-    missing = [c for c in REQUIRED if c not in raw.columns]
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of raw CSV files as text columns, with _line (the line where it has too few or too many fields, else NULL) and
+    ingest_seq: the file, the byte at which the part that a task reads begins, and the place inside that part. Ordered by
+    it, lines are in the order of file names and of lines in a file, however files are cut and dealt to tasks."""
+    header = spark.read.option("header", True).csv(path).schema
+    missing = [c for c in REQUIRED if c not in header.names]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    schema = StructType([StructField(n, StringType()) for n in header.names]).add("_line", StringType())
+    lines = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return lines.select("*", place.alias("ingest_seq"))
+
+
+def _typed(raw: DataFrame, series_id: str, strict: bool) -> DataFrame:
+    """Typed bars of raw lines; text that isn't a time or a number raises when it is read, or becomes NULL."""
     clock = F.concat_ws(" ", F.trim("date"), F.substring("time", 1, 8))
-    prices = [F.col(c).cast("double").alias(c) for c in ("close", "open", "high", "low")]
-    vendor = [F.col(f"`{c}`").cast("double").alias(f"src_{c}") for c in VENDOR if c in raw.columns]
-    return raw.select(F.lit(series_id).alias(SERIES), F.to_timestamp(clock, "dd-MM-yyyy HH:mm:ss").alias(TIME), *prices, *vendor, F.monotonically_increasing_id().alias("ingest_seq"))
+    time = (F.to_timestamp if strict else F.try_to_timestamp)(clock, F.lit(CLOCK) if not strict else CLOCK)
+
+    def number(c: str) -> Column:
+        return F.col(f"`{c}`").cast("double") if strict else F.col(f"`{c}`").try_cast("double")
+
+    prices = [number(c).alias(c) for c in ("close", "open", "high", "low")]
+    vendor = [number(c).alias(f"src_{c}") for c in VENDOR if c in raw.columns]
+    return raw.select(F.lit(series_id).alias(SERIES), time.alias(TIME), *prices, *vendor, "ingest_seq", *([] if strict else [F.struct(*[f"`{c}`" for c in raw.columns if c != "ingest_seq"]).alias("_raw")]))
+
+
+def read_raw_bars(spark: SparkSession, path: str, series_id: str = "ALL") -> DataFrame:
+    """Raw CSV, one file or many, as typed bars: columns are read as text and cast by name; `ingest_seq` orders lines by
+    file, then by their place in it.
+
+    Raises ValueError when a required column is missing; a malformed time or price, and a line with too few or too many
+    fields, raise when they are read.
+    """
+    raw = _raw(spark, path)
+    broken = F.raise_error(F.concat(F.lit("a line has too few or too many fields: "), F.col("_line")))
+    raw = raw.withColumn("date", F.when(F.col("_line").isNotNull(), broken).otherwise(F.col("date")))
+    return _typed(raw.drop("_line"), series_id, True)
+
+
+def scan_raw_bars(spark: SparkSession, path: str, series_id: str = "ALL") -> tuple[DataFrame, DataFrame]:
+    """(bars, rejected): as read_raw_bars, but lines that can't be read go to a table of their own, with ingest_seq, the
+    first reason (fields, time, or the name of a price) and the line's fields as JSON. An empty price is no fault."""
+    rows = _typed(_raw(spark, path), series_id, False)
+    reason = F.when(F.col("_raw._line").isNotNull(), "fields").when(F.col(TIME).isNull(), "time")
+    for c in ("open", "high", "low", "close"):
+        reason = reason.when(F.col(c).isNull() & F.col(f"_raw.{c}").isNotNull(), c)
+    rows = rows.withColumn("reason", reason)
+    bars = rows.where("reason is null").drop("reason", "_raw")
+    return bars, rows.where("reason is not null").select(SERIES, "ingest_seq", "reason", F.to_json("_raw").alias("fields"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session names in spark.checkpoint.dir, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a scratch folder: what several steps read is made once and outlives lost executors, and nothing
+    stays in their memory."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:

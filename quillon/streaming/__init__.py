@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.functions import SERIES, TIME
+from quillon.sources import scratch_folder
+from quillon.streaming.indicators import bar_stream, live_indicators, state_in_rocksdb
+
+#: Files that bars are written to before they are streamed.
+BAR_FILES = 4
 
 
 def tick_stream(spark: SparkSession, folder: str, table: str = "events", series: str = "event_type", files_per_batch: int = 8) -> DataFrame:
@@ -51,14 +56,11 @@ def live_average(ticks: DataFrame, alpha: float, column: str = "value") -> DataF
     return ticks.groupBy(SERIES).applyInPandasWithState(step, f"{SERIES} string, n long, average double", "n long, value double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs a stream in update mode over all that is there now and returns the last row of each key, from the folder that
-    the session names in spark.checkpoint.dir."""
+def drained(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Runs a stream in update mode over all that is there now and returns the last row of each key, from a scratch folder.
+    With a folder that an earlier run has used, it goes on from where that one ended."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name the folder for the stream's state and rows")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = folder or scratch_folder(stream.sparkSession, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that is run again replaces what it wrote
@@ -66,7 +68,7 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
 
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])
@@ -84,4 +86,30 @@ def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return out.select(SERIES, TIME, *[(F.round(c, 6) + 0.0).alias(c) for c in ("open", "high", "low", "close")], "n_ticks")
 
 
-QUERIES = {"stream_average": stream_average, "stream_bars": stream_bars}
+def _bar_files(spark: SparkSession, d: str) -> str:
+    """The bars of all ticks by type as files, one for each stretch of time, oldest first."""
+    from quillon.plans import _bars
+
+    path = scratch_folder(spark, "bar-files")
+    bars = _bars(spark, d).select(SERIES, TIME, "close").persist()
+    first, last = bars.agg(F.min(TIME), F.max(TIME)).first()
+    edges = [] if first is None else [first + (last - first) * k / BAR_FILES for k in range(1, BAR_FILES)]
+    for k, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = bars if low is None else bars.where(F.col(TIME) >= F.lit(low))
+        part = part if high is None else part.where(F.col(TIME) < F.lit(high))
+        part.coalesce(1).write.mode("overwrite" if k == 0 else "append").parquet(path)
+    bars.unpersist()
+    return path
+
+
+def stream_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """RSI, an average and causal regimes of all bars, as a stream of files of bars gives them."""
+    from quillon.plans import FIXED_MODEL
+
+    with state_in_rocksdb(spark):
+        out = drained(live_indicators(bar_stream(spark, _bar_files(spark, d)), FIXED_MODEL), [SERIES, TIME])
+    names = [c for c in out.columns if c not in (SERIES, TIME, "stale")]
+    return out.where("not stale").select(SERIES, F.col(TIME).cast("timestamp_ntz").alias(TIME), *[(F.round(c, 6) + 0.0).alias(c) for c in names])
+
+
+QUERIES = {"stream_indicators": stream_indicators, "stream_average": stream_average, "stream_bars": stream_bars}

@@ -67,7 +67,7 @@ def test_blocks_give_what_loops_give(fitted):
         total += part
         assert np.abs(np.stack(mine.posterior) - filtered).max() < 1e-9 and np.abs(np.stack(mine.smoothed) - smoothed).max() < 1e-9
         assert mine.state.tolist() == path
-    assert total == pytest.approx(model["log_likelihood"], rel=1e-3)
+    assert total == pytest.approx(model["log_likelihood"], abs=1e-6)
 
 
 def test_fit_recovers_states(fitted):
@@ -110,3 +110,52 @@ def test_warm_start(spark, fitted):
 def test_a_fit_that_does_not_converge_raises(fitted):
     with pytest.raises(RuntimeError, match="converge"):
         R.fit_hmm(fitted[0], iterations=1)
+
+
+def test_the_fit_goes_on_until_a_step_gains_less_than_its_tolerance(fitted):
+    """Another fifty steps from where it ended gain less than the tolerance each, whatever the size of the likelihood."""
+    df, _, _, model = fitted
+    rows = R.FitRows(df, R.INPUTS)
+    try:
+        before, now = model["log_likelihood"], model
+        for _ in range(50):
+            now = R._raised(now, R._statistics(rows.rows, {0: now}, R.INPUTS, rows.whole)[0], 1e-3)
+        after = R._statistics(rows.rows, {0: now}, R.INPUTS, rows.whole)[0]["likelihood"]
+    finally:
+        rows.close()
+    assert abs(after - before) < 50 * 1e-3
+
+
+def test_fits_share_their_steps_and_the_criterion_finds_the_planted_number(spark):
+    rng = np.random.default_rng(12)
+    state = np.repeat(rng.integers(0, 3, 60), 15)
+    x = CENTRES[state] * 2 + rng.normal(0, 0.4, (len(state), 4))
+    found = R.select_states(frame(spark, x), (2, 3, 4), starts=2, tol=0.01)
+    assert [r["k"] for r in found] == [2, 3, 4] and min(found, key=lambda r: r["bic"])["k"] == 3
+    assert found[1]["n_parameters"] == 2 + 6 + 12 + 30 and found[1]["n_rows"] == len(x)
+    alone = R.fit_hmm(frame(spark, x), states=3, tol=0.01)
+    best = found[1]
+    assert best["log_likelihood"] >= alone["log_likelihood"] - 1 and loops(best["model"], x)[3] == pytest.approx(best["log_likelihood"], abs=1e-6)
+
+
+def test_rows_that_are_not_scored_may_fill_blocks(spark, fitted):
+    """Unscored rows at the start, in between, over whole blocks and at block edges."""
+    _, x, _, model = fitted
+    off = np.zeros(len(x), bool)
+    off[:70] = off[130:270] = off[319:321] = off[-3:] = True
+    rows = pd.DataFrame(x, columns=R.INPUTS).assign(ts=[T0 + dt.timedelta(minutes=15 * k) for k in range(len(x))], series_id="A", is_warmup=off, ts_2="x")
+    found = R.regime_columns(spark.createDataFrame(rows), model).orderBy("ts").toPandas()
+    filtered, _, _, _ = loops(model, x[~off])
+    names = [model["label_map"][str(k)] for k in range(4)]
+    p = found[[f"regime_p_{n}" for n in names]].to_numpy(float)
+    assert np.isnan(p[off]).all() and np.abs(p[~off] - filtered).max() < 1e-9
+    regime, changed = found.regime.tolist(), found.regime_changed.tolist()
+    for t in range(len(x)):
+        want = False if regime[t] is None else None if t == 0 or regime[t - 1] is None else regime[t] != regime[t - 1]
+        assert changed[t] is want or changed[t] == want
+
+
+def test_nothing_to_score(spark):
+    df = frame(spark, np.zeros((5, 4))).withColumn("is_warmup", F.lit(True))
+    with pytest.raises(ValueError, match="scored"):
+        R.fit_hmm(df)

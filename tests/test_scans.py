@@ -97,38 +97,45 @@ def test_features_in_blocks_are_those_of_the_whole_series(spark):
         assert (got is None) == (want is None) and (got is None or abs(got - want) < 1e-6)
 
 
-def test_rsi_of_degenerate_series(spark):
-    for closes, want in ((range(100, 200), 100.0), (range(200, 100, -1), 0.0), ([150] * 100, 50.0)):
-        got = column(X.rsi(frame(spark, list(closes))), "rsi_14")
-        assert got[:14] == [None] * 14 and set(got[14:]) == {want}
+def test_rsi_is_the_loop_of_gains_and_losses(spark):
+    rng = np.random.default_rng(71)
+    walks = {"up": rng.uniform(0.2, 1.9, 60), "down": -rng.uniform(0.1, 0.8, 60), "still": np.zeros(60), "mixed": rng.normal(0, 1, 300), "rare": np.where(rng.random(200) < 0.05, 1.5, 0.0)}
+    for name, steps in walks.items():
+        closes = (1000 + np.concatenate([[0], steps.cumsum()])).tolist()
+        moves = [None, *[b - a for a, b in zip(closes, closes[1:], strict=False)]]
+        gains, losses = (loop([None if m is None else max(sign * m, 0.0) for m in moves], 14) for sign in (1, -1))
+        want = [None if g is None else 50.0 if g == v == 0 else 100 * g / (g + v) for g, v in zip(gains, losses, strict=True)]
+        got = column(X.rsi(frame(spark, closes)), "rsi_14")
+        for x, y in zip(got, want, strict=True):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-8), name
 
 
 def test_crossing(spark):
     from quillon.functions import crossing
 
-    rows = [("A", T0 + dt.timedelta(minutes=k), f, s) for k, (f, s) in enumerate(zip([None, None, 1, 3, 3, 1, 1, 5], [None, None, 2, 2, 2, 2, 2, 2], strict=True))]
+    rng = np.random.default_rng(19)
+    pairs = [(None if rng.random() < 0.15 else int(rng.integers(0, 4)), None if rng.random() < 0.1 else int(rng.integers(0, 4))) for _ in range(90)]
+    want, before = [], None
+    for f, v in pairs:
+        above = None if f is None or v is None else int(f > v)
+        want.append(0 if above is None or before is None else above - before)
+        before = above
+    rows = [("A", T0 + dt.timedelta(minutes=k), f, v) for k, (f, v) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, fast int, slow int").withColumn("x", crossing(F.col("fast"), F.col("slow")))
-    assert column(df, "x") == [0, 0, 0, 1, 0, -1, 0, 1]
+    assert column(df, "x") == want and {-1, 0, 1} == set(want)
 
 
 def test_later_bars_never_change_earlier_features(spark):
     closes = np.random.default_rng(2).normal(100, 2, 330).round(2).tolist()
     base = X.build_features(frame(spark, closes))
-    closes[-1] *= 1.05
+    closes[320:] = [c - 11 for c in closes[320:]]
     moved = X.build_features(frame(spark, closes))
     key = [c for c in base.columns if c != "ts"]
-    early = T0 + dt.timedelta(minutes=15 * 328)
+    early = T0 + dt.timedelta(minutes=15 * 319)
     one, two = (rounded(d.where(F.col("ts") <= F.lit(early))).orderBy("ts").select(key).collect() for d in (base, moved))
     assert one == two
 
 
-def test_trailing_rank_takes_average_ranks(spark):
-    from quillon.functions import trailing_rank
-
-    df = frame(spark, [1, 3, 2, 2, 5]).withColumn("x", trailing_rank(F.col("close"), 4, 2))
-    assert column(df, "x") == [None, 1.0, 2 / 3, 0.625, 1.0]
-
-
 def test_seed_must_end_before_the_data(spark):
     df = frame(spark, range(50, 80))
     with pytest.raises(ValueError):
