@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,14 +141,12 @@ def pack_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """kind 0: key is a bucket of minimizers; a minimizers, b digests, c places in d, e offsets, f windows, d nodes and
     ids; of equal segments of one batch only the first is sent. kind 3: key is a bucket of nodes, and the others, which
     are later copies whatever else there is, as MARKS. kind 2: id, node, n_bytes, sha256 of a text; key only spreads
-    them. A node is the digest of a text, so copies are one node."""
+    them. A node is the digest of a text that docs(_id, _text, _node) carry, so copies are one node."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for turn, batch in enumerate(batches):
             raws = [b"" if t is None else t.encode() for t in batch["_text"]]
-            nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, raws), np.uint64, len(raws))
-            ids = batch["_id"].to_numpy(dtype="float64", na_value=np.nan) if batch["_id"].isna().any() else batch["_id"].to_numpy()
-            ids = np.array([LAST if x != x else int(x) for x in ids], np.int64)
+            nodes, ids = batch["_node"].to_numpy(np.int64).view(np.uint64), batch["_id"].to_numpy(np.int64)
             key = (turn * 31 + np.arange(len(ids))) % buckets
             yield pd.DataFrame({"kind": 2, "key": key, "id": ids, "node": nodes.view(np.int64), "n": [len(x) for x in raws], "sha": [hashlib.sha256(x).hexdigest() for x in raws]}).reindex(columns=COLUMNS)
             least: dict[int, int] = {}
@@ -460,8 +457,6 @@ def pack_rivals(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             ones: list[tuple[np.ndarray, ...]] = []
             for r in batch.itertuples(index=False):
                 raw = r.body.encode()
-                if xxhash.xxh3_64_intdigest(raw) != r.node & 0xFFFFFFFFFFFFFFFF:
-                    continue  # another text with this id
                 offset, n = np.frombuffer(r.open_at, np.uint32), np.frombuffer(r.open_n, np.uint8)
                 keys, hot = np.frombuffer(r.open_key, np.uint64), np.frombuffer(r.open_hot, np.uint8)
                 for o, w, k, h in zip(offset.tolist(), n.tolist(), keys.tolist(), hot.tolist(), strict=True):
@@ -498,8 +493,6 @@ def cut_texts(rows: DataFrame, length: int) -> DataFrame:
             out = []
             for r in batch.itertuples(index=False):
                 raw = r.body.encode()
-                if xxhash.xxh3_64_intdigest(raw) != r.node & 0xFFFFFFFFFFFFFFFF:
-                    continue
                 lo = np.concatenate([np.frombuffer(x, np.uint32) for x in r.at]).astype(np.int64)
                 hi = lo + np.concatenate([np.frombuffer(x, np.uint8) for x in r.n]) + length - 1
                 order = np.argsort(lo, kind="stable")
@@ -528,7 +521,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comes after all others. length is 64 to 250.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    # rows are told apart by id and text, so that many rows without an id are no group of their own
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), text.alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_node"))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(16, -(-total // BUCKET_BYTES)))
     packed = pack_segments(rows, length, buckets).groupBy("kind", "key").applyInPandas(lean(_compare_segments(buckets)), SCHEMA)
@@ -536,15 +531,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = packed.where("kind <> 2").select("key", "a", "b", "c", "d", "e", "f")
     marks = stored(marks.groupBy("key").applyInPandas(lean(_of_node), NODE_MARKS), "suffix-marks")
 
-    texts = rows.select(F.coalesce("_id", F.lit(LAST)).alias("id"), F.col("_text").alias("body")).where("body is not null")
+    texts = rows.select(F.col("_id").alias("id"), F.col("_node").alias("node"), F.col("_text").alias("body")).where("body is not null")
     rivals = marks.where(F.length("open_at") > 0).select("node", "id", "open_at", "open_n", "open_key", "open_hot")
-    dealt = pack_rivals(texts.join(rivals, "id"), length, buckets)
+    dealt = pack_rivals(texts.join(rivals, ["id", "node"]), length, buckets)
     more = dealt.groupBy("kind", "key").applyInPandas(lean(_sort_bucket(length, buckets)), MARKS)
     more = more.groupBy("key").applyInPandas(lean(_of_node), NODE_MARKS)
     gone = marks.unionByName(more).where(F.length("gone_at") > 0)
     gone = gone.groupBy("node", "id").agg(F.collect_list("gone_at").alias("at"), F.collect_list("gone_n").alias("n"))
     gone = stored(gone, "suffix-gone")
-    cuts = stored(cut_texts(texts.join(gone, "id"), length), "suffix-cuts").dropDuplicates(["id", "node"])
+    cuts = stored(cut_texts(texts.join(gone, ["id", "node"]), length), "suffix-cuts").dropDuplicates(["id", "node"])
 
     whole = packed.where("kind = 2").select("id", "node", "n", "sha")
     least = whole.groupBy("sha").agg(F.min("id").alias("first"))
