@@ -10,6 +10,7 @@ from quillon.sources import REQUIRED, VENDOR
 #: Bars carry wall-clock times of this zone.
 TIME_ZONE = "Asia/Kolkata"
 SPLITS = ("train", "test")
+TABLES = ("bars", "features", "regimes", "predictions")
 
 
 class Layout(NamedTuple):
@@ -31,4 +32,4 @@ class Layout(NamedTuple):
         return f"{self.base}/reports/{name}.md"
 
 
-__all__ = ["PRICES", "REQUIRED", "SESSION_BARS", "SESSION_END", "SESSION_START", "SPLITS", "TIME_ZONE", "VENDOR", "Layout"]
+__all__ = ["PRICES", "REQUIRED", "SESSION_BARS", "SESSION_END", "SESSION_START", "SPLITS", "TABLES", "TIME_ZONE", "VENDOR", "Layout"]

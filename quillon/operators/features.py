@@ -6,12 +6,12 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import SERIES, TIME, any_null, by_time, crossing, diff, full_frame, no, nz, pct_change
 from quillon.operators.bars import PRICES, require_after
-from quillon.operators.blocks import HALO, in_blocks, plain
+from quillon.operators.blocks import HALO, in_blocks, numbered, plain
 from quillon.operators.ranks import Rank, rank_blocks
 from quillon.operators.scans import Scan, exponential, scan_blocks, wilder
 
@@ -248,8 +248,10 @@ def with_seed(df: DataFrame, seed: DataFrame, seed_bars: int) -> DataFrame:
     """df with the last seed_bars rows of each series of seed before it, marked by _seed. Raises ValueError unless the
     seed of every series ends strictly before its data begin."""
     require_after(seed, df)
-    last = F.row_number().over(Window.partitionBy(SERIES).orderBy(F.col(TIME).desc()))
-    tail = seed.select(df.columns).withColumn("_n", last).where(F.col("_n") <= seed_bars).drop("_n")
+    df = plain(df)
+    placed = numbered(plain(seed).select(df.columns))
+    totals = placed.groupBy(SERIES).agg(F.count("*").alias("_total"))
+    tail = placed.join(totals, SERIES).where(F.col("_r") >= F.col("_total") - seed_bars).select(df.columns)
     return tail.withColumn("_seed", F.lit(True)).unionByName(df.withColumn("_seed", F.lit(False)))
 
 

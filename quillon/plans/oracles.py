@@ -371,6 +371,7 @@ SELECT from_regime, to_regime, n, {r("p")}, {r("CASE WHEN from_regime = to_regim
 FROM ({MATRIX}) JOIN (SELECT * EXCLUDE (regime) FROM (WITH RECURSIVE {REGIMES} SELECT series_id, ts, {rs("ret_1", "ret_20")}, {REGIMES_OUT} FROM lab)) USING (series_id, ts)""",
     "raw_csv_bars": f"""WITH {SESSION_COLUMNS.replace(BARS, ALL)} SELECT series_id, ts, {rs("open", "high", "low", "close")}, {r("n_ticks", "src_pivot")}, session_date, bar_of_day, is_session_open, is_session_close
 FROM sec JOIN bars USING (series_id, ts)""",
+    "incremental_features": MATRIX,
     "raw_csv_rejects": f"""WITH {ALL}, n AS (SELECT 2 * COUNT(*) AS n_all, COUNT(*) FILTER (hour(ts) = 10) AS n_word, COUNT(*) FILTER (hour(ts) = 11) AS n_date FROM bars)
 SELECT * FROM (SELECT 'read' AS outcome, n_all::BIGINT AS n_lines FROM n UNION ALL SELECT 'low', n_word::BIGINT FROM n UNION ALL SELECT 'time', n_date::BIGINT FROM n) WHERE n_lines > 0""",
     "stored_splits": f"""WITH a AS ({RSI}), b AS ({warm(RSI, 1250)}) SELECT 'train' AS split, a.series_id, a.ts, {r("x.close", "close")}, rsi_14, rsi_is_warmup FROM a JOIN (WITH {BARS} SELECT * FROM bars) x USING (series_id, ts) WHERE a.ts < TIMESTAMP '{SPLIT_AT}'

@@ -13,6 +13,7 @@ from quillon.operators import dataset as D
 from quillon.operators import features as X
 from quillon.operators import models as M
 from quillon.operators import regimes as R
+from quillon.sources.catalog import Catalog, append_bars
 
 
 def _raw_files(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
@@ -61,13 +62,24 @@ def stored_splits(spark: SparkSession, d: str) -> DataFrame:
     return rounded(parts[0].unionByName(parts[1]).select("split", SERIES, TIME, "close", "rsi_14", "rsi_is_warmup"))
 
 
+def incremental_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features that came to their table in three turns, of which the later ones read the last months alone."""
+    catalog = Catalog(spark, S.scratch_folder(spark, "tables"))
+    train, test = P._split(P._bars(spark, d))
+    middle = F.lit("2024-01-26").cast("timestamp_ntz")
+    for split, part in (("train", train), ("test", test.where(F.col(TIME) < middle)), ("test", test.where(F.col(TIME) >= middle))):
+        append_bars(catalog, part, split)
+    return rounded(catalog.read("features"))
+
+
 def stored_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Regimes by a model that went through its store, written and read again."""
     path = S.scratch_folder(spark, "regimes")
     S.write_model(spark, P.FIXED_MODEL, f"{path}/model")
     df = R.regime_columns(P._for_model(spark, d), S.read_model(spark, f"{path}/model"), P.FIXED_INPUTS)
-    S.write_split(df.select(SERIES, TIME, "regime", "regime_confidence"), f"{path}/rows", "all")
-    return rounded(S.read_split(spark, f"{path}/rows", "all"))
+    catalog = Catalog(spark, path)
+    catalog.write(df.select(SERIES, TIME, "regime", "regime_confidence"), "regimes", "train")
+    return rounded(catalog.read("regimes", "train"))
 
 
 def stored_scaler(spark: SparkSession, d: str) -> DataFrame:
@@ -98,4 +110,4 @@ def stored_classifier(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("p") - F.col("p2")) > 1e-12).alias("n_other"))
 
 
-QUERIES = {f.__name__: f for f in (raw_csv_bars, raw_csv_rejects, stored_splits, stored_regimes, stored_scaler, stored_predictions, stored_classifier)}
+QUERIES = {f.__name__: f for f in (raw_csv_bars, raw_csv_rejects, incremental_features, stored_splits, stored_regimes, stored_scaler, stored_predictions, stored_classifier)}
