@@ -74,6 +74,8 @@ def pack_bits(values: np.ndarray, widths: np.ndarray) -> bytes:
 
 def lzw_unpack(stream: bytes, bits: int, limit: int) -> bytes:
     """Bytes of a code stream; ends at the end code, the end of the stream or limit bytes. Bad codes raise ValueError."""
+    if bits not in OFFSETS:
+        raise ValueError("a code size that no palette has")
     clear, end = 1 << bits, (1 << bits) + 1
     flat = np.frombuffer(stream + b"\0\0\0\0", dtype=np.uint8).astype(np.uint32)
     windows = flat[:-2] | flat[1:-1] << np.uint32(8) | flat[2:] << np.uint32(16)
@@ -164,7 +166,15 @@ def read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode_gif(data: bytes) -> list[dict]:
     """Frames of a GIF: left, top, width, height, start_ms, delay_ms, indices (of the frame itself) and canvas, the
-    RGB picture shown after palette, transparency and the earlier frames' disposal. Bad files raise ValueError."""
+    RGB picture shown after palette, transparency and the earlier frames' disposal. Bad files, cut ones included, raise
+    ValueError. All frames of a file are held at once."""
+    try:
+        return _frames(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("a GIF that ends too early or points beyond its end") from e
+
+
+def _frames(data: bytes) -> list[dict]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF signature")
     wide, high, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)

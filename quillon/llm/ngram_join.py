@@ -1,7 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of shingles is (number of distinct texts that have it, shingle), rarest first. Counts come from one
-pass over all texts. The rarest stretch of a text's shingles names its candidates; the order is cut into fragments,
+The global order of shingles is (number of distinct texts that have it, shingle), rarest first, from one pass over all
+texts. Shingles that MANY texts of one slice share have no exact count and go last, by their hash alone; any order that is
+the same for all texts finds the same links, and this one keeps the texts of frequent shingles from meeting in one place.
+The rarest stretch of a text's shingles names its candidates; the order is cut into fragments,
 overlaps are counted fragment by fragment and summed per pair.
 """
 

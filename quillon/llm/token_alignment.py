@@ -33,7 +33,7 @@ from quillon.llm.common import stored, table
 VOCABULARIES = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = f"{VOCABULARIES}/byte_bpe_50k.json", f"{VOCABULARIES}/piece_bpe_32k.model"
 #: Bytes of text in a run, and those that are given to a tokenizer at a time.
-RUN_BYTES, ENCODE_BYTES = 4 << 20, 1 << 19
+RUN_BYTES, ENCODE_BYTES = 2 << 20, 1 << 19
 PARTS = 16
 FAN = 64
 #: Characters up to which the quick encoder, which goes back over long white space, is used.

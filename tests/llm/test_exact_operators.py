@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from quillon.llm.gif_media import decode_gif, encode_gif, gif_column, gif_frames, lzw_pack, lzw_unpack, media_digest, padded
 from quillon.llm.ngram_join import jaccard_components
@@ -183,3 +184,25 @@ def test_gif_frames_disposal_and_transparency():
     assert frames[0]["canvas"].tolist() == [[[255, 0, 0], [0, 255, 0]]]
     assert frames[1]["canvas"].tolist() == [[[255, 0, 0], [255, 0, 0]]] and frames[1]["start_ms"] == 50
     assert frames[2]["canvas"].tolist() == [[[255, 0, 0], [0, 0, 255]]]
+
+
+def test_damaged_gif_files_raise_value_errors():
+    """Files that are cut at any byte, or have bytes changed, give frames or a ValueError, and nothing else."""
+    whole = encode_gif(padded(b"some words of a text that goes on for a while " * 12))
+    rng = np.random.default_rng(23)
+    damaged = [whole[:k] for k in range(len(whole))]
+    for _ in range(300):
+        raw = bytearray(whole)
+        for at in rng.integers(0, len(raw), 3):
+            raw[at] = rng.integers(0, 256)
+        raw[6:10] = whole[6:10]  # the picture's size decides how much memory is taken
+        damaged.append(bytes(raw))
+    bad = 0
+    for raw in damaged:
+        try:
+            decode_gif(raw)
+        except ValueError:
+            bad += 1
+    assert bad > len(whole) // 2
+    with pytest.raises(ValueError):
+        decode_gif(whole[: len(whole) // 2])

@@ -40,6 +40,8 @@ def test_quality(spark, docs, empty):
 def test_toxicity(spark, docs, empty):
     found = held_out(spark, op9_toxicity_ftrl(spark, SF), "labels", "toxic")
     assert sum(r["predicted"] == t for r, t in found) / len(found) > 0.88
+    hits, toxic, flagged = sum(r["predicted"] and t for r, t in found), sum(t for _, t in found), sum(r["predicted"] for r, _ in found)
+    assert hits / toxic >= 0.6 and hits / flagged >= 0.8  # 9 of 14; "never" would have an accuracy of 0.85, too
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = score_toxicity(docs, fit_toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels)).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
