@@ -41,7 +41,8 @@ def head_rows(n: int) -> Column:
 class Block(NamedTuple):
     """A family of columns in the steps that all blocks of a call take together: columns before the first recurrences,
     those, columns between, recurrences over these, the block's own columns, trailing ranks, and columns made of these
-    without windows. reach is the number of rows that windows other than recurrences look back on."""
+    without windows. reach is the number of rows that windows other than recurrences look back on, reads are the prices
+    whose recurrences never forget a NULL."""
 
     name: str
     columns: list[str]
@@ -53,6 +54,7 @@ class Block(NamedTuple):
     ranks: Sequence[Rank] = ()
     finish: Callable[[DataFrame], DataFrame] = lambda df: df
     reach: int = 20
+    reads: Sequence[str] = ("high", "low", "close")
 
 
 def build(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
@@ -75,7 +77,7 @@ def build(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
 
     given = [c for c in df.columns if any(c in b.columns for b in blocks)]
     memory = [sum(max((s.memory() for s in part), default=0) for part in (b.first, b.second)) + b.reach + max((r.rows for r in b.ranks), default=0) for b in blocks]
-    return in_blocks(df.drop(*given), steps, max(HALO, *memory), PRICES)
+    return in_blocks(df.drop(*given), steps, max(HALO, *memory), [c for c in PRICES if any(c in b.reads for b in blocks)])
 
 
 def rsi_block(periods: tuple[int, ...] = (7, 14, 21), main: int = 14, high: float = 70.0, low: float = 30.0) -> Block:
@@ -108,7 +110,7 @@ def rsi_block(periods: tuple[int, ...] = (7, 14, 21), main: int = 14, high: floa
         return df.withColumn(f"{name}_zone", (F.col(f"{name}_overbought").cast("int") - F.col(f"{name}_oversold").cast("int")).cast("tinyint"))
 
     columns = [*[f"rsi_{p}" for p in periods], *[f"{name}_{c}" for c in ("norm", "chg", "slope_5")], spread, *[f"{name}_{c}" for c in ("overbought", "oversold", "zone")], "rsi_is_warmup"]
-    return Block("rsi", columns, after, before, [s for p in periods for s in (wilder(f"_g{p}", "_gain", p), wilder(f"_l{p}", "_loss", p))])
+    return Block("rsi", columns, after, before, [s for p in periods for s in (wilder(f"_g{p}", "_gain", p), wilder(f"_l{p}", "_loss", p))], reads=("close",))
 
 
 def macd_block(fast: int = 12, slow: int = 26, signal: int = 9) -> Block:
@@ -128,7 +130,7 @@ def macd_block(fast: int = 12, slow: int = 26, signal: int = 9) -> Block:
         )
 
     columns = ["macd", "macd_signal", "macd_hist", "macd_pct", "macd_signal_pct", "macd_hist_pct", "macd_hist_chg", "macd_above_signal", "macd_cross", "macd_is_warmup"]
-    return Block("macd", columns, after, first=[exponential("_fast", "close", fast), exponential("_slow", "close", slow)], between=between, second=[exponential("macd_signal", "macd", signal)])
+    return Block("macd", columns, after, first=[exponential("_fast", "close", fast), exponential("_slow", "close", slow)], between=between, second=[exponential("macd_signal", "macd", signal)], reads=("close",))
 
 
 def _with_true_range(df: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def bollinger_block(rows: int = 20, width: float = 2.0, rank_rows: int = 1000, r
         )
 
     columns = ["bb_mid", "bb_upper", "bb_lower", "bb_std", "bb_pct_b", "bb_bandwidth", "bb_dist_mid_pct", "bb_bandwidth_pctile", "bb_squeeze", "bb_break", "bb_is_warmup"]
-    return Block("bollinger", columns, after, before, ranks=[Rank("bb_bandwidth_pctile", "bb_bandwidth", rank_rows, rank_least)], finish=finish, reach=max(20, rows))
+    return Block("bollinger", columns, after, before, ranks=[Rank("bb_bandwidth_pctile", "bb_bandwidth", rank_rows, rank_least)], finish=finish, reach=max(20, rows), reads=())
 
 
 #: The families by name; another one is added by adding its maker.

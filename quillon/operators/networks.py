@@ -112,22 +112,22 @@ def cnn_bilstm_attention(steps: int, inputs: int, filters: int = 64, kernel: int
     return Net(shapes, forward)
 
 
-def transformer(steps: int, inputs: int, width: int = 64, heads: int = 4, inner: int = 128, blocks: int = 2, dropout: float = 0.2) -> Net:
+def transformer(steps: int, inputs: int, size: int = 64, heads: int = 4, inner: int = 128, blocks: int = 2, dropout: float = 0.2) -> Net:
     """Blocks of causal self-attention over learned positions, read at the last step."""
-    shapes = _dense_shapes("in", inputs, width) | {"place": (steps, width)}
+    shapes = _dense_shapes("in", inputs, size) | {"place": (steps, size)}
     for k in range(blocks):
         for n in ("query", "key", "value", "mix"):
-            shapes |= _dense_shapes(f"{n}{k}", width, width)
-        shapes |= _dense_shapes(f"up{k}", width, inner) | _dense_shapes(f"down{k}", inner, width)
-        shapes |= {f"{n}{k}.{c}": (width,) for n in ("first", "second") for c in ("gain", "shift")}
-    shapes |= _head_shapes(width)
+            shapes |= _dense_shapes(f"{n}{k}", size, size)
+        shapes |= _dense_shapes(f"up{k}", size, inner) | _dense_shapes(f"down{k}", inner, size)
+        shapes |= {f"{n}{k}.{c}": (size,) for n in ("first", "second") for c in ("gain", "shift")}
+    shapes |= _head_shapes(size)
     later = np.triu(np.full((steps, steps), -1e9), 1)
 
     def forward(p, x, rng, seen):
         rows = len(x)
 
         def split(name, y):
-            return moved(reshaped(_dense(p, name, y), (rows, steps, heads, width // heads)), (0, 2, 1, 3))
+            return moved(reshaped(_dense(p, name, y), (rows, steps, heads, size // heads)), (0, 2, 1, 3))
 
         def norm(name, y):
             return standardised(y, (-1,), 1e-6) * p[f"{name}.gain"] + p[f"{name}.shift"]
@@ -135,9 +135,9 @@ def transformer(steps: int, inputs: int, width: int = 64, heads: int = 4, inner:
         y = _dense(p, "in", const(x)) + p["place"]
         for k in range(blocks):
             scores = split(f"query{k}", y) @ moved(split(f"key{k}", y), (0, 1, 3, 2))
-            weights = softmax(scores * const((width // heads) ** -0.5) + const(later), -1)
+            weights = softmax(scores * const((size // heads) ** -0.5) + const(later), -1)
             seen_by_head = dropped(weights, dropout, rng) @ split(f"value{k}", y)
-            y = norm(f"first{k}", y + _dense(p, f"mix{k}", reshaped(moved(seen_by_head, (0, 2, 1, 3)), (rows, steps, width))))
+            y = norm(f"first{k}", y + _dense(p, f"mix{k}", reshaped(moved(seen_by_head, (0, 2, 1, 3)), (rows, steps, size))))
             y = norm(f"second{k}", y + _dense(p, f"down{k}", dropped(relu(_dense(p, f"up{k}", y)), dropout, rng)))
         y = dropped(y[:, -1], dropout, rng)
         return _dense(p, "out", relu(_dense(p, "wide", y)))

@@ -470,6 +470,23 @@ def state_stats(spark, d):
     return found.withColumns({f"mean_{c}": F.round(f"mean_{c}", 4) for c in ("atr_pct", "adx_14")})
 
 
+def state_names(spark, d):
+    """The names that a fit would give to the decoded regimes, by their means of trend and volatility."""
+    rows = state_stats(spark, d).orderBy("regime").collect()  # a row for each state
+    names = R.name_states([r["mean_ret_20"] for r in rows], [r["mean_atr_pct"] for r in rows])
+    return spark.createDataFrame([(r["regime"], names[k]) for k, r in enumerate(rows)], "regime string, name string")
+
+
+def hmm_scaler(spark, d):
+    """The scale that a fit gives to its inputs: mean and population deviation over the scored rows of all series."""
+    rows = R.FitRows(_for_model(spark, d), FIXED_INPUTS)
+    try:
+        found = [(c, float(m), float(x), rows.n) for c, m, x in zip(FIXED_INPUTS, rows.mean, rows.std, strict=True)]
+    finally:
+        rows.close()
+    return rounded(spark.createDataFrame(found, "column_name string, mean double, std double, n_rows long"))
+
+
 def transition_table(spark, d):
     return rounded(R.transitions(_decoded(spark, d)))
 
@@ -500,6 +517,22 @@ def model_comparison(spark, d):
     return rounded(E.metrics_by_model(E.with_thresholds(rows)))
 
 
+#: Networks of a size that trains in a minute.
+SMALL_NETWORKS = {
+    "lstm": {"units": 16, "epochs": 3, "batch": 1024, "rate": 0.005},
+    "cnn_bilstm_attention": {"filters": 16, "units": 8, "epochs": 3, "batch": 1024, "rate": 0.005},
+    "transformer": {"size": 16, "heads": 2, "inner": 32, "blocks": 1, "epochs": 3, "batch": 1024, "rate": 0.005},
+}
+
+
+def network_comparison(spark, d):
+    """The three networks on windows of returns: metrics by model and part."""
+    df = S.written(_windowed(spark, d).select(SERIES, TIME, *FIXED_INPUTS, "y", "fwd", "is_warmup"), "windowed")
+    rows = M.predictions(D.require_windows(df, FIXED_INPUTS), 32 * len(FIXED_INPUTS), (), SMALL_NETWORKS)
+    rows = S.written(rows.join(df.select(SERIES, TIME, "ret_1", "fwd"), [SERIES, TIME]), "network-rows")
+    return rounded(E.metrics_by_model(E.with_thresholds(rows)))
+
+
 def log_close(spark, d):
     return rounded(_bars(spark, d).select(SERIES, TIME, ln(F.col("close")).alias("log_close")))
 
@@ -511,5 +544,5 @@ window_contiguity windows32 latest_windows chronological_split scaler_stats scal
 metrics_by_series baseline_lift auc_rank regime_breakdown cost_sensitivity directional_strategy persistence_agreement metrics_by_model
 breakdown_by_model strategy_by_model costs_by_model edge_by_model verdict predictions_table hmm_filter_fixed hmm_smoother_fixed hmm_viterbi_fixed
 regime_columns regimes_warm_start state_report transition_report hmm_fit hmm_states regime_runs regime_changed daily_shares daily_dominant overall_shares
-state_stats transition_table known_period_check model_matrix model_comparison""".split()
+state_stats state_names hmm_scaler transition_table known_period_check model_matrix model_comparison network_comparison""".split()
 QUERIES = {n: globals()[n] for n in _NAMES} | {f"{b}_block": _block(b) for b in X.BLOCKS} | {f"warm_{b}": _warm_block(b) for b in X.BLOCKS}

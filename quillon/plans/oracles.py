@@ -319,6 +319,9 @@ SELECT series_id, run_id::BIGINT AS run_id, regime, MIN(ts) AS first_ts, MAX(ts)
   COUNT(*) FILTER (regime = 'sideways') AS s, COUNT(*) FILTER (regime = 'high_vol') AS v FROM lab WHERE regime IS NOT NULL GROUP BY period)
 SELECT period, {r("close")}, CASE GREATEST(a, b, s, v) WHEN a THEN 'bull' WHEN b THEN 'bear' WHEN s THEN 'sideways' ELSE 'high_vol' END AS dominant FROM c""",
     "overall_shares": f"WITH RECURSIVE {REGIMES} SELECT regime, COUNT(*) AS n, {r('COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()', 'share_pct')} FROM lab WHERE regime IS NOT NULL GROUP BY regime",
+    "hmm_scaler": f"""WITH {BARS}, {RETURNS}, ok AS (SELECT * FROM ret WHERE ret_1 IS NOT NULL AND ret_20 IS NOT NULL)
+SELECT 'ret_1' AS column_name, {r("AVG(ret_1)", "mean")}, {r("STDDEV_POP(ret_1)", "std")}, COUNT(*) AS n_rows FROM ok
+UNION ALL SELECT 'ret_20', {r("AVG(ret_20)", "mean")}, {r("STDDEV_POP(ret_20)", "std")}, COUNT(*) FROM ok""",
     "state_stats": f"""WITH RECURSIVE {REGIMES}, x AS (SELECT lab.*, atr_pct, adx_14 FROM lab JOIN ({ATR}) USING (series_id, ts) JOIN ({ADX}) USING (series_id, ts))
 SELECT regime, COUNT(*) AS n, {r("AVG(ret_1)", "mean_ret_1")}, {r("AVG(ret_20)", "mean_ret_20")}, {r("AVG(atr_pct)", "mean_atr_pct", 4)}, {r("AVG(adx_14)", "mean_adx_14", 4)}, {r("COUNT(*) / SUM(COUNT(*)) OVER ()", "share")}
 FROM x WHERE regime IS NOT NULL GROUP BY regime""",
@@ -388,3 +391,6 @@ SELECT series_id, MAX(r) + 1 AS n, {r("arg_max(y, r)", "last_average")} FROM q G
 }
 ORACLES["stored_scaler"] = ORACLES["scaler_stats"]
 ORACLES["stored_predictions"] = ORACLES["predictions_table"]
+ORACLES["state_names"] = f"""WITH s AS ({ORACLES["state_stats"]}), v AS (SELECT regime FROM s ORDER BY mean_atr_pct DESC, regime LIMIT 1),
+o AS (SELECT regime, ROW_NUMBER() OVER (ORDER BY mean_ret_20 DESC, regime) AS k FROM s WHERE regime NOT IN (FROM v))
+SELECT regime, 'high_vol' AS name FROM v UNION ALL SELECT regime, ['bull', 'sideways', 'bear'][k] FROM o"""

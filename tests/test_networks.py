@@ -12,7 +12,7 @@ from quillon.operators import models as M
 from quillon.operators import networks as N
 
 T0 = dt.datetime(2024, 1, 1)
-SMALL = {"lstm": {"units": 6}, "cnn_bilstm_attention": {"filters": 5, "units": 4}, "transformer": {"width": 8, "heads": 2, "inner": 6}}
+SMALL = {"lstm": {"units": 6}, "cnn_bilstm_attention": {"filters": 5, "units": 4}, "transformer": {"size": 8, "heads": 2, "inner": 6}}
 
 
 @pytest.mark.parametrize("kind", list(SMALL))
@@ -92,7 +92,7 @@ def test_a_signal_of_order_is_learned(spark):
 
 def test_a_network_is_saved_and_loaded(spark, tmp_path):
     rows = examples(spark, 60, 3, 4, lambda x: x.sum() > 0)
-    model = N.train_network(rows, "transformer", 3, epochs=1, batch=64, shards=2, width=8, heads=2, inner=8, blocks=1)
+    model = N.train_network(rows, "transformer", 3, epochs=1, batch=64, shards=2, size=8, heads=2, inner=8, blocks=1)
     M.save(model, str(tmp_path), ["a", "b"])
     again, names = M.load(str(tmp_path))
     one, two = ([r["p"] for r in M.predict(m, rows).orderBy("ts").collect()] for m in (model, again))
