@@ -15,11 +15,15 @@ SESSION_START, SESSION_END, SESSION_BARS = "09:15", "15:15", 25
 def bars(ticks: DataFrame, value: str = "value", time: str = "ts", series: str | None = None, width: str = "15 minutes", sequence: str | None = None) -> DataFrame:
     """Open, high, low, close and number of ticks of every interval that has ticks.
 
-    Ticks of one time are in the order of sequence, where there is one, and then of their values, so that the order of
-    rows never shows.
+    Ticks of one time are in the order of sequence, a whole number, where there is one, else of their values, so that the
+    order of rows never shows.
     """
     name = F.lit("ALL") if series is None else F.col(series)
-    at = F.struct(F.col(time), *([] if sequence is None else [F.col(sequence)]), F.col(value))
+    if sequence is None:
+        at = F.struct(F.col(time), F.col(value))
+    else:  # one number of time and sequence, as aggregates of numbers need no sort
+        micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(18,0)")
+        at = (micros * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + F.col(sequence).cast("decimal(19,0)")).cast("decimal(38,0)")
     spans = ticks.select(name.alias(SERIES), at.alias("_t"), F.col(value).alias("_v"), F.window(time, width).start.alias(TIME))
     return spans.groupBy(SERIES, TIME).agg(
         F.min_by("_v", "_t").alias("open"),

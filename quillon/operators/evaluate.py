@@ -35,21 +35,28 @@ def pick_thresholds(df: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFr
     return threshold_grid(df, keys=keys).groupBy(*keys).agg(best.alias("threshold"))
 
 
+#: Ranges of probabilities that ranks are counted in.
+GRID = 4096
+
+
 def ranked(df: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """(keys, p, n, n1, rank): for each distinct p its rows, those with y 1, and their average rank among all rows.
 
-    Distinct values are dealt into ranges at approximate quantiles, and ranks are places inside a range after the totals
-    of the ranges before it, so no task holds more than a range. Where the cuts lie doesn't change the ranks. The cuts
-    are found by a job before this returns. Rows without p rank below all others, NaN above.
+    Distinct values are dealt into ranges, and ranks are places inside a range after the totals of the ranges before it,
+    so no task holds more than a range. Ranges are steps of 1 / GRID, which suits probabilities; scores on another scale
+    take `parts` ranges at approximate quantiles, for which a job runs before this returns. Where the cuts lie doesn't
+    change the ranks. Rows without p rank below all others, NaN above.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df.withColumn("p", F.col("p").cast("double"))
-    found = df.approxQuantile("p", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    p = F.col("p")
     by_p = df.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("n1"))
-    cuts = sorted({x for x in found if x == x and abs(x) != float("inf")}) or [0.0]  # at least two ranges
-    edges = [-float("inf"), *cuts, float("inf")]
-    by_p = Bucketizer(splits=edges, inputCol="p", outputCol="_range", handleInvalid="keep").transform(by_p)
-    by_p = by_p.withColumn("_range", F.when(F.col("p").isNull(), -1.0).otherwise(F.col("_range")))
+    if parts is None:
+        by_p = by_p.withColumn("_range", F.when(F.isnan(p) | (p >= 1), float(GRID)).when(p < 0, -1.0).otherwise(F.floor(p * GRID).cast("double")))
+    else:
+        found = df.approxQuantile("p", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+        cuts = sorted({x for x in found if x == x and abs(x) != float("inf")}) or [0.0]  # at least two ranges
+        by_p = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="p", outputCol="_range", handleInvalid="keep").transform(by_p)
+    by_p = by_p.withColumn("_range", F.when(p.isNull(), -2.0).otherwise(F.col("_range")))
     totals = by_p.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
     below = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(*keys, F.col("_range"), F.coalesce(below, F.lit(0)).alias("_below"))
@@ -58,9 +65,9 @@ def ranked(df: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None)
     return placed.select(*keys, "p", "n", "n1", (F.col("_below") + F.col("_inside") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
-def auc(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Area under the ROC curve by average ranks, for each key; NULL with one class only."""
-    sums = ranked(df, keys).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("n1")).alias("r"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+def auc(df: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Area under the ROC curve by average ranks, for each key; NULL with one class only. parts as in ranked."""
+    sums = ranked(df, keys, parts).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("n1")).alias("r"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n0 = F.col("n") - F.col("n1")
     value = F.when((F.col("n1") > 0) & (n0 > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1").cast("double") * n0))
     return sums.select(*keys, value.alias("auc"))

@@ -68,7 +68,7 @@ def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bars15(spark, d):
-    return rounded(B.bars(_t(spark, d, "events")))
+    return rounded(B.bars(_t(spark, d, "events"), sequence="event_id"))
 
 
 def bars_by_type(spark, d):
@@ -98,7 +98,7 @@ def session_columns(spark, d):
 
 
 def dedupe_first(spark, d):
-    df = B.bars(_t(spark, d, "events")).withColumn("ingest_seq", F.lit(0))
+    df = B.bars(_t(spark, d, "events"), sequence="event_id").withColumn("ingest_seq", F.lit(0))
     again = df.withColumns({"open": F.col("open") + 1, "high": F.col("high") + 2, "ingest_seq": F.lit(1)})
     return rounded(B.first_copies(again.unionByName(df)))
 
@@ -309,7 +309,7 @@ def baseline_lift(spark, d):
 
 def auc_rank(spark, d):
     df = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rounded(E.auc(df.select(F.col("quality").alias("y"), F.col("n_chars").alias("p"))))
+    return rounded(E.auc(df.select(F.col("quality").alias("y"), F.col("n_chars").alias("p")), parts=16))
 
 
 def regime_breakdown(spark, d):

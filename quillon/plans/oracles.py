@@ -15,7 +15,7 @@ def rs(*names: str) -> str:
 
 #: Window over a series in time order.
 W = "(PARTITION BY series_id ORDER BY ts)"
-ALL = "bars AS (SELECT 'ALL' AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, (ts, value)) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, (ts, value)) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
+ALL = "bars AS (SELECT 'ALL' AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, (ts, event_id)) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, (ts, event_id)) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
 BARS = "bars AS (SELECT event_type AS series_id, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_min(value, (ts, event_id)) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, (ts, event_id)) AS close, COUNT(*) AS n_ticks FROM events GROUP BY ALL)"
 SESSION = "ses AS (SELECT * FROM bars WHERE strftime(ts, '%H:%M') BETWEEN '09:15' AND '15:15')"
 RETURNS = f"ret AS (SELECT *, LN(NULLIF(close, 0)) - LAG(LN(NULLIF(close, 0)), 1) OVER {W} AS ret_1, LN(NULLIF(close, 0)) - LAG(LN(NULLIF(close, 0)), 20) OVER {W} AS ret_20 FROM bars)"

@@ -180,7 +180,7 @@ def test_area_under_the_curve_by_ranges(spark):
     rows = [(str(rng.choice(["m", "n"])), float(rng.integers(0, 30)) if rng.random() < 0.6 else float(rng.normal(15, 9)), int(rng.random() < 0.3)) for _ in range(600)]
     rows += [("m", 7.0, 1)] * 200 + [("one", 0.5, 1)]
     df = spark.createDataFrame(rows, "model string, p double, y int").repartition(6)
-    for parts in (1, 3, 17):
+    for parts in (None, 1, 3, 17):
         ranks = {(r["p"], r["n"]): r["rank"] for r in E.ranked(df, parts=parts).collect()}
         values = np.array([r[1] for r in rows])
         assert all(rank == pytest.approx((values < p).sum() + ((values == p).sum() + 1) / 2) for (p, _), rank in ranks.items())
