@@ -278,7 +278,7 @@ def model_columns(df: DataFrame) -> list[str]:
     """Feature columns that models read, in order."""
     bars_own = {"series_id", "ts", "open", "high", "low", "close", "n_ticks", "session_date", "bar_of_day", "is_session_open", "is_session_close", "ingest_seq", "fwd", "y"}
     dropped = bars_own | set(RAW_SCALE) | set(INTERMEDIATE)
-    return [c for c in df.columns if c not in dropped and not c.endswith("is_warmup") and not c.startswith(("src_", "regime", "ret_"))]
+    return [c for c in plain(df).columns if c not in dropped and not c.endswith("is_warmup") and not c.startswith(("src_", "regime", "ret_"))]
 
 
 def summary(df: DataFrame) -> DataFrame:

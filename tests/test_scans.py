@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import rounded
 from quillon.operators import features as X
 from quillon.operators import scans
+from quillon.operators.blocks import numbered
 from quillon.operators.scans import exponential, linear_scans, wilder
 
 T0 = dt.datetime(2024, 1, 1)
@@ -145,3 +146,9 @@ def test_seed_must_end_before_the_data(spark):
 def test_model_columns_leave_prices_and_flags_out(spark):
     names = X.model_columns(X.build_features(frame(spark, range(100, 130))))
     assert len(names) == 34 and "rsi_14" in names and "dx" not in names and "close" not in names
+
+
+def test_places_are_no_model_columns(spark):
+    df = frame(spark, range(100, 130))
+    placed = X.build_features(numbered(df, ["open", "high", "low", "close"]))
+    assert "_r" in placed.columns and X.model_columns(placed) == X.model_columns(X.build_features(df))
