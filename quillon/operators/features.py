@@ -181,7 +181,12 @@ def bollinger_block(rows: int = 20, width: float = 2.0, rank_rows: int = 1000, r
     close = F.col("close")
 
     def before(df: DataFrame) -> DataFrame:
-        return df.withColumns({"bb_mid": full_frame(close, rows, F.avg), "bb_std": full_frame(close, rows, F.stddev_pop)})
+        # summed from the least value up, so that rows with the same values give the same doubles and tie in the rank
+        seen = F.sort_array(full_frame(close.cast("double"), rows, F.collect_list))
+        df = df.withColumns({"_seen": seen, "_least": F.element_at(seen, 1)})
+        df = df.withColumn("bb_mid", F.col("_least") + F.aggregate("_seen", F.lit(0.0), lambda a, v: a + (v - F.col("_least"))) / rows)
+        spread = F.aggregate("_seen", F.lit(0.0), lambda a, v: a + (v - F.col("bb_mid")) * (v - F.col("bb_mid"))) / rows
+        return df.withColumn("bb_std", F.sqrt(spread)).drop("_seen", "_least")
 
     def after(df: DataFrame) -> DataFrame:
         df = df.withColumns({"bb_upper": F.col("bb_mid") + width * F.col("bb_std"), "bb_lower": F.col("bb_mid") - width * F.col("bb_std")})
