@@ -93,6 +93,24 @@ def test_runs_and_transitions(spark, small):
     assert {(r["from_regime"], r["to_regime"]): r["n"] for r in R.transitions(df).collect()} == moves
 
 
+def test_runs_end_at_gaps(spark, small):
+    df, rows = series(spark, 80, 4)
+    df = df.withColumn("regime", F.when(F.col("fine"), F.col("regime")))
+    got = sorted((r["series_id"], r["run_id"], r["regime"], r["first_ts"], r["last_ts"], r["n_bars"]) for r in R.runs(df, gaps_end=True).collect())
+    want = []
+    for name, part in sorted(by_series(rows).items()):
+        k, before = 0, None
+        for r in part:
+            now = r[3] if r[4] else None
+            if now is not None and now == before:
+                want[-1] = (*want[-1][:4], r[1], want[-1][5] + 1)
+            elif now is not None:
+                k += 1
+                want.append((name, k, now, r[1], r[1], 1))
+            before = now
+    assert got == want and len(want) > R.runs(df).count()
+
+
 def test_targets_windows_and_splits(spark, small):
     df, rows = series(spark, 100, 5)
     df = D.target(df.withColumn("is_warmup", ~F.col("fine")))
