@@ -111,6 +111,20 @@ def test_runs_end_at_gaps(spark, small):
     assert got == want and len(want) > R.runs(df).count()
 
 
+def test_summed_returns_step_over_missing_closes(spark, small):
+    df, rows = series(spark, 90, 6)
+    df = df.withColumn("close", F.when(F.col("fine"), F.col("close")).when(F.col("regime") == "up", 0.0))
+    got = {(r["series_id"], r["ts"]): r["sum_20"] for r in R.summed_return(df).collect()}
+    gaps = 0
+    for name, part in by_series(rows).items():
+        x = [np.log(r[2]) if r[4] else None for r in part]
+        for k, r in enumerate(part):
+            known = k >= 20 and x[k] is not None and x[k - 20] is not None
+            assert got[name, r[1]] == (pytest.approx(x[k] - x[k - 20], abs=1e-12) if known else None)
+            gaps += known and None in x[k - 20 : k]
+    assert gaps > 20 and len(got) == 180
+
+
 def test_targets_windows_and_splits(spark, small):
     df, rows = series(spark, 100, 5)
     df = D.target(df.withColumn("is_warmup", ~F.col("fine")))
